@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import site_lines
+from tidewire.llm import encoding, lookalikes, site_lines
 from tidewire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,35 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(articles, site_lines.repeated_lines(articles)).withColumnRenamed("doc_key", "article_id")
 
 
+#: Texts of problem 7: table, key and text.
+_LOOKS = (("scrape_article", "article_id", "body"), ("cnbc_discovered", "disc_id", "title_rss"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text looks ordinary but is made of other characters."""
+    a, b = (lookalikes.keys_with_kinds(table(spark, sf_dir, t), k, c).select(F.lit(t).alias("src"), F.col("key").alias("row_id")) for t, k, c in _LOOKS)
+    return a.unionByName(b)
+
+
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that were not in the one form, in it, with what was found in them."""
+    a, b = (lookalikes.one_form(table(spark, sf_dir, t), k, c).select(F.lit(t).alias("src"), F.col("key").alias("row_id"), "text", F.array_join("kinds", " ").alias("kinds")) for t, k, c in _LOOKS)
+    return a.unionByName(b)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a garbled sequence."""
+    return encoding.garbled_keys(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents, restored where nothing was lost."""
+    return encoding.repair_texts(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_bodies": p3_bodies}
+    own = (p3_found, p3_bodies, p7_found, p7_texts, p10_found, p10_texts)
+    return {q.__name__: q for q in own}
 
 
 _SITE = "nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^(www|m|amp)\\.', ''), '')"
