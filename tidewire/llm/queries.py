@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import encoding, lookalikes, site_lines
+from tidewire.llm import encoding, lookalikes, near_duplicates, site_lines
 from tidewire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,22 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(articles, site_lines.repeated_lines(articles)).withColumnRenamed("doc_key", "article_id")
 
 
+#: Texts of problem 6: table, key, text and likeness.
+_NEAR = (("scrape_article", "article_id", "body", near_duplicates.BODIES), ("cnbc_discovered", "disc_id", "title_rss", near_duplicates.TITLES))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near-same bodies and of near-same titles."""
+    a, b = (near_duplicates.all_pairs(*near_duplicates.linked_representatives(table(spark, sf_dir, t), k, c, kind)).select(F.lit(t).alias("src"), "id_a", "id_b") for t, k, c, kind in _NEAR)
+    return a.unionByName(b)
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per text with its class of copies and its number of links."""
+    a, b = (near_duplicates.groups(*near_duplicates.linked_representatives(table(spark, sf_dir, t), k, c, kind)).select(F.lit(t).alias("src"), F.col("key").alias("row_id"), F.col("rep").alias("class_id"), "links") for t, k, c, kind in _NEAR)
+    return a.unionByName(b)
+
+
 #: Texts of problem 7: table, key and text.
 _LOOKS = (("scrape_article", "article_id", "body"), ("cnbc_discovered", "disc_id", "title_rss"))
 
@@ -51,7 +67,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p3_found, p3_bodies, p7_found, p7_texts, p10_found, p10_texts)
+    own = (p3_found, p3_bodies, p6_found, p6_groups, p7_found, p7_texts, p10_found, p10_texts)
     return {q.__name__: q for q in own}
 
 
