@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import encoding, lookalikes, near_duplicates, site_lines
+from tidewire.llm import encoding, lookalikes, near_duplicates, site_lines, split_overlap
 from tidewire.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation article with nearly the same body."""
+    return split_overlap.pairs_of_rows(*split_overlap.overlaps(table(spark, sf_dir, "articles_aligned")))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and site."""
+    articles = table(spark, sf_dir, "articles_aligned")
+    return split_overlap.report(articles, *split_overlap.overlaps(articles))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least ten articles of one site hold."""
     return site_lines.repeated_lines(table(spark, sf_dir, "scrape_article")).select(F.col("doc_key").alias("article_id"), "line_no")
@@ -67,7 +78,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p3_found, p3_bodies, p6_found, p6_groups, p7_found, p7_texts, p10_found, p10_texts)
+    own = (p2_found, p2_report, p3_found, p3_bodies, p6_found, p6_groups, p7_found, p7_texts, p10_found, p10_texts)
     return {q.__name__: q for q in own}
 
 
