@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import encoding, lookalikes, near_duplicates, site_lines, split_overlap
-from tidewire.runtime import table
+from tidewire.llm import encoding, lookalikes, mixing, near_duplicates, packing, site_lines, split_overlap
+from tidewire.llm.tokens import token_counts
+from tidewire.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +68,33 @@ def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = cut(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    specs = table(spark, sf_dir, "pack_spec")
+    return packing.pack(sizes, specs), specs
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in containers of each capacity."""
+    return _packed(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(*_packed(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a garbled sequence."""
     return encoding.garbled_keys(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
@@ -78,7 +106,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p2_found, p2_report, p3_found, p3_bodies, p6_found, p6_groups, p7_found, p7_texts, p10_found, p10_texts)
+    own = (p2_found, p2_report, p3_found, p3_bodies, p6_found, p6_groups, p7_found, p7_texts, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_texts)
     return {q.__name__: q for q in own}
 
 
