@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import encoding, lookalikes, mixing, near_duplicates, packing, residue, site_lines, split_overlap
+from tidewire.llm import boilerplate, encoding, lookalikes, mixing, near_duplicates, packing, residue, site_lines, split_overlap
 from tidewire.llm.tokens import token_counts
 from tidewire.runtime import cut, table
 
@@ -36,6 +36,24 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(articles, site_lines.repeated_lines(articles)).withColumnRenamed("doc_key", "article_id")
 
 
+def _furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "scrape_article")
+    # Pages that hold no article have no body to keep.
+    excluded = cut(residue.residue(articles).select("key").distinct(), "excluded")
+    return boilerplate.furniture(articles).join(excluded, "key", "left_anti").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a page that are not article text."""
+    return _furniture(spark, sf_dir).withColumnRenamed("key", "article_id")
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body as its article alone."""
+    lines = _furniture(spark, sf_dir).withColumnRenamed("key", "doc_key")
+    return site_lines.without_lines(table(spark, sf_dir, "scrape_article"), lines).withColumnRenamed("doc_key", "article_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose title or body is template residue, filler, an error page or a notice."""
     return residue.residue(table(spark, sf_dir, "scrape_article")).select(F.col("key").alias("article_id")).distinct()
@@ -116,7 +134,7 @@ def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p2_found, p2_report, p3_found, p3_bodies, p5_found, p5_kinds, p6_found, p6_groups, p7_found, p7_texts, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_texts)
+    own = (p2_found, p2_report, p3_found, p3_bodies, p4_found, p4_bodies, p5_found, p5_kinds, p6_found, p6_groups, p7_found, p7_texts, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_texts)
     return {q.__name__: q for q in own}
 
 
