@@ -27,3 +27,222 @@ def site_of(url: Column) -> Column:
 def words(text: Column) -> Column:
     """Maximal runs of ``a``-``z`` and ``0``-``9`` of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+# Patterns and word lists that results depend on.
+INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}\x00-\x08\x0b\x0c\x0e-\x1f]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+URL = r"(?i)https?://\S+|www\.\S+|pic\.twitter\.com/\S+"
+URL_BROAD = r"(?i)https?://\S+|www\.\S+|(?:[a-zA-Z0-9-]+\.)+(?:com|org|net|gov|edu|io|id|co)\b\S*"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+TAG = "<[^>]+>"
+DATELINE = r"^[A-Z][A-Za-z.,' ]{2,40}\s+\((?:Reuters|AP)\)\s*-\s*"
+ACRONYM = r"\b(?:[A-Z]\.){2,}"
+NOTICE_PARAGRAPHS = (
+    r"^(watch|read more|read|related|listen|see also|more from|sign up|subscribe|click here|follow)\b\s*[:\-]",
+    r"\bcnbc pro\b",
+    r"\bsubscribe to\b",
+    r"\bsign up for\b",
+    r"\bnewsletter\b",
+    r"contributed to this (report|story|article)",
+    r"^(disclaimer|copyright)\b",
+    r"all rights reserved",
+    r"^this (story|article) is (still )?developing",
+    r"^(get|receive) the latest",
+)
+NOISE_TITLES = (r"stocks? making the biggest moves", r"biggest analyst calls", r"\bcramer\b", r"mad money", r"options action", r"trading nation", r"^watch live")
+KEYWORD_GROUPS = {
+    "conflict": ("war", "conflict", "military", "missile", "airstrike", "invasion", "ceasefire", "troops", "defense"),
+    "sanction": ("sanction", "embargo", "asset freeze", "export control", "trade restriction"),
+    "diplomacy": ("diplomatic", "summit", "bilateral", "treaty", "negotiation", "foreign minister"),
+    "trade": ("tariff", "trade war", "trade dispute", "export ban", "import restriction"),
+    "political_risk": ("election", "coup", "protest", "political crisis", "government collapse"),
+}
+GEO_TERMS = (
+    "war", "invasion", "invade", "conflict", "ceasefire", "cease-fire", "military", "troops", "missile", "airstrike", "nuclear", "sanctions", "sanction", "embargo",
+    "blockade", "terrorism", "escalation", "escalate", "hostilities", "geopolitical", "geopolitics", "tariff", "tariffs", "trade war", "export controls", "diplomatic",
+    "diplomacy", "summit", "treaty", "nato", "united nations", "opec", "ukraine", "russia", "kremlin", "putin", "zelensky", "gaza", "hamas", "israel", "hezbollah", "iran",
+    "taiwan", "north korea", "middle east", "red sea", "strait of hormuz", "south china sea", "beijing", "xi jinping",
+)
+NEGATIONS = (
+    "no", "not", "nor", "neither", "never", "none", "nobody", "nowhere", "nothing", "hardly", "scarcely", "barely", "without", "cannot",
+    "dont", "don't", "doesnt", "doesn't", "didnt", "didn't", "wont", "won't", "wouldnt", "wouldn't", "cant", "can't", "couldnt", "couldn't", "shouldnt", "shouldn't",
+    "isnt", "isn't", "arent", "aren't", "wasnt", "wasn't", "werent", "weren't", "havent", "haven't", "hasnt", "hasn't", "hadnt", "hadn't",
+    "tidak", "bukan", "jangan", "belum", "tak", "tiada", "tanpa",
+)
+STOPWORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below between both but by could did do does doing down during each few for"
+    " from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself of off on once only or other"
+    " ought our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under"
+    " until up very was we were what when where which while who whom why with would you your yours yourself yourselves".split()
+)
+
+
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern, in order."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def terms_pattern(terms: tuple[str, ...]) -> str:
+    """One alternation over terms, the longest first, at word borders of any script."""
+    escaped = sorted((t.replace("-", r"\-") for t in set(terms)), key=lambda t: (-len(t), t))
+    return r"(?U)(?<!\w)(?:" + "|".join(escaped) + r")(?!\w)"
+
+
+def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
+    """Distinct lower-case terms in first-seen order; a longer term hides the shorter ones inside it."""
+    return F.array_distinct(matches(F.lower(F.coalesce(text, F.lit(""))), terms_pattern(terms)))
+
+
+def keyword_terms() -> tuple[str, ...]:
+    return tuple(t for group in KEYWORD_GROUPS.values() for t in group)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
+
+
+def plain_quotes(text: Column) -> Column:
+    """Typographic quotes and dashes as ASCII; the long dash gets blanks."""
+    return F.replace(F.translate(text, "’‘“”–", "''\"\"-"), F.lit("—"), F.lit(" - "))
+
+
+def joined_acronyms(text: Column) -> Column:
+    """``U.S.`` as ``US``: each distinct acronym of the text is replaced, longest first."""
+    found = F.array_sort(F.array_distinct(matches(text, ACRONYM)), lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(found, text, lambda acc, a: F.replace(acc, a, F.replace(a, F.lit("."), F.lit(""))))
+
+
+def normal_url(url: Column) -> Column:
+    """Lower case, without query, fragment, ``www.`` and trailing slashes."""
+    cut = F.regexp_replace(F.lower(F.trim(url)), r"[?#].*$", "")
+    return F.regexp_replace(F.regexp_replace(cut, r"//www\.", "//"), "/+$", "")
+
+
+def text_key(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def masked(text: Column) -> Column:
+    """E-mail addresses, then urls, as their kind."""
+    return F.regexp_replace(F.regexp_replace(text, EMAIL, "EMAIL"), URL_BROAD, "URL")
+
+
+def clean_title(title: Column, suffix: str) -> Column:
+    """Plain quotes, joined acronyms, without a trailing outlet name."""
+    plain = joined_acronyms(F.regexp_replace(plain_quotes(title), INVISIBLE, ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?i)\s+[-|]\s+" + suffix + r"\s*$", ""), r"[ \t\r\f\x0b]+", " "))
+
+
+def clean_paragraphs(text: Column, least_words: int = 4, notice_words: int = 40) -> Column:
+    """Paragraphs without urls, short lines, notices and repeats; the dateline of the first kept one goes."""
+    plain = joined_acronyms(F.regexp_replace(plain_quotes(text), INVISIBLE, ""))
+    plain = F.regexp_replace(F.regexp_replace(plain, URL, " "), EMAIL, " ")
+    parts = F.filter(F.transform(F.split(plain, "\n", -1), lambda p: F.trim(F.regexp_replace(p, r"[ \t\r\f\x0b]+", " "))), lambda p: p != "")
+    notice = "(?i)" + "|".join(NOTICE_PARAGRAPHS)
+
+    def step(kept: Column, p: Column) -> Column:
+        q = F.when(F.size(kept) == 0, F.regexp_replace(p, DATELINE, "")).otherwise(p)
+        drop = (word_count(q) < least_words) | ((word_count(q) < notice_words) & q.rlike(notice))
+        return F.when(drop, kept).otherwise(F.array_append(kept, q))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.array_join(F.array_distinct(kept), "\n")
+
+
+def bag_of_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Lower-case words of two letters and more without stop words; negations stay."""
+    t = F.replace(F.replace(F.lower(text), F.lit("can't"), F.lit("cannot")), F.lit("won't"), F.lit("will not"))
+    t = F.regexp_replace(F.regexp_replace(t, r"n't\b", " not"), r"'s\b", "")
+    keep = {"no", "not", "nor", "never", "none", "cannot", "without", "us"}
+    stop = _texts(tuple(w for w in stopwords if w not in keep))
+    return F.array_join(F.filter(matches(F.replace(t, F.lit("'"), F.lit("")), "[a-z]{2,}"), lambda w: ~F.array_contains(stop, w)), " ")
+
+
+def word_tokens(text: Column) -> Column:
+    """Words with an inner apostrophe, lower case, without a possessive ``'s``."""
+    return F.transform(matches(F.lower(text), r"[a-z0-9]+(?:'[a-z]+)?"), lambda w: F.regexp_replace(w, "'s$", ""))
+
+
+def lemma(word: Column) -> Column:
+    """Plural endings by rule."""
+    plain = ~(word.endswith("ss") | word.endswith("us") | word.endswith("is"))
+    size = F.length(word)
+    return (
+        F.when(word.endswith("ies") & (size > 4), F.concat(F.expr("''"), F.substring(word, F.lit(1), size - 3), F.lit("y")))
+        .when(word.endswith("es") & (size > 3) & plain, F.substring(word, F.lit(1), size - 2))
+        .when(word.endswith("s") & (size > 2) & plain, F.substring(word, F.lit(1), size - 1))
+        .otherwise(word)
+    )
+
+
+def classical_tokens(text: Column) -> Column:
+    """Lemmas without stop words and short words; negations stay."""
+    negations = _texts(NEGATIONS)
+    stop = _texts(tuple(w for w in STOPWORDS if w not in NEGATIONS))
+    lemmas = F.transform(word_tokens(text), lemma)
+    return F.filter(lemmas, lambda w: ~F.array_contains(stop, w) & ((F.length(w) >= 3) | F.array_contains(negations, w)))
+
+
+def bigrams(tokens: Column) -> Column:
+    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w, i: F.concat_ws("_", w, F.get(tokens, i + 1)))
+    return pairs
+
+
+def shingles(text: Column, n: int = 3) -> Column:
+    """Distinct ``n``-word sequences; a shorter text is one sequence."""
+    ws = words(text)
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+    return F.array_distinct(some)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Share of common elements of two arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return F.try_divide(both, F.size(a) + F.size(b) - both)
+
+
+def unique_paragraphs(text: Column, similar: float = 0.8) -> Column:
+    """Greedy: a paragraph goes if it equals a kept one (case and blanks aside) or shares enough shingles with it."""
+    parts = F.filter(F.transform(F.split(text, "\n+"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def step(kept: Column, p: Column) -> Column:
+        same = F.exists(kept, lambda q: (line_key(q) == line_key(p)) | (jaccard(shingles(q), shingles(p)) >= similar))
+        return F.when(same, kept).otherwise(F.array_append(kept, p))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def light_clean(text: Column) -> Column:
+    """Without tags and control characters, addresses masked, blanks squeezed."""
+    return squeeze(masked(F.regexp_replace(F.regexp_replace(text, TAG, " "), CONTROL, " ")))
+
+
+def entities(text: Column) -> Column:
+    """Runs of capitalised words, distinct and sorted."""
+    return F.array_sort(F.array_distinct(matches(text, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")))
+
+
+def numbers(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(matches(text, r"\b\d+(?:[.,]\d+)*\b")))
+
+
+def fnv1a(text: Column, buckets: int) -> Column:
+    """32-bit FNV-1a of the UTF-8 bytes, modulo ``buckets``."""
+    hexed = F.hex(F.encode(text, "utf-8"))
+    steps = F.sequence(F.lit(1), F.greatest(F.length(hexed) / 2, F.lit(0)).cast("int"))
+    byte = lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")
+    start = F.lit(2166136261).cast("bigint")
+    return F.pmod(F.when(F.length(hexed) == 0, start).otherwise(F.aggregate(steps, start, lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619).bitwiseAND(F.lit(4294967295)))), F.lit(buckets))
+
+
+def character_grams(word: Column, least: int = 3, most: int = 6) -> Column:
+    """Distinct substrings of the word between border marks; the whole word if it is shorter than ``least``."""
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+    by_size = [F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
+    grams = F.array_distinct(F.flatten(F.array(*by_size)))
+    return F.when(F.size(grams) == 0, F.array(marked)).otherwise(grams)
