@@ -71,13 +71,13 @@ def _select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Passages of each record whose hash was chosen, with their first position."""
     for batch in batches:
         rows = []
-        for key, text, chosen in zip(batch["key"], batch["text"], batch["chosen"], strict=True):
+        for key, text, least, chosen in zip(batch["key"], batch["text"], batch["least"], batch["chosen"], strict=True):
             wanted, seen = set(chosen), set()
             for at, p in enumerate(passages_of(text)):
                 if p not in seen and _h32(p) in wanted:
                     seen.add(p)
-                    rows.append((key, at, p))
-        yield pd.DataFrame(rows, columns=["key", "at", "passage"])
+                    rows.append((key, least, at, p))
+        yield pd.DataFrame(rows, columns=["key", "least", "at", "passage"])
 
 
 def eval_passages(train: DataFrame, evaluation: DataFrame, similarity: float) -> DataFrame:
@@ -91,8 +91,8 @@ def eval_passages(train: DataFrame, evaluation: DataFrame, similarity: float) ->
     take = F.greatest(F.least(spare + EXTRA - absent, F.size("found")), F.lit(0))
     picked = present.withColumn("take", take).withColumn("least", (absent + F.col("take") - spare).cast("int")).filter("least > 0 and take > 0")
     chosen = picked.select("key", "least", F.transform(F.slice("found", 1, F.col("take")), lambda x: x["h"]).alias("chosen"))
-    rows = evaluation.select("key", "text").join(chosen, "key").select("key", "text", "chosen").mapInPandas(_select, "key bigint, at int, passage string")
-    return rows.join(chosen.select("key", "least"), "key").withColumn("pid", F.xxhash64("passage"))
+    rows = evaluation.select("key", "text").join(chosen, "key").select("key", "text", "least", "chosen")
+    return rows.mapInPandas(_select, "key bigint, least int, at int, passage string").withColumn("pid", F.xxhash64("passage"))
 
 
 def _scan(folder: str, shards: int):
@@ -168,15 +168,17 @@ def overlaps(df: DataFrame, key: str = "aligned_id", text: str = "body_clean", s
     intervals)`` has every pair of a training and an evaluation class of at
     least ``similarity``, with the merged word intervals of the evaluation text
     that match. Rows with a null key, text or split, and texts of fewer than
-    three words, overlap with nothing. Other columns are ignored.
+    three words, overlap with nothing. Keys should be unique: of a key that
+    occurs twice on one side, one text stands for both. Other columns are ignored.
     """
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(split).alias("split")).filter("key is not null and text is not null and split is not null")
     rows = rows.withColumn("is_train", F.col("split") == train)
     keyed = rows.select("key", "split", "is_train", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.length("text").alias("t3"))
     same = ["t1", "t2", "t3", "is_train"]
     classes = cut(keyed.join(keyed.groupBy(*same).agg(F.min("key").alias("rep")), same).select("key", "split", "rep", "is_train"), "classes")
-    reps = classes.filter("key = rep").select("key", "is_train").distinct()
-    only = rows.select("key", "text", "is_train").join(reps, ["key", "is_train"], "left_semi").dropDuplicates(["key", "is_train"])
+    # No text is shuffled while the keys of the copies fit a broadcast.
+    copies = small(cut(classes.filter("key <> rep").select("key", "is_train"), "copies"), 1_000_000)
+    only = rows.select("key", "text", "is_train").join(copies, ["key", "is_train"], "left_anti")
     side = lambda flag: only.filter(F.col("is_train") == flag).select("key", "text")
     passages = cut(eval_passages(side(True), side(False), similarity), "passages")
     distinct = passages.select("pid", "passage").distinct()
