@@ -180,7 +180,10 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 
 def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """``spec_name, capacity_tokens, key, piece_no, tokens``: a text is cut only if it exceeds the capacity."""
-    both = sizes.crossJoin(F.broadcast(specs.filter("capacity_tokens > 0")))
+    # One row per packing; the list is part of the request and doesn't grow with the texts.
+    listed = [F.struct(F.lit(r[0]).alias("spec_name"), F.lit(r[1]).alias("capacity_tokens")) for r in specs.select("spec_name", "capacity_tokens").filter("capacity_tokens > 0").collect()]
+    none = F.array().cast("array<struct<spec_name:string,capacity_tokens:int>>")
+    both = sizes.withColumn("_spec", F.explode(F.array(*listed) if listed else none)).select("*", "_spec.*").drop("_spec")
     count = F.greatest(F.ceil(F.col("tokens") / F.col("capacity_tokens")), F.lit(1)).cast("int")
     each = both.withColumn("piece_no", F.explode(F.sequence(F.lit(1), count)))
     return each.withColumn("tokens", F.least(F.col("tokens") - (F.col("piece_no") - 1) * F.col("capacity_tokens"), F.col("capacity_tokens").cast("bigint")))
