@@ -209,12 +209,15 @@ def jaccard(a: Column, b: Column) -> Column:
 def unique_paragraphs(text: Column, similar: float = 0.8) -> Column:
     """Greedy: a paragraph goes if it equals a kept one (case and blanks aside) or shares enough shingles with it."""
     parts = F.filter(F.transform(F.split(text, "\n+"), lambda p: F.trim(p)), lambda p: p != "")
+    # Keys and shingles are made once per paragraph, not once per comparison.
+    prepared = F.transform(parts, lambda p: F.struct(p.alias("p"), line_key(p).alias("k"), shingles(p).alias("s")))
 
     def step(kept: Column, p: Column) -> Column:
-        same = F.exists(kept, lambda q: (line_key(q) == line_key(p)) | (jaccard(shingles(q), shingles(p)) >= similar))
+        same = F.exists(kept, lambda q: (q["k"] == p["k"]) | (jaccard(q["s"], p["s"]) >= similar))
         return F.when(same, kept).otherwise(F.array_append(kept, p))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.aggregate(prepared, F.array().cast("array<struct<p:string,k:string,s:array<string>>>"), step)
+    return F.transform(kept, lambda q: q["p"])
 
 
 def light_clean(text: Column) -> Column:
@@ -243,6 +246,11 @@ def fnv1a(text: Column, buckets: int) -> Column:
 def character_grams(word: Column, least: int = 3, most: int = 6) -> Column:
     """Distinct substrings of the word between border marks; the whole word if it is shorter than ``least``."""
     marked = F.concat(F.lit("<"), word, F.lit(">"))
-    by_size = [F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
+        return F.when(F.length(marked) >= n, F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    by_size = [of_size(n) for n in range(least, most + 1)]
     grams = F.array_distinct(F.flatten(F.array(*by_size)))
     return F.when(F.size(grams) == 0, F.array(marked)).otherwise(grams)

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans import series_queries, times
+from tidewire.plans import series_queries, text_queries, times
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**times.QUERIES, **series_queries.QUERIES}
+    return {**times.QUERIES, **series_queries.QUERIES, **text_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**series_queries.SQL}
+    return {**series_queries.SQL, **text_queries.SQL}
