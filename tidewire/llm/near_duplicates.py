@@ -44,9 +44,13 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarra
     ``elements`` holds the hashed elements of all sets one after another,
     ``weights`` their positive weights, ``starts`` the bounds of the sets
     (length sets + 1). Returns a ``sets x k`` array of dart hashes. Unit cells
-    (weight strip x rank interval) hold a Poisson(1) number of darts each.
-    An empty set has the signature of zeros.
+    (weight strip x rank interval) hold a Poisson(1) number of darts each; where
+    all weights are one, every cell holds just one dart, which keeps the elements
+    exchangeable and so the probability of agreement exact. An empty set has
+    the signature of zeros.
     """
+    if np.all(weights == 1.0):
+        return _unit_darts(elements, starts, k)
     sets = len(starts) - 1
     sizes = np.diff(starts)
     # One strip for each begun unit of weight; a dart counts if it falls below the weight.
@@ -87,6 +91,41 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarra
     return mix(best).reshape(sets, k)
 
 
+#: Sets that share their rank intervals are thrown together.
+_RANK_HASHES = mix(np.arange(1 << 16, dtype=_U64))
+
+
+def _unit_darts(elements: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Signatures of unweighted sets: one hash per dart gives its coordinate, its rank within the interval and its name."""
+    sets, sizes = len(starts) - 1, np.diff(starts)
+    empty = _U64(np.iinfo(_U64).max)
+    best = np.full((sets, k), empty, dtype=_U64)
+    darts = k * np.log(max(k, 2)) + k
+    for i in range(sets):
+        own, mine = best[i], elements[starts[i] : starts[i + 1]]
+        low, high = 0, int(np.ceil(darts / max(sizes[i], 1)))
+        while sizes[i]:
+            ranks = np.arange(low, high, dtype=_U64)
+            names = _RANK_HASHES[low:high] if high <= len(_RANK_HASHES) else mix(ranks)
+            with np.errstate(over="ignore"):
+                dart = mine[None, :] + names[:, None]
+                dart = (dart ^ (dart >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
+                dart = (dart ^ (dart >> _U64(27))) * _U64(0x94D049BB133111EB)
+                dart ^= dart >> _U64(31)
+            where = ((dart >> _U64(42)) * _U64(k)) >> _U64(22)
+            dart &= _U64((1 << 42) - 1)
+            dart |= ranks[:, None] << _U64(42)
+            np.minimum.at(own, where.ravel().astype(np.int64), dart.ravel())
+            if not (own == empty).any():
+                break
+            low, high = high, high + (high - low + 1) // 2
+    best[best == empty] = 0
+    return mix(best)
+
+
+_PLACES = mix(np.arange(1, 65, dtype=_U64)) | _U64(1)
+
+
 class _Hashes(dict):
     """Word to 64-bit hash, remembered."""
 
@@ -113,10 +152,10 @@ def _word_grams(texts: list[str], n: int, least: int, known: _Hashes) -> list[np
             out.append(np.empty(0, _U64))
             continue
         h = np.fromiter(map(known.__getitem__, words), _U64, len(words))
-        with np.errstate(over="ignore"):
-            gram = np.zeros(len(words) - n + 1, _U64)
-            for i in range(n):
-                gram = mix(gram) + h[i : len(words) - n + 1 + i]
+        # Each place has an odd factor of its own, so that the order of the words counts.
+        gram = h[: len(words) - n + 1] * _PLACES[0]
+        for i in range(1, n):
+            gram += h[i : len(words) - n + 1 + i] * _PLACES[i]
         out.append(np.unique(gram))
     return out
 
@@ -201,8 +240,9 @@ def _sign(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                 folded = mix(folded + np.arange(kind.bands, dtype=_U64))
                 bits = np.packbits((signature[:, : kind.sketch_bits] & _U64(1)).astype(np.uint8), axis=1)
                 # The whole set in 128 bits: texts with equal sets are copies.
-                one = np.array([mix(g).sum(dtype=_U64) for g in grams])
-                two = np.array([mix(g ^ _U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U64) for g in grams])
+                begin = np.cumsum(sizes) - sizes
+                one = np.add.reduceat(mix(flat), begin)
+                two = np.add.reduceat(mix(flat ^ _U64(0xA5A5A5A5A5A5A5A5)), begin)
                 yield pd.DataFrame({
                     "key": part["key"].to_numpy()[use], "h1": one.view(np.int64), "h2": two.view(np.int64),
                     "bands": list(folded.view(np.int64)), "sketch": [b.tobytes() for b in bits],
@@ -259,7 +299,9 @@ def _pairs_of_hot(members: DataFrame, texts: DataFrame, kind: Likeness) -> DataF
 def candidates(reps: DataFrame, texts: DataFrame, kind: Likeness) -> DataFrame:
     """Distinct pairs ``a < b`` of representatives that share a band and whose sketches agree enough."""
     banded = reps.select("key", F.posexplode("bands").alias("band", "h")).withColumn("h", F.xxhash64("band", "h")).select("key", "h")
-    full = cut(banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > kind.hot).select("h"), "full")
+    # Overfull buckets show in a sample of the keys; how a bucket is treated changes the work and not the pairs.
+    sampled = banded.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(16)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    full = cut(sampled.filter(F.col("n") * 16 > kind.hot).select("h"), "full")
     if full.isEmpty():
         cool, hot = banded, None
     else:
@@ -270,7 +312,7 @@ def candidates(reps: DataFrame, texts: DataFrame, kind: Likeness) -> DataFrame:
         pairs = pairs.unionByName(_pairs_of_hot(hot, texts, kind)).distinct()
     sketches = reps.select("key", "sketch")
     pairs = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    return pairs.filter(_agreeing(kind) >= kind.sketch_least).select("a", "b")
+    return pairs.filter(_agreeing(kind) >= kind.sketch_least).select("a", "b").distinct()
 
 
 def _compare(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -293,14 +335,17 @@ def linked_representatives(df: DataFrame, key: str, text: str, kind: Likeness) -
     ``members (key, rep)`` has every row whose text is long enough, with the
     smallest key among the rows of equal sets. ``links (a, b, similarity)`` has
     every pair of representatives of at least the required similarity. Rows
-    with a null key, a null text or one that is too short are in neither; a key
-    that occurs twice counts as two rows of equal key. Other columns are ignored.
+    with a null key, a null text or one that is too short are in neither. Keys
+    should be unique: of a key that occurs twice, one text stands for both.
+    Other columns are ignored.
     """
     texts = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     signed = cut(signatures(df, key, text, kind), "signed")
     classes = signed.groupBy("h1", "h2").agg(F.min("key").alias("rep"))
     members = cut(signed.select("key", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "rep"), "members")
-    reps = signed.join(members.filter("key = rep").select("key").distinct(), "key", "left_semi").select("key", "bands", "sketch").dropDuplicates(["key"])
+    # Copies are few, or many of few texts: leaving them out shuffles no signature while their keys fit a broadcast.
+    copies = small(cut(members.filter("key <> rep").select("key"), "copies"), 1_000_000)
+    reps = signed.join(copies, "key", "left_anti").select("key", "bands", "sketch")
     pairs = cut(candidates(reps, texts, kind), "pairs")
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     picked = texts.join(small(wanted, 1_000_000), "key", "left_semi").dropDuplicates(["key"])
