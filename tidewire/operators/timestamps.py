@@ -38,7 +38,7 @@ SITE_OFFSETS = {
 # Abbreviations that name a zone with its clock changes.
 REGIONS = {"ET": "America/New_York", "CT": "America/Chicago", "MT": "America/Denver", "PT": "America/Los_Angeles", "AET": "Australia/Sydney"}
 
-_DAYNAME = r"(?:[a-z]+'?[a-z]*\.?,? )?"
+_DAYNAME = r"(?:[a-z]{2,10}(?:'[a-z]{1,4})?\.?,? )?"
 _ZONE = r"(z|[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,4}[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,5}|\([a-z]{2,5}\))?"
 _CLOCK = r"(?:(?:,? (?:at |pukul )?|,| - )(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)? ?([ap]\.?m\.?)? ?" + _ZONE + ")?"
 #: Style, pattern over the squeezed lower-case string, and the groups of year, month, day, hour, minute, second, fraction, am/pm and zone.
@@ -51,6 +51,8 @@ STYLES = (
     ("slashes", r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK + "$", (3, 2, 1, 4, 5, 6, 7, 8, 9)),
     ("slashes, year first", r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK + "$", (1, 2, 3, 4, 5, 6, 7, 8, 9)),
 )
+#: No style is longer; a longer string is no time and isn't matched.
+LONGEST = 120
 _COUNT = r"^[+-]?\d{9,20}(?:\.\d+)?$"
 _DAY_US = 86_400_000_000
 
@@ -85,6 +87,16 @@ def _seconds_east(zone: Column, site_zone: Column) -> Column:
     return F.coalesce(numeric, local * 60, _lookup(OFFSETS, name) * 60).cast("bigint")
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions use often.
+
+    The optimizer would write such an expression out wherever it is used; a
+    generator of one row stands in the way.
+    """
+    made = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made"))
+    return made.select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
 def parse_dictionary(entries: DataFrame) -> DataFrame:
     """Parse ``entries (raw, zone_name, day_first)``.
 
@@ -93,22 +105,22 @@ def parse_dictionary(entries: DataFrame) -> DataFrame:
     of the instant if the string has a zone or is a count). A local time that
     occurs twice is its first occurrence; a skipped one moves forward.
     """
-    s = F.lower(squeeze("raw"))
-    step = entries.withColumn("_s", s).withColumn("_p", _parts(F.col("_s"), F.coalesce("day_first", F.lit(False))))
+    step = _once(entries, _s=F.lower(squeeze(F.when(F.length(F.trim("raw")) <= LONGEST, F.col("raw")))))
+    step = _once(step, _p=_parts(F.col("_s"), F.coalesce("day_first", F.lit(False))))
     month = F.coalesce(F.col("_p.mo").try_cast("int"), _lookup(MONTHS, F.substring("_p.mo", 1, 3)))
     hour = F.coalesce(F.col("_p.h").try_cast("int"), F.lit(0))
     afternoon = F.col("_p.ap").startswith("p")
     hour = F.when(F.col("_p.ap").isNull(), hour).when((hour >= 1) & (hour <= 12), F.pmod(hour, F.lit(12)) + F.when(afternoon, 12).otherwise(0)).otherwise(F.lit(99))
-    step = step.select(
-        *entries.columns, "_s",
-        F.col("_p"), month.alias("_mo"), hour.alias("_h"),
-        F.coalesce(F.col("_p.mi").try_cast("int"), F.lit(0)).alias("_mi"),
-        F.coalesce(F.col("_p.s").try_cast("int"), F.lit(0)).alias("_sec"),
-        F.coalesce(F.rpad(F.substring("_p.f", 1, 6), 6, "0").try_cast("bigint"), F.lit(0)).alias("_f"),
-        _seconds_east(F.col("_p.zone"), F.col("zone_name")).alias("_east"),
+    step = _once(
+        step,
+        _mo=month, _h=hour,
+        _mi=F.coalesce(F.col("_p.mi").try_cast("int"), F.lit(0)),
+        _sec=F.coalesce(F.col("_p.s").try_cast("int"), F.lit(0)),
+        _f=F.coalesce(F.rpad(F.substring("_p.f", 1, 6), 6, "0").try_cast("bigint"), F.lit(0)),
+        _east=_seconds_east(F.col("_p.zone"), F.col("zone_name")),
     )
     date = F.expr("try_to_date(concat_ws('-', _p.y, lpad(cast(_mo as string), 2, '0'), lpad(_p.d, 2, '0')), 'yyyy-MM-dd')")
-    step = step.withColumn("_date", F.when(F.col("_p.y").try_cast("int").between(1, 9999), date))
+    step = _once(step, _date=F.when(F.col("_p.y").try_cast("int").between(1, 9999), date))
     valid = F.col("_date").isNotNull() & (F.col("_h") < 24) & (F.col("_mi") < 60) & (F.col("_sec") < 60)
     local = F.when(valid, F.unix_date("_date").cast("bigint") * _DAY_US + (F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_sec")).cast("bigint") * 1_000_000 + F.col("_f"))
     number = F.when(F.col("_s").rlike(_COUNT) & F.col("_p").isNull(), F.col("_s").try_cast("decimal(38,10)"))
@@ -118,6 +130,8 @@ def parse_dictionary(entries: DataFrame) -> DataFrame:
     region = F.coalesce(_lookup(REGIONS, F.upper("_p.zone")), F.when(F.col("_p.zone").isNull(), F.col("zone_name")))
     in_region = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), region))
     instant = F.coalesce(counted, F.when(F.col("_east").isNotNull(), local - F.col("_east") * 1_000_000), F.when(region.isNotNull(), in_region))
+    step = _once(step, _counted=counted, _instant=instant, _valid=valid)
+    counted, instant, valid = F.col("_counted"), F.col("_instant"), F.col("_valid")
     zoned = counted.isNotNull() | F.col("_p.zone").isNotNull()
     jakarta = F.date_from_unix_date(F.floor((instant + 7 * 3_600_000_000) / F.lit(_DAY_US)).cast("int"))
     day = F.when(zoned, jakarta).when(valid, F.col("_date"))
