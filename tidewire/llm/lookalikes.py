@@ -13,7 +13,7 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.runtime import cut
@@ -29,7 +29,8 @@ LOOKALIKES = {
 
 #: Characters whose tokens are looked at; every other character is already in its one form.
 UNUSUAL = r"[\p{M}\p{Cf}\x{2000}-\x{200A}\x{00A0}\x{1680}\x{202F}\x{205F}\x{3000}\x{3001}-\x{303F}\x{FF00}-\x{FFEF}\x{FB00}-\x{FB4F}\x{FE00}-\x{FE0F}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}]|[\p{L}&&[^\p{IsLatin}]]"
-_TOKEN = r"[^ \t\n\r]*[^\x00-\x7F][^ \t\n\r]*"
+#: Tried at the begin of a token only, and without going back, so that long tokens take linear time.
+_TOKEN = r"(?<![^ \t\n\r])[^ \t\n\r\x{80}-\x{10FFFF}]*+[^\x00-\x7F][^ \t\n\r]*"
 _PIECES = r"[^ \t\n\r]+|[ \t\n\r]+"
 _WORD_CHAR = r"^[\p{L}\p{M}\p{Cf}]$"
 KINDS = ("wide", "ligature", "mark", "invisible", "blank", "foreign")
@@ -48,7 +49,9 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
         canonical = tag and not tag.startswith("<") and not 0xAC00 <= code < 0xD7A4
         kind = None
         out = unicodedata.normalize("NFD", ch) if canonical else ch
-        if tag in ("<wide>", "<narrow>"):
+        if category == "Zs":
+            kind, out = "blank", " "
+        elif tag in ("<wide>", "<narrow>"):
             kind, out = "wide", unicodedata.normalize("NFKD", ch)
         elif 0xFB00 <= code < 0xFB50:
             kind, out = "ligature", unicodedata.normalize("NFKD", ch)
@@ -56,8 +59,6 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
             kind = "mark"
         elif category == "Cf":
             kind, out = "invisible", ""
-        elif category == "Zs":
-            kind, out = "blank", " "
         if kind or out != ch:
             parts.append((ch, out, kind))
         if ccc := unicodedata.combining(ch):
@@ -77,14 +78,19 @@ def _frames(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
 
+def _name(token: str) -> Column:
+    """What stands for a token in the rows of its code points: itself, or a digest of a long one."""
+    return F.when(F.length(token) > 64, F.concat(F.lit(" "), F.md5(token))).otherwise(F.col(token))
+
+
 def token_forms(tokens: DataFrame) -> DataFrame:
-    """``token, form, kinds`` for each distinct token of ``tokens (token)``; ``kinds`` lists what was unusual in it."""
+    """``name, form, kinds`` for each distinct token of ``tokens (token)``; ``kinds`` lists what was unusual in it."""
     spark = tokens.sparkSession
     parts, classes, pairs = _frames(spark)
-    points = tokens.select("token", F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    points = tokens.select(_name("token").alias("name"), F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     # A word is a run of letters, marks and invisible characters.
-    order = Window.partitionBy("token").orderBy("pos")
-    word = Window.partitionBy("token", "word")
+    order = Window.partitionBy("name").orderBy("pos")
+    word = Window.partitionBy("name", "word")
     points = points.withColumn("word", F.sum(F.when(F.col("ch").rlike(_WORD_CHAR), 0).otherwise(1)).over(order))
     latin = F.max(F.col("ch").rlike(r"\p{IsLatin}").cast("int")).over(word) == 1
     foreign = F.col("ch").rlike(r"[\p{L}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]")
@@ -92,15 +98,15 @@ def token_forms(tokens: DataFrame) -> DataFrame:
     points = points.withColumn("kind", F.when(F.col("foreign"), "foreign").otherwise(F.col("kind")))
     out = F.when(F.col("foreign") & F.col("latin").isNotNull(), F.col("latin")).otherwise(F.coalesce("parts", "ch"))
     # An invisible character leaves nothing, but its row keeps the kind.
-    atoms = points.select("token", "pos", "kind", F.posexplode_outer(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0))).alias("sub", "c"))
+    atoms = points.select("name", "pos", "kind", F.posexplode_outer(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0))).alias("sub", "c"))
     atoms = atoms.join(F.broadcast(classes.withColumnRenamed("ch", "c")), "c", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
-    reading = Window.partitionBy("token").orderBy("pos", "sub")
+    reading = Window.partitionBy("name").orderBy("pos", "sub")
     atoms = atoms.withColumn("starter", F.sum(F.when((F.col("ccc") == 0) & F.col("c").isNotNull(), 1).otherwise(0)).over(reading))
-    clusters = atoms.groupBy("token", "starter").agg(
+    clusters = atoms.groupBy("name", "starter").agg(
         F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("ccc", "pos", "sub", "c")))).alias("marks"),
         F.collect_set("kind").alias("kinds"),
     )
-    simple = clusters.filter(F.size("marks") <= 1).select("token", "starter", F.coalesce(F.try_element_at("marks", F.lit(1))["c"], F.lit("")).alias("text"), "kinds")
+    simple = clusters.filter(F.size("marks") <= 1).select("name", "starter", F.coalesce(F.try_element_at("marks", F.lit(1))["c"], F.lit("")).alias("text"), "kinds")
     return _joined(simple.unionByName(_composed(clusters.filter(F.size("marks") > 1), pairs)))
 
 
@@ -120,17 +126,18 @@ def _composed(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     first = F.element_at("marks", 1)
     start = F.struct(first["c"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
     folded = F.aggregate(F.slice("marks", 2, F.greatest(F.size("marks") - 1, F.lit(0))), start, step)
-    return clusters.crossJoin(table).withColumn("f", folded).select("token", "starter", F.concat("f.base", "f.rest").alias("text"), "kinds")
+    return clusters.crossJoin(table).withColumn("f", folded).select("name", "starter", F.concat("f.base", "f.rest").alias("text"), "kinds")
 
 
 def _joined(clusters: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("starter", "text"))), lambda x: x["text"]), "")
-    return clusters.groupBy("token").agg(text.alias("form"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    return clusters.groupBy("name").agg(text.alias("form"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
 
 
 def _unusual_tokens(texts: DataFrame) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))
-    return texts.select("key", F.explode(tokens).alias("token")).filter(F.col("token").rlike(UNUSUAL))
+    found = texts.select("key", F.explode(tokens).alias("token")).filter(F.col("token").rlike(UNUSUAL))
+    return found.withColumn("name", _name("token"))
 
 
 def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -145,8 +152,9 @@ def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(UNUSUAL))
     tokens = cut(_unusual_tokens(texts), "tokens")
-    forms = cut(token_forms(tokens.select("token").distinct()), "forms").filter((F.col("form") != F.col("token")) | (F.size("kinds") > 0))
-    found = tokens.join(forms, "token").groupBy("key").agg(
+    forms = cut(token_forms(tokens.select("token").distinct()), "forms")
+    changed = (F.col("form") != F.col("token")) | (F.size("kinds") > 0)
+    found = tokens.join(forms, "name").filter(changed).groupBy("key").agg(
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "form")))).alias("_map"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"),
     )
@@ -160,4 +168,4 @@ def keys_with_kinds(df: DataFrame, key: str, text: str) -> DataFrame:
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(UNUSUAL))
     tokens = cut(_unusual_tokens(texts), "tokens")
     forms = cut(token_forms(tokens.select("token").distinct()), "forms").filter(F.size("kinds") > 0)
-    return tokens.join(forms.select("token"), "token", "left_semi").select("key").distinct()
+    return tokens.join(forms.select("name"), "name", "left_semi").select("key").distinct()
