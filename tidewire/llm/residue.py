@@ -55,6 +55,10 @@ PLACEHOLDERS = """
 <insert name> <insert figure here> <insert date> <your name> <title goes here> <name>
 <%= title %> <%= page.title %> <% include header %> {% include "header" %} {% block content %} {% title %} {0} {1} {2} {name} {title} #{title} <?php echo title ?> <?= title ?>
 """
+# Signs as prose uses them, counted as natural however small the corpus is.
+PROSE = """
+He said that “[the minister] did not know” of it. “It [the bank] will not move,” she wrote. The plan [sic] was kept. Prices rose 3.5% to $4.20, or 12 % more. See the note [1] and the list (a) to (c).
+"""
 SEEDS = {"notice": NOTICES, "filler": FILLERS, "placeholder": PLACEHOLDERS}
 BINS = 1 << 16
 #: Order of the letter grams by kind: invented words of filler share endings rather than longer strings.
@@ -101,6 +105,7 @@ def grams(text: str) -> dict[str, np.ndarray]:
 
 
 Counts = dict[str, np.ndarray]
+_PROSE_WEIGHT = 20
 
 
 @dataclass(frozen=True)
@@ -129,7 +134,7 @@ class Model:
         self.letters, self.shapes = {}, {}
         for kind, seed in SEEDS.items():
             own = {k: np.bincount(b, minlength=BINS).astype(float) for k, b in grams(seed).items()}
-            rest = {k: natural[k].astype(float) for k in natural}
+            rest = {k: natural[k] + _PROSE_WEIGHT * np.bincount(b, minlength=BINS).astype(float) for k, b in grams(PROSE).items()}
             for k in own:
                 if found and kind in found:
                     own[k] += found[kind][k]
@@ -142,24 +147,19 @@ class Model:
     def _ratio(own: np.ndarray, natural: np.ndarray) -> np.ndarray:
         # Seeds are short, so their unseen grams get little mass and a floor.
         p = (own + 0.02) / (own.sum() + 0.02 * BINS)
-        q = (natural + 0.02) / (natural.sum() + 0.02 * BINS)
+        q = (natural + 0.5) / (natural.sum() + 0.5 * BINS)
         return np.clip(np.log(p) - np.log(q), -3.0, 7.0).astype(np.float32)
 
 
-def _mean(values: np.ndarray, window: int) -> np.ndarray:
-    """Mean over the window that starts at each position; shorter at the end."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    ends = np.minimum(np.arange(len(values)) + window, len(values))
-    return (total[ends] - total[:-1]) / window
-
-
-def _spread(flags: np.ndarray, window: int) -> np.ndarray:
-    """Positions within a flagged window."""
-    steps = np.zeros(len(flags) + window + 1, np.int32)
-    at = np.flatnonzero(flags)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + window, -1)
-    return np.cumsum(steps)[: len(flags)] > 0
+def _covered(ratio: np.ndarray, stop: np.ndarray, window: int, least: float, room: np.ndarray | int) -> np.ndarray:
+    """Positions within a window whose mean ratio over ``room`` characters is high enough; windows end with their line."""
+    at = np.arange(len(ratio))
+    total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+    ends = np.minimum(at + window, stop)
+    ends = np.maximum(ends, at)
+    flagged = np.flatnonzero((total[ends] - total[at]) / room >= least)
+    steps = np.bincount(flagged, minlength=len(ratio) + 1) - np.bincount(ends[flagged], minlength=len(ratio) + 1)
+    return np.cumsum(steps)[: len(ratio)] > 0
 
 
 @dataclass
@@ -173,12 +173,13 @@ class _Lines:
     covered: dict[str, np.ndarray]
 
 
-def _lines(texts: list[str], model: Model, limits: Limits) -> _Lines:
+def _lines(texts: list[str], model: Model, limits: Limits, title: bool = False) -> _Lines:
     joined = "\n\x00\n".join(texts) + "\n"
     bins, codes = grams(joined), _codes(joined)
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     text, sizes = np.cumsum(codes == 0)[starts], ends - starts
+    stop, sizes_all = np.repeat(ends, sizes + 1), sizes
     inner = (sizes > 0) & (codes[starts] != 0)
     out = _Lines(bins, starts[inner], sizes[inner], text[inner], {})
     solid = (codes != 10) & (codes != 0)
@@ -192,7 +193,9 @@ def _lines(texts: list[str], model: Model, limits: Limits) -> _Lines:
             ratio, window, least = model.letters[kind][bins[str(ORDERS[kind])]] + 0.5 * of_shapes, limits.window, limits.ratio
         else:
             ratio, window, least = model.letters[kind][bins[str(ORDERS[kind])]], limits.filler_window, limits.filler_ratio
-        total = np.concatenate([[0], np.cumsum(_spread(_mean(ratio, window) >= least, window) & solid)])
+        # A title may be shorter than a window; a short line of a body is no evidence by itself.
+        room = np.minimum(window, np.maximum(np.repeat(sizes_all, sizes_all + 1), 3)) if title and kind == "notice" else window
+        total = np.concatenate([[0], np.cumsum(_covered(ratio, stop, window, least, room) & solid)])
         out.covered[kind] = total[out.starts + out.sizes] - total[out.starts]
     return out
 
@@ -202,7 +205,7 @@ def judge(texts: list[str], model: Model, limits: Limits, title: bool) -> list[s
     out: list[str | None] = [None] * len(texts)
     if not texts:
         return out
-    lines = _lines(texts, model, limits)
+    lines = _lines(texts, model, limits, title)
     if not len(lines.starts):
         return out
     size = np.bincount(lines.text, weights=lines.sizes, minlength=len(texts))
@@ -211,7 +214,8 @@ def judge(texts: list[str], model: Model, limits: Limits, title: bool) -> list[s
         if kind == "placeholder":
             found = np.unique(lines.text[covered >= limits.mark_window])
         elif title:
-            found = np.flatnonzero(share >= limits.title)
+            # One short word is too little to tell filler from a name.
+            found = np.flatnonzero((share >= limits.title) & (size >= (limits.shortest_line / 2 if kind == "filler" else 1)))
         else:
             least = limits.shortest_filler if kind == "filler" else limits.shortest_line
             whole = lines.text[(lines.sizes >= least) & (covered >= limits.line * lines.sizes)]
@@ -295,7 +299,8 @@ def residue(df: DataFrame, key: str = "article_id", title: str = "title", body:
     A row goes if its title, one of its lines or half its body is a notice or
     filler, or if a placeholder stands anywhere. Null and empty fields are no
     residue. Keys may repeat; each row is judged by itself. Other columns are
-    ignored, and an empty table gives an empty result.
+    ignored, and an empty table gives an empty result. Prose is known from the
+    table itself, so a table of a few hundred short texts is judged coarsely.
     """
     model = fit(df, title, body, limits)
 
