@@ -126,13 +126,28 @@ def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT article_id, nullif(trim(title), '') AS title, coalesce(length(array_to_string(list_distinct(list_filter(list_transform(string_split(body, chr(10)), lambda x: x), lambda x: x <> '')), '')), 0) > 0 AS has_body FROM scrape_article WHERE title IS NOT NULL AND body IS NOT NULL AND regexp_full_match(title, '[A-Za-z0-9 ]+') AND regexp_full_match(body, '[^<>&]*')")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages composed from title and body, taken apart again."""
+    """Pages composed from plain titles and bodies alone, as the SQL can follow; ``html_extract_whole`` takes every row."""
     df = table(spark, sf_dir, "scrape_article").filter(F.col("title").rlike("^[A-Za-z0-9 ]+$") & F.col("body").rlike("^[^<>&]*$"))
     html = F.concat(F.lit("<html><head><title>"), "title", F.lit("</title><script>var x = 1;</script></head><body><nav>Menu</nav><article><p>"), F.replace("body", F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
     out = files.extract_pages(df.select("article_id", html.alias("html")), "article_id", "html")
     return out.select(F.col("key").alias("article_id"), "title", F.col("body").isNotNull().alias("has_body"))
 
 
+def _escaped(column: str):
+    text = F.coalesce(F.col(column), F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+@query()
+def html_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages composed from every title and body, escaped, taken apart again."""
+    df = table(spark, sf_dir, "scrape_article")
+    html = F.concat(F.lit("<html><head><title>"), _escaped("title"), F.lit("</title><script>var x = 1;</script></head><body><nav>Menu</nav><article><p>"), F.replace(_escaped("body"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
+    return files.extract_pages(df.select("article_id", html.alias("html")), "article_id", "html").select(F.col("key").alias("article_id"), "title", "body")
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def resume_in_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A load that was cut off after a third and resumed."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -175,7 +174,7 @@ def page_fields(page: str | None) -> tuple[str | None, ...]:
     parser.feed(page)
     parser.close()
     body = "\n".join(dict.fromkeys(parser.article_paragraphs or parser.paragraphs)) or " ".join("".join(parser.all_text).split()) or None
-    return parser.title and html.unescape(parser.title), parser.time, parser.author, body, "\n".join(parser.scripts) or None
+    return parser.title, parser.time, parser.author, body, "\n".join(parser.scripts) or None
 
 
 def extract_pages(df: DataFrame, key: str, page: str) -> DataFrame:
