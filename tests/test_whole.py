@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tests.conftest import rows_of
+import re
+
 from tidewire.plans import registry
 
 QUERIES = registry.queries()
@@ -31,3 +32,25 @@ def test_html_extract_takes_every_row(spark, sf_dir, duck, tmp_path):
     run = lambda d: {r["article_id"]: (r["title"], r["body"]) for r in QUERIES["html_extract_whole"](spark, d).collect()}
     assert run(folder) == want([(i, *x) for i, x in enumerate(texts)])
     assert run(sf_dir) == want(duck.sql("SELECT article_id, title, body FROM scrape_article").fetchall())
+
+
+QUOTES = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": " - "})
+INVISIBLE = re.compile(r"[​-‏‪-‮⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def plain_text(text):
+    return re.sub(r"\b(?:[A-Z]\.){2,}", lambda m: m.group().replace(".", ""), INVISIBLE.sub("", text.translate(QUOTES)))
+
+
+def title_of(title):
+    if title is None:
+        return None
+    return re.sub(r"[ \t\r\f\v]+", " ", re.sub(r"(?i)\s+[-|]\s+[A-Za-z]+\s*$", "", plain_text(title))).strip()
+
+
+def test_title_suffix_takes_every_headline(spark, sf_dir, duck, tmp_path):
+    titles = ["Plain - Outlet", "‘Ünal’ risk grows – Wire", "“Café” talks — Daily", "The U.S. and U.S.A. and U.K. met | Post", "in​vis⁠ible ﻿- Desk", "no-break - Ledger", "ends in U.S. – Wire", "AU.S. and U.S. differ", None, "", "a - b - Wire"]
+    folder = stored(spark, tmp_path, "cnbc_discovered", list(enumerate(titles)), "disc_id bigint, title_rss string")
+    run = lambda d: {r["disc_id"]: r["title"] for r in QUERIES["title_suffix_whole"](spark, d).collect()}
+    assert run(folder) == {i: title_of(x) for i, x in enumerate(titles)}
+    assert run(sf_dir) == {i: title_of(x) for i, x in duck.sql("SELECT disc_id, title_rss FROM cnbc_discovered").fetchall()}

@@ -37,7 +37,8 @@ URL_BROAD = r"(?i)https?://\S+|www\.\S+|(?:[a-zA-Z0-9-]+\.)+(?:com|org|net|gov|e
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 TAG = "<[^>]+>"
 DATELINE = r"^[A-Z][A-Za-z.,' ]{2,40}\s+\((?:Reuters|AP)\)\s*-\s*"
-ACRONYM = r"\b(?:[A-Z]\.){2,}"
+# A letter and its dot at the start of an acronym or right after one of its dots.
+ACRONYM = r"(?U)(?:(?!\A)\G|\b(?=[A-Z]\.[A-Z]\.))([A-Z])\."
 NOTICE_PARAGRAPHS = (
     r"^(watch|read more|read|related|listen|see also|more from|sign up|subscribe|click here|follow)\b\s*[:\-]",
     r"\bcnbc pro\b",
@@ -112,9 +113,8 @@ def plain_quotes(text: Column) -> Column:
 
 
 def joined_acronyms(text: Column) -> Column:
-    """``U.S.`` as ``US``: each distinct acronym of the text is replaced, longest first."""
-    found = F.array_sort(F.array_distinct(matches(text, ACRONYM)), lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(found, text, lambda acc, a: F.replace(acc, a, F.replace(a, F.lit("."), F.lit(""))))
+    """``U.S.`` as ``US``."""
+    return F.regexp_replace(text, ACRONYM, "$1")
 
 
 def normal_url(url: Column) -> Column:
@@ -135,7 +135,7 @@ def masked(text: Column) -> Column:
 def clean_title(title: Column, suffix: str) -> Column:
     """Plain quotes, joined acronyms, without a trailing outlet name."""
     plain = joined_acronyms(F.regexp_replace(plain_quotes(title), INVISIBLE, ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?i)\s+[-|]\s+" + suffix + r"\s*$", ""), r"[ \t\r\f\x0b]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?iU)\s+[-|]\s+" + suffix + r"\s*$", ""), r"[ \t\r\f\x0b]+", " "))
 
 
 def clean_paragraphs(text: Column, least_words: int = 4, notice_words: int = 40) -> Column:

@@ -113,11 +113,17 @@ def plain_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT disc_id, trim(regexp_replace(regexp_replace(title_rss, '(?i)\\s+[-|]\\s+[A-Za-z]+\\s*$', ''), '[ \\t\\r\\f]+', ' ', 'g')) AS title FROM cnbc_discovered WHERE NOT regexp_matches(title_rss, '[^\\x00-\\x7F]') AND NOT regexp_matches(title_rss, '(?:[A-Z]\\.){2,}')")
 def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines without the outlet at their end."""
+    """ASCII headlines without the outlet at their end, as the SQL can follow; ``title_suffix_whole`` takes every one."""
     df = table(spark, sf_dir, "cnbc_discovered").filter(~F.col("title_rss").rlike(r"[^\x00-\x7F]") & ~F.col("title_rss").rlike(r"(?:[A-Z]\.){2,}"))
     return df.select("disc_id", t.clean_title(F.col("title_rss"), "[A-Za-z]+").alias("title"))
 
 
+@query()
+def title_suffix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every headline in plain signs without the outlet at its end."""
+    return table(spark, sf_dir, "cnbc_discovered").select("disc_id", t.clean_title(F.col("title_rss"), "[A-Za-z]+").alias("title"))
+
+
 _PARAGRAPHS = f"""
 p AS (SELECT aligned_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace({_BODY}, '(?i)https?://\\S+|www\\.\\S+|pic\\.twitter\\.com/\\S+', ' ', 'g'), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', ' ', 'g'), chr(10)),
       lambda x: trim(regexp_replace(x, '[ \\t\\r\\f]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM articles_aligned),
