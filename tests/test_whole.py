@@ -54,3 +54,26 @@ def test_title_suffix_takes_every_headline(spark, sf_dir, duck, tmp_path):
     run = lambda d: {r["disc_id"]: r["title"] for r in QUERIES["title_suffix_whole"](spark, d).collect()}
     assert run(folder) == {i: title_of(x) for i, x in enumerate(titles)}
     assert run(sf_dir) == {i: title_of(x) for i, x in duck.sql("SELECT disc_id, title_rss FROM cnbc_discovered").fetchall()}
+
+
+MASKS = (
+    (re.compile(r"<[^>]+>"), " "),
+    (re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"), " "),
+    (re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"), "EMAIL"),
+    (re.compile(r"https?://\S+|www\.\S+|(?:[a-zA-Z0-9-]+\.)+(?:com|org|net|gov|edu|io|id|co)\b\S*", re.I), "URL"),
+)
+
+
+def masked_text(text):
+    for pattern, kind in MASKS:
+        text = text if text is None else pattern.sub(kind, text)
+    return text if text is None else " ".join(text.split())
+
+
+def test_mask_entities_reads_the_texts(spark, sf_dir, duck, tmp_path):
+    texts = ["<en> mail desk_a@desk.example see https://desk.example/x now", "“Café”\nmail é.b@c.example or www.x.example, then go", "https://a.example/b and prices.co fell", "a\x00b\x85c\td  e", "ünal@bank.example and bank.com/über", None, ""]
+    folder = stored(spark, tmp_path, "documents", [(i, x, None) for i, x in enumerate(texts)], "doc_id bigint, text string, lang string")
+    run = lambda d: {r["doc_id"]: r["masked"] for r in QUERIES["mask_entities_whole"](spark, d).collect()}
+    assert run(folder) == {i: masked_text(x) for i, x in enumerate(texts)}
+    assert run(folder)[0] == "mail EMAIL see URL now"
+    assert run(sf_dir) == {i: masked_text(x) for i, x in duck.sql("SELECT doc_id, text FROM documents").fetchall()}

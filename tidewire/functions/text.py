@@ -32,9 +32,9 @@ def words(text: Column) -> Column:
 # Patterns and word lists that results depend on.
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}\x00-\x08\x0b\x0c\x0e-\x1f]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
-URL = r"(?i)https?://\S+|www\.\S+|pic\.twitter\.com/\S+"
-URL_BROAD = r"(?i)https?://\S+|www\.\S+|(?:[a-zA-Z0-9-]+\.)+(?:com|org|net|gov|edu|io|id|co)\b\S*"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+URL = r"(?iU)https?://\S+|www\.\S+|pic\.twitter\.com/\S+"
+URL_BROAD = r"(?iU)https?://\S+|www\.\S+|(?:[a-zA-Z0-9-]+\.)+(?:com|org|net|gov|edu|io|id|co)\b\S*"
+EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 TAG = "<[^>]+>"
 DATELINE = r"^[A-Z][A-Za-z.,' ]{2,40}\s+\((?:Reuters|AP)\)\s*-\s*"
 # A letter and its dot at the start of an acronym or right after one of its dots.

@@ -301,11 +301,17 @@ def unique_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, array_to_string(list_transform(string_split('<' || lang || '> mail ' || source || '@desk.example see https://' || source || '.example/x now', ' '), lambda w: CASE WHEN w LIKE '%@%' THEN 'EMAIL' WHEN w LIKE 'https://%' THEN 'URL' WHEN w LIKE '<%' THEN '' ELSE w END), ' ') AS masked FROM documents WHERE lang IS NOT NULL")
 def mask_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags stripped, addresses masked, on composed lines."""
+    """Tags stripped, addresses masked, on composed lines, as the SQL can follow; ``mask_entities_whole`` takes the texts."""
     line = F.concat(F.lit("<"), "lang", F.lit("> mail "), F.regexp_replace("source", "_", "_"), F.lit("@desk.example see https://"), "source", F.lit(".example/x now"))
     return table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", F.concat(F.lit(" "), t.light_clean(line)).alias("masked"))
 
 
+@query()
+def mask_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without tags and control characters, addresses masked."""
+    return table(spark, sf_dir, "documents").select("doc_id", t.light_clean(F.col("text")).alias("masked"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of semi-structured properties."""
