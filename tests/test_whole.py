@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+from tidewire.functions import text as t
 from tidewire.plans import registry
 
 QUERIES = registry.queries()
@@ -77,3 +79,60 @@ def test_mask_entities_reads_the_texts(spark, sf_dir, duck, tmp_path):
     assert run(folder) == {i: masked_text(x) for i, x in enumerate(texts)}
     assert run(folder)[0] == "mail EMAIL see URL now"
     assert run(sf_dir) == {i: masked_text(x) for i, x in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
+
+
+BODIES = [
+    "Café Ünal didn’t rise — “the U.S. rate” fell 1,5 percent in São Paulo.\nJAKARTA – short\nThe naïve trader said: 'no' to Mupèor Insight, 2.5 and 3.\nThe naïve trader said: 'no' to Mupèor Insight, 2.5 and 3.",
+    "Read more: “news”\nWrite é.b@bank.example or see https://x.example/a for the café’s rates today.\nin​vis⁠ible signs are not words - – —",
+    "Plain ASCII body of words. It isn't long. No!\n\nBanks' rates can't rise, won't fall",
+    "JAKARTA (Reuters) – The rupiah rose against the dollar again.\nA: b.",
+    "",
+]
+
+
+def paragraphs_of(text):
+    text = re.sub(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", " ", re.sub(r"https?://\S+|www\.\S+|pic\.twitter\.com/\S+", " ", plain_text(text), flags=re.I))
+    kept = []
+    for p in (re.sub(r"[ \t\r\f\v]+", " ", p).strip(" ") for p in text.split("\n")):
+        p = p if kept else re.sub(t.DATELINE, "", p)
+        if len(p.split()) >= 4 and not (len(p.split()) < 40 and re.search("|".join(t.NOTICE_PARAGRAPHS), p, re.I)):
+            kept.append(p)
+    return "\n".join(dict.fromkeys(kept))
+
+
+def bag_of(text):
+    text = re.sub(r"'s\b", "", re.sub(r"n't\b", " not", text.lower().replace("can't", "cannot").replace("won't", "will not"))).replace("'", "")
+    return [w for w in re.findall("[a-z]{2,}", text) if w not in t.STOPWORDS or w in {"no", "not", "nor", "never", "none", "cannot", "without", "us"}]
+
+
+def lemmas_of(text):
+    def lemma(w):
+        if w.endswith("ies") and len(w) > 4:
+            return w[:-3] + "y"
+        cut = 0 if w.endswith(("ss", "us", "is")) else 2 if w.endswith("es") and len(w) > 3 else w.endswith("s") and len(w) > 2
+        return w[: len(w) - cut]
+
+    return [lemma(re.sub("'s$", "", w)) for w in re.findall(r"\b[a-z0-9]+(?:'[a-z]+)?\b", text.lower())]
+
+
+def test_stored_text_equals_brute_force(spark, sf_dir, duck, tmp_path):
+    rows = [(i, x, x.split("\n")[0], len(x.split()), "train", "2024-01-01") for i, x in enumerate(BODIES)]
+    folder = stored(spark, tmp_path, "articles_aligned", rows, "aligned_id bigint, body_clean string, title_clean string, n_words int, split string, news_date_wib string")
+    real = duck.sql("SELECT aligned_id, body_clean, title_clean, n_words FROM articles_aligned").fetchall()
+    for d, some in ((folder, [r[:4] for r in rows]), (sf_dir, real)):
+        for name, column, want in (
+            ("word_count", "n", lambda b, h: len(b.split())),
+            ("clean_paragraphs", "body", lambda b, h: paragraphs_of(b)),
+            ("bow_tokens", "bow", lambda b, h: " ".join(bag_of(b))),
+            ("lemma_rules", "lemmas", lambda b, h: " ".join(lemmas_of(h))),
+            ("classical_clean", "unigrams", lambda b, h: " ".join(w for w in lemmas_of(h) if w in t.NEGATIONS or w not in t.STOPWORDS and len(w) >= 3)),
+            ("preserved_entities", "entities", lambda b, h: "|".join(sorted(set(re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", h))))),
+            ("preserved_entities", "numbers", lambda b, h: "|".join(sorted(set(re.findall(r"\b\d+(?:[.,]\d+)*\b", b))))),
+            ("sentences", "sentences", lambda b, h: sum(len(s.split()) >= 3 for s in re.split(r"(?<=[.!?])\s+|\n+", b))),
+        ):
+            got = Counter((r[0], r[1]) for r in QUERIES[f"{name}_whole"](spark, d).select("aligned_id", column).collect())
+            assert got == Counter((i, want(b, h)) for i, b, h, _ in some), name
+    # The table's own count is over the stored text.
+    assert Counter((r[0], r[1]) for r in QUERIES["word_count_whole"](spark, sf_dir).collect()) == Counter((i, n) for i, _, _, n in real)
+    df = Counter(w for _, b, _, _ in real for w in set(bag_of(b)))
+    assert {r["term"]: r["df"] for r in QUERIES["doc_freq_whole"](spark, sf_dir).collect()} == df

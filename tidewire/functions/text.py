@@ -157,7 +157,7 @@ def clean_paragraphs(text: Column, least_words: int = 4, notice_words: int = 40)
 def bag_of_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Lower-case words of two letters and more without stop words; negations stay."""
     t = F.replace(F.replace(F.lower(text), F.lit("can't"), F.lit("cannot")), F.lit("won't"), F.lit("will not"))
-    t = F.regexp_replace(F.regexp_replace(t, r"n't\b", " not"), r"'s\b", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)n't\b", " not"), r"(?U)'s\b", "")
     keep = {"no", "not", "nor", "never", "none", "cannot", "without", "us"}
     stop = _texts(tuple(w for w in stopwords if w not in keep))
     return F.array_join(F.filter(matches(F.replace(t, F.lit("'"), F.lit("")), "[a-z]{2,}"), lambda w: ~F.array_contains(stop, w)), " ")
@@ -165,7 +165,7 @@ def bag_of_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column
 
 def word_tokens(text: Column) -> Column:
     """Words with an inner apostrophe, lower case, without a possessive ``'s``."""
-    return F.transform(matches(F.lower(text), r"[a-z0-9]+(?:'[a-z]+)?"), lambda w: F.regexp_replace(w, "'s$", ""))
+    return F.transform(matches(F.lower(text), r"(?U)\b[a-z0-9]+(?:'[a-z]+)?\b"), lambda w: F.regexp_replace(w, "'s$", ""))
 
 
 def lemma(word: Column) -> Column:
@@ -227,11 +227,11 @@ def light_clean(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Runs of capitalised words, distinct and sorted."""
-    return F.array_sort(F.array_distinct(matches(text, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")))
+    return F.array_sort(F.array_distinct(matches(text, r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")))
 
 
 def numbers(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(matches(text, r"\b\d+(?:[.,]\d+)*\b")))
+    return F.array_sort(F.array_distinct(matches(text, r"(?U)\b\d+(?:[.,]\d+)*\b")))
 
 
 def fnv1a(text: Column, buckets: int) -> Column:

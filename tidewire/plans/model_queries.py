@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import models
 from tidewire.plans.series_queries import LABELS, _ALIGNED, _calendar
-from tidewire.plans.text_queries import _bags
+from tidewire.plans.text_queries import _bags, _stored
 from tidewire.runtime import cut, new_folder, table
 from tidewire.sources import files
 from tidewire.streaming import news
@@ -35,14 +35,14 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic shares of every article, fitted on train."""
-    docs, _ = models.topics(_bags(spark, sf_dir), "aligned_id", "tokens", k=4, iterations=5, fit_on="split = 'train'")
+    docs, _ = models.topics(_bags(spark, sf_dir, _stored), "aligned_id", "tokens", k=4, iterations=5, fit_on="split = 'train'")
     return docs.select("aligned_id", "dominant_topic", F.round("confidence", 4).alias("confidence"))
 
 
 @query()
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten top terms of each topic."""
-    return models.topics(_bags(spark, sf_dir), "aligned_id", "tokens", k=4, iterations=5, fit_on="split = 'train'")[1]
+    return models.topics(_bags(spark, sf_dir, _stored), "aligned_id", "tokens", k=4, iterations=5, fit_on="split = 'train'")[1]
 
 
 @query()
@@ -50,7 +50,7 @@ def word2vec_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-weighted mean vectors per day of a skip-gram model of train."""
     from tidewire.operators.features import as_vectors, pooled_by_token
 
-    bags = _bags(spark, sf_dir)
+    bags = _bags(spark, sf_dir, _stored)
     vectors = models.word_vectors(bags.filter("split = 'train'"), "tokens", dims=16).getVectors()
     from pyspark.ml.functions import vector_to_array
 

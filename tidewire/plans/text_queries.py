@@ -2,11 +2,13 @@
 
 The SQL engine knows no look-around and counts ASCII word borders, so where a
 pattern has borders both sides read the text with every other character as a
-blank.
+blank. The same queries named ``..._whole`` read the text as it is stored.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ def _ascii(column: str) -> Column:
     return F.regexp_replace(column, r"[^\x00-\x7F]", " ")
 
 
+def _stored(column: str) -> Column:
+    return F.col(column)
+
+
 _ASC = "regexp_replace({}, '[^\\x00-\\x7F]', ' ', 'g')"
 _BODY, _TITLE = _ASC.format("body_clean"), _ASC.format("title_clean")
 _HOST = "nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^(www|m|amp)\\.', ''), '')"
@@ -100,9 +106,9 @@ def text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT aligned_id, len(list_filter(string_split_regex({_BODY}, '\\s+'), lambda w: w <> '')) AS n FROM articles_aligned")
-def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_count(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Words between blanks."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.word_count(_ascii("body_clean")).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.word_count(text("body_clean")).cast("bigint").alias("n"))
 
 
 @query("SELECT aligned_id, replace(replace(replace(replace(replace(replace(body_clean, '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '—', ' - ') AS body FROM articles_aligned")
@@ -134,9 +140,9 @@ f AS (SELECT aligned_id, q, min(i) AS i FROM k WHERE n >= 4 AND NOT (n < 40 AND
 
 
 @query(f"WITH {_PARAGRAPHS} SELECT aligned_id, coalesce(string_agg(q, chr(10) ORDER BY i), '') AS body FROM p LEFT JOIN f USING (aligned_id) GROUP BY 1")
-def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_paragraphs(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Paragraphs without short ones, notices and repeats."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.clean_paragraphs(_ascii("body_clean")).alias("body"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.clean_paragraphs(text("body_clean")).alias("body"))
 
 
 _BOWSQL = "replace(regexp_replace(regexp_replace(replace(replace(lower({}), 'can''t', 'cannot'), 'won''t', 'will not'), 'n''t\\b', ' not', 'g'), '''s\\b', '', 'g'), '''', '')"
@@ -145,9 +151,9 @@ _BOW = f"list_filter(regexp_extract_all({_BOWSQL.format(_BODY)}, '[a-z]{{2,}}',
 
 
 @query(f"SELECT aligned_id, array_to_string({_BOW}, ' ') AS bow FROM articles_aligned")
-def bow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bow_tokens(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Bodies as bags of words."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.bag_of_words(_ascii("body_clean")).alias("bow"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.bag_of_words(text("body_clean")).alias("bow"))
 
 
 _LEMMA = """list_transform({}, lambda w: CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y'
@@ -158,22 +164,22 @@ _CLASSICAL = f"list_filter({_LEMMA.format(_TOKENS.format(_TITLE))}, lambda w: NO
 
 
 @query(f"SELECT aligned_id, array_to_string({_LEMMA.format(_TOKENS.format(_TITLE))}, ' ') AS lemmas FROM articles_aligned")
-def lemma_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lemma_rules(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Titles with plural endings removed by rule."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(F.transform(t.word_tokens(_ascii("title_clean")), t.lemma), " ").alias("lemmas"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(F.transform(t.word_tokens(text("title_clean")), t.lemma), " ").alias("lemmas"))
 
 
 @query(f"WITH c AS (SELECT aligned_id, {_CLASSICAL} AS ws FROM articles_aligned) SELECT aligned_id, array_to_string(ws, ' ') AS unigrams, array_to_string(list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1]), ' ') AS bigrams FROM c")
-def classical_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classical_clean(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Titles as lemmas without stop words but with negations, and their bigrams."""
-    df = table(spark, sf_dir, "articles_aligned").select("aligned_id", t.classical_tokens(_ascii("title_clean")).alias("ws"))
+    df = table(spark, sf_dir, "articles_aligned").select("aligned_id", t.classical_tokens(text("title_clean")).alias("ws"))
     return df.select("aligned_id", F.array_join("ws", " ").alias("unigrams"), F.array_join(t.bigrams(F.col("ws")), " ").alias("bigrams"))
 
 
 @query(f"SELECT aligned_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_TITLE}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b', 0))), '|') AS entities, array_to_string(list_sort(list_distinct(regexp_extract_all({_BODY}, '\\b\\d+(?:[.,]\\d+)*\\b', 0))), '|') AS numbers FROM articles_aligned")
-def preserved_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def preserved_entities(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Capitalised runs and numbers, distinct and sorted."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(t.entities(_ascii("title_clean")), "|").alias("entities"), F.array_join(t.numbers(_ascii("body_clean")), "|").alias("numbers"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(t.entities(text("title_clean")), "|").alias("entities"), F.array_join(t.numbers(text("body_clean")), "|").alias("numbers"))
 
 
 def _hits_sql(terms, column: str) -> str:
@@ -325,29 +331,30 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT aligned_id, len(list_filter(string_split_regex(regexp_replace({_BODY}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: len(regexp_extract_all(s, '[A-Za-z0-9]+', 0)) >= 3)) AS sentences FROM articles_aligned")
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentences(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Sentences of at least three words."""
-    parts = F.split(_ascii("body_clean"), r"(?<=[.!?])\s+|\n+")
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.size(F.filter(parts, lambda s: F.size(t.matches(s, "[A-Za-z0-9]+")) >= 3)).cast("bigint").alias("sentences"))
+    parts = F.split(text("body_clean"), r"(?U)(?<=[.!?])\s+|\n+")
+    words = t.word_count if text is _stored else lambda s: F.size(t.matches(s, "[A-Za-z0-9]+"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.size(F.filter(parts, lambda s: words(s) >= 3)).cast("bigint").alias("sentences"))
 
 
 _TERMS = f"tok AS (SELECT aligned_id, split, news_date_wib AS day, unnest({_BOW}) AS term FROM articles_aligned), cnt AS (SELECT aligned_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
 
 
-def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", "split", F.col("news_date_wib").alias("day"), F.col("n_words").cast("bigint").alias("n_words"), F.filter(F.split(t.bag_of_words(_ascii("body_clean")), " "), lambda w: w != "").alias("tokens"))
+def _bags(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", "split", F.col("news_date_wib").alias("day"), F.col("n_words").cast("bigint").alias("n_words"), F.filter(F.split(t.bag_of_words(text("body_clean")), " "), lambda w: w != "").alias("tokens"))
 
 
 @query(f"WITH {_TERMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM cnt GROUP BY 1")
-def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_freq(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Document and term frequencies."""
-    return features.document_frequency(features.term_counts(_bags(spark, sf_dir), "aligned_id", "tokens"))
+    return features.document_frequency(features.term_counts(_bags(spark, sf_dir, text), "aligned_id", "tokens"))
 
 
 @query(f"WITH {_TERMS}, n AS (SELECT count(*) AS n FROM articles_aligned), v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM cnt GROUP BY 1) SELECT term, df, total FROM v, n WHERE df >= 5 AND df <= 0.8::DOUBLE * n ORDER BY total DESC, term LIMIT 200")
-def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocab_topk(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """The 200 most frequent terms within bounds of document frequency."""
-    bags = _bags(spark, sf_dir)
+    bags = _bags(spark, sf_dir, text)
     return features.vocabulary(features.term_counts(bags, "aligned_id", "tokens"), bags.agg(F.count(F.lit(1)).alias("n")), 5, 0.8, 200)
 
 
@@ -358,8 +365,8 @@ raw AS (SELECT day, split, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE)
 unit AS (SELECT day, split, term, w / sqrt(sum(w * w) OVER (PARTITION BY day, split)) AS w FROM raw)"""
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bags = _bags(spark, sf_dir).withColumn("key", F.struct("day", "split"))
+def _weights(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+    bags = _bags(spark, sf_dir, text).withColumn("key", F.struct("day", "split"))
     counts = features.term_counts(bags, "key", "tokens")
     train = counts.filter("key.split = 'train'")
     n = bags.filter("split = 'train' and size(tokens) > 0").agg(F.count_distinct("day").alias("n"))
@@ -367,15 +374,15 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_TFIDF} SELECT day, split, term, round(w, 6) AS w FROM unit")
-def tfidf_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_day(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Unit weights of the terms of each day; vocabulary and frequencies from train alone."""
-    return _weights(spark, sf_dir).withColumn("w", F.round("w", 6))
+    return _weights(spark, sf_dir, text).withColumn("w", F.round("w", 6))
 
 
 @query(f"WITH {_TFIDF}, d AS (SELECT count(DISTINCT day) AS d FROM unit WHERE split = 'train') SELECT term, round(sum(w) / d, 6) AS mean_weight FROM unit, d WHERE split = 'train' GROUP BY term, d ORDER BY mean_weight DESC, term LIMIT 20")
-def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_terms(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """The 20 terms of the largest mean weight on train."""
-    w = _weights(spark, sf_dir).filter("split = 'train'")
+    w = _weights(spark, sf_dir, text).filter("split = 'train'")
     n = w.agg(F.count_distinct("day").alias("n"))
     return w.groupBy("term").agg(F.sum("w").alias("s")).crossJoin(F.broadcast(n)).select("term", F.round(F.col("s") / F.col("n"), 6).alias("mean_weight")).orderBy(F.desc("mean_weight"), "term").limit(20)
 
@@ -391,32 +398,32 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 @query(f"""WITH {_LEX}, {_TERMS}, h AS (SELECT aligned_id, category, count(*) AS n FROM tok JOIN lex ON term = word GROUP BY 1, 2)
 SELECT a.aligned_id, {", ".join(f"round(coalesce(sum(n) FILTER (category = '{c}'), 0) / greatest(n_words, 1)::DOUBLE, 8) AS {c}" for c in LEXICON)} FROM articles_aligned a LEFT JOIN h USING (aligned_id) GROUP BY a.aligned_id, n_words""")
-def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon_scores(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Shares of words in each category of a lexicon."""
-    out = features.lexicon_scores(_bags(spark, sf_dir), F.broadcast(_lexicon(spark)), "aligned_id", "tokens", "n_words", tuple(LEXICON))
+    out = features.lexicon_scores(_bags(spark, sf_dir, text), F.broadcast(_lexicon(spark)), "aligned_id", "tokens", "n_words", tuple(LEXICON))
     return out.select("aligned_id", *[F.round(c, 8).alias(c) for c in LEXICON])
 
 
 @query(f"""WITH {_LEX}, v AS (SELECT word, CASE category WHEN 'negative' THEN -2.0 WHEN 'positive' THEN 2.0 ELSE -0.5 END AS x FROM lex), {_TERMS}, s AS (SELECT aligned_id, CAST(sum(x) AS DOUBLE) AS s FROM tok JOIN v ON term = word GROUP BY 1)
 SELECT a.aligned_id, round(coalesce(s / sqrt(s * s + 15), 0), 6) AS compound FROM articles_aligned a LEFT JOIN s USING (aligned_id)""")
-def valence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def valence(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Squashed sums of word valences."""
     lexicon = _lexicon(spark).select("word", F.when(F.col("category") == "negative", -2.0).when(F.col("category") == "positive", 2.0).otherwise(-0.5).alias("valence"))
-    return features.valence(_bags(spark, sf_dir), F.broadcast(lexicon), "aligned_id", "tokens").withColumn("compound", F.round("compound", 6))
+    return features.valence(_bags(spark, sf_dir, text), F.broadcast(lexicon), "aligned_id", "tokens").withColumn("compound", F.round("compound", 6))
 
 
 @query(f"WITH {_TERMS}, v AS (SELECT DISTINCT term FROM tok WHERE split = 'train') SELECT split, count(*) AS tokens, count(v.term) AS known, round(count(v.term) / count(*)::DOUBLE, 6) AS coverage FROM tok LEFT JOIN v USING (term) GROUP BY 1")
-def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_coverage(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Share of tokens that occur in train."""
-    bags = _bags(spark, sf_dir)
+    bags = _bags(spark, sf_dir, text)
     known = bags.filter("split = 'train'").select(F.explode("tokens").alias("term")).distinct()
     return features.token_coverage(bags, known, "split", "tokens").withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"WITH {_TERMS}, a AS (SELECT DISTINCT term FROM tok WHERE split = 'train'), b AS (SELECT DISTINCT term FROM tok WHERE split = 'val'), c AS (SELECT DISTINCT term FROM tok WHERE split = 'test') SELECT (SELECT count(*) FROM (SELECT term FROM a INTERSECT SELECT term FROM b INTERSECT SELECT term FROM c)) AS in_all, (SELECT count(*) FROM (SELECT term FROM c EXCEPT SELECT term FROM a)) AS only_test, (SELECT count(*) FROM (SELECT term FROM a UNION SELECT term FROM b UNION SELECT term FROM c)) AS in_any")
-def vocabulary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary_sets(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Intersection, difference and union of the splits' vocabularies."""
-    terms = _bags(spark, sf_dir).select("split", F.explode("tokens").alias("term")).distinct()
+    terms = _bags(spark, sf_dir, text).select("split", F.explode("tokens").alias("term")).distinct()
     a, b, c = (terms.filter(F.col("split") == s).select("term") for s in ("train", "val", "test"))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(a.intersect(b).intersect(c), "in_all").crossJoin(n(c.subtract(a), "only_test")).crossJoin(n(a.union(b).union(c).distinct(), "in_any"))
@@ -437,11 +444,11 @@ def vector_pool_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TERMS}, t AS (SELECT DISTINCT term FROM tok), v AS (SELECT term, vec_id FROM (SELECT term, row_number() OVER (ORDER BY term) AS r FROM t) JOIN embeddings ON vec_id = r),
 e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)
 SELECT split, CAST(i AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM tok JOIN v USING (term) JOIN e USING (vec_id) GROUP BY 1, 2""")
-def vector_pool_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_pool_token(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Mean over all known tokens of a split; unknown tokens don't count."""
     from pyspark.sql import Window
 
-    bags = _bags(spark, sf_dir)
+    bags = _bags(spark, sf_dir, text)
     terms = bags.select(F.explode("tokens").alias("term")).distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("term")).cast("bigint"))
     vectors = table(spark, sf_dir, "embeddings").join(terms, "vec_id").select("term", F.posexplode("embedding").alias("i", "x"))
     return features.pooled_by_token(bags, vectors.withColumn("x", F.col("x").cast("double")), "split", "tokens").withColumn("x", F.round("x", 6))
@@ -451,10 +458,10 @@ def vector_pool_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT a.topic, a.term AS l, b.term AS e FROM tp a JOIN tp b ON a.topic = b.topic AND a.rank > b.rank),
 s AS (SELECT topic, ln(((SELECT count(*) FROM cnt x JOIN cnt y USING (aligned_id) WHERE x.term = l AND y.term = e) + 1) / greatest((SELECT count(*) FROM cnt x WHERE x.term = l), 1)::DOUBLE) AS v FROM p)
 SELECT round(avg(m), 6) AS coherence FROM (SELECT avg(v) AS m FROM s GROUP BY topic)""")
-def umass_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def umass_coherence(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Coherence of two given topics."""
     topics = spark.createDataFrame([(1, 1, "rupiah"), (1, 2, "trillion"), (1, 3, "bonds"), (2, 1, "percent"), (2, 2, "trade"), (2, 3, "early")], "topic int, rank int, term string")
-    doc_terms = _bags(spark, sf_dir).select(F.col("aligned_id").alias("id"), F.explode("tokens").alias("term")).distinct()
+    doc_terms = _bags(spark, sf_dir, text).select(F.col("aligned_id").alias("id"), F.explode("tokens").alias("term")).distinct()
     return features.coherence(doc_terms, topics).withColumn("coherence", F.round("coherence", 6))
 
 
@@ -487,9 +494,9 @@ w AS (SELECT aligned_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) +
 
 
 @query(f"WITH {_COS} SELECT a.aligned_id AS a, b.aligned_id AS b FROM u a JOIN u b ON a.term = b.term AND a.aligned_id < b.aligned_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9")
-def near_dup_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_dup_cosine(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
     """Pairs of articles of a cosine of 0.9 or more, exact by prefix filtering."""
-    bags = _bags(spark, sf_dir)
+    bags = _bags(spark, sf_dir, text)
     counts = features.term_counts(bags, "aligned_id", "tokens")
     n = bags.agg(F.count(F.lit(1)).alias("n"))
     weights = features.tfidf(counts, features.document_frequency(counts), n, "aligned_id").withColumnRenamed("aligned_id", "id")
@@ -501,3 +508,27 @@ def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per source and language with totals."""
     out = table(spark, sf_dir, "documents").filter("lang is not null").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "n")
+
+
+#: Queries that read ASCII alone for their SQL; each is registered over the stored text too.
+ASCII_QUERIES = (
+    word_count,
+    clean_paragraphs,
+    bow_tokens,
+    lemma_rules,
+    classical_clean,
+    preserved_entities,
+    sentences,
+    doc_freq,
+    vocab_topk,
+    tfidf_day,
+    top_terms,
+    lexicon_scores,
+    valence,
+    token_coverage,
+    vocabulary_sets,
+    vector_pool_token,
+    umass_coherence,
+    near_dup_cosine,
+)
+QUERIES |= {f"{fn.__name__}_whole": partial(fn, text=_stored) for fn in ASCII_QUERIES}
