@@ -49,3 +49,13 @@ def test_classes_share_their_pages(spark):
     known = {(r["site"], r["gram"]): r["class_size"] for r in boilerplate.template(df).collect()}
     grams = [boilerplate._hash(t) for t in boilerplate.tokens("Sign up for the Dailykabar evening letter", "dailykabar")]
     assert len({known["dailykabar.example", g] for g in grams}) == 1 and known["dailykabar.example", grams[0]] >= len(grams)
+
+
+def test_each_line_names_its_rule():
+    site, known = "dailypost.example", {boilerplate._hash("= all markets"): (10, 0, 1)}
+    rules = {
+        "All  markets": "whole line", "More from Daily Post": "host name", "Home | News | Rates": "separators", "Ana Wu, staff writer": "role words",
+        "Read more: rates": "first words", "The central bank of the country kept its rate on Monday.": None, "Rates in the north": None,
+    }
+    assert {x: boilerplate.rule_of(boilerplate.clean(x), site, known) for x in rules} == rules
+    assert all(boilerplate.is_furniture(boilerplate.clean(x), site, known) == (r is not None) for x, r in rules.items())

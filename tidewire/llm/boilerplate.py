@@ -3,11 +3,13 @@
 Tokens of a page are pairs of neighbouring words within a line, with the line's
 begin and end, and each whole line as one token more. Tokens of one host that
 occur on the same pages form an equivalence class; the pages are known by a
-fingerprint of the occurrence vector, so that vectors are never gathered. Valid
-classes nest in lines and make the host's template: whole lines that recur,
-frames around slots (names, numbers), and headline frames, whose tokens also
-make up the host's titles. Lines that the template explains are furniture; what
-stands between them are the slots, the article's own text.
+fingerprint of the occurrence vector, so that vectors are never gathered.
+
+This is not the deduction of a template from ordered and nested classes: most
+lines are decided by their recurrence as a whole and by fixed lists and shapes,
+and only headline frames, whose tokens also make up the host's titles, look at
+a class, and then at its size alone. Frames with slots that neither titles nor
+lists share stay undetected. The README has the lines of each rule.
 """
 
 from __future__ import annotations
@@ -158,30 +160,35 @@ class _Model:
         return self.cache[part].get(site, {})
 
 
-def is_furniture(line: str, site: str, known: dict[int, tuple[int, int, int]]) -> bool:
-    """Whether the host's template explains a cleaned, non-empty line."""
+def rule_of(line: str, site: str, known: dict[int, tuple[int, int, int]]) -> str | None:
+    """The first rule that makes a cleaned, non-empty line furniture; none for article text."""
     none = (0, 0, 0)
     if known.get(_hash(f"= {line.lower()}"), none)[0] >= WHOLE:
-        return True
+        return "whole line"
     stem, words = _stem(site), line.count(" ") + 1
     if words > LONGEST:
-        return False
+        return None
     if stem and stem in line.lower().replace(" ", ""):
-        return True
+        return "host name"
     items = [i for i in _ITEMS.split(line) if i]
     if len(items) >= 3 and sum(len(i.split()) for i in items[:-1]) <= 3 * (len(items) - 1) or "▲" in line or "▼" in line:
-        return True
+        return "separators"
     if ROLES.search(line) and words <= 9:
-        return True
+        return "role words"
     if CUES.search(line) and not _is_sentence(line):
-        return True
+        return "first words"
     if _is_sentence(line):
-        return False
-    # Frames of headlines: valid classes that titles of the host hold rather than its other lines.
+        return None
+    # Tokens on many pages pass without a class; nothing asks for the order or nesting of classes.
     found = [known.get(g, none) for g in map(_hash, tokens(headline_of(line), stem))]
     framed = [(n, t) for n, t, size in found if size >= 2 or max(n, t) >= 2 * SUPPORT]
     headline = sum(t >= SUPPORT and 3 * t >= n for n, t in framed)
-    return words >= 5 and headline >= 3 and headline >= 0.5 * len(framed)
+    return "headline frame" if words >= 5 and headline >= 3 and headline >= 0.5 * len(framed) else None
+
+
+def is_furniture(line: str, site: str, known: dict[int, tuple[int, int, int]]) -> bool:
+    """Whether a rule explains a cleaned, non-empty line."""
+    return rule_of(line, site, known) is not None
 
 
 def furniture(df: DataFrame, key: str = "article_id", url: str = "url", title: str = "title", body: str = "body") -> DataFrame:
