@@ -136,3 +136,9 @@ def test_stored_text_equals_brute_force(spark, sf_dir, duck, tmp_path):
     assert Counter((r[0], r[1]) for r in QUERIES["word_count_whole"](spark, sf_dir).collect()) == Counter((i, n) for i, _, _, n in real)
     df = Counter(w for _, b, _, _ in real for w in set(bag_of(b)))
     assert {r["term"]: r["df"] for r in QUERIES["doc_freq_whole"](spark, sf_dir).collect()} == df
+
+
+def test_models_run_with_their_defaults(spark, sf_dir):
+    rows = QUERIES["word2vec_pool"](spark, sf_dir).collect()
+    assert rows and all(len(r["vector"]) == 100 for r in rows) and len({tuple(r["vector"]) for r in rows}) > 1
+    assert {r["topic"] for r in QUERIES["topic_terms"](spark, sf_dir).collect()} == set(range(8))

@@ -51,7 +51,9 @@ def token_coverage(docs: DataFrame, terms: DataFrame, by: str, tokens: str) -> D
 
 def pooled_by_token(docs: DataFrame, vectors: DataFrame, by: str, tokens: str) -> DataFrame:
     """Mean of ``vectors (term, i, x)`` over all known tokens of a group: ``by, i, x``."""
-    return docs.select(by, F.explode(tokens).alias("term")).join(vectors, "term").groupBy(by, "i").agg(F.avg("x").alias("x"))
+    # Each term of a group meets its vector once, however often it occurs.
+    counts = docs.select(by, F.explode(tokens).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.join(vectors, "term").groupBy(by, "i").agg((F.sum(F.col("x") * F.col("tf")) / F.sum("tf")).alias("x"))
 
 
 def pooled(df: DataFrame, by: str, vector: str) -> DataFrame:

@@ -35,14 +35,14 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic shares of every article, fitted on train."""
-    docs, _ = models.topics(_bags(spark, sf_dir, _stored), "aligned_id", "tokens", k=4, iterations=5, fit_on="split = 'train'")
+    docs, _ = models.topics(_bags(spark, sf_dir, _stored), "aligned_id", "tokens", fit_on="split = 'train'")
     return docs.select("aligned_id", "dominant_topic", F.round("confidence", 4).alias("confidence"))
 
 
 @query()
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten top terms of each topic."""
-    return models.topics(_bags(spark, sf_dir, _stored), "aligned_id", "tokens", k=4, iterations=5, fit_on="split = 'train'")[1]
+    return models.topics(_bags(spark, sf_dir, _stored), "aligned_id", "tokens", fit_on="split = 'train'")[1]
 
 
 @query()
@@ -51,11 +51,11 @@ def word2vec_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.operators.features import as_vectors, pooled_by_token
 
     bags = _bags(spark, sf_dir, _stored)
-    vectors = models.word_vectors(bags.filter("split = 'train'"), "tokens", dims=16).getVectors()
+    vectors = models.word_vectors(bags.filter("split = 'train'"), "tokens").getVectors()
     from pyspark.ml.functions import vector_to_array
 
     long = vectors.select(F.col("word").alias("term"), F.posexplode(vector_to_array("vector")).alias("i", "x"))
-    return as_vectors(pooled_by_token(bags, long, "day", "tokens"), "day").select("day", F.size("vector").alias("dims"))
+    return as_vectors(pooled_by_token(bags, long, "day", "tokens"), "day").select("day", "vector")
 
 
 @query()
