@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from tests.conftest import rows_of
 from tidewire.functions import text as t
+from tidewire.operators import timestamps
 from tidewire.plans import registry
 
 QUERIES = registry.queries()
@@ -142,3 +144,13 @@ def test_models_run_with_their_defaults(spark, sf_dir):
     rows = QUERIES["word2vec_pool"](spark, sf_dir).collect()
     assert rows and all(len(r["vector"]) == 100 for r in rows) and len({tuple(r["vector"]) for r in rows}) > 1
     assert {r["topic"] for r in QUERIES["topic_terms"](spark, sf_dir).collect()} == set(range(8))
+
+
+def test_second_step_parses_new_times_alone(spark, sf_dir, monkeypatch):
+    parsed, parse = [], timestamps.parse_dictionary
+    monkeypatch.setattr(timestamps, "parse_dictionary", lambda entries: parsed.append(entries.count()) or parse(entries))
+    whole = rows_of(QUERIES["p1_found"](spark, sf_dir))
+    assert rows_of(QUERIES["p1_in_two"](spark, sf_dir)) == whole
+    # Distinct entries of pages and of days at once, then each in two steps.
+    pages, days, *steps = parsed
+    assert steps[0] + steps[1] == pages and steps[2] + steps[3] == days and min(steps) > 0
