@@ -146,6 +146,12 @@ def test_models_run_with_their_defaults(spark, sf_dir):
     assert {r["topic"] for r in QUERIES["topic_terms"](spark, sf_dir).collect()} == set(range(8))
 
 
+def test_geo_terms_with_a_hyphen_count(spark, tmp_path):
+    rows = [(1, "A cease-fire holds", "calm"), (2, "Rates", "a cease-fire and a summit"), (3, "Rates", "a cease-fire alone"), (4, "Cease fire", "calm")]
+    folder = stored(spark, tmp_path, "articles_aligned", rows, "aligned_id bigint, title_clean string, body_clean string")
+    assert rows_of(QUERIES["geo_hits_filter"](spark, folder)) == [("1", "1"), ("2", "2"), ("4", "1")]
+
+
 def test_second_step_parses_new_times_alone(spark, sf_dir, monkeypatch):
     parsed, parse = [], timestamps.parse_dictionary
     monkeypatch.setattr(timestamps, "parse_dictionary", lambda entries: parsed.append(entries.count()) or parse(entries))

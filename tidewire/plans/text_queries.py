@@ -207,7 +207,9 @@ SELECT aligned_id, n AS geo_hits FROM h WHERE th >= 1 OR n >= 2""")
 def geo_hits_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with a geopolitical term in the title or two different ones at all."""
     df = table(spark, sf_dir, "articles_aligned").withColumn("both", F.concat_ws(" ", "title_clean", "body_clean"))
-    df = df.select("aligned_id", F.size(t.term_hits(_spaced("title_clean"), _PLAIN_GEO)).alias("th"), F.size(t.term_hits(_spaced("both"), _PLAIN_GEO)).cast("bigint").alias("geo_hits"))
+    # The text has blanks for hyphens, so the terms have too.
+    terms = tuple(x.replace("-", " ") for x in t.GEO_TERMS)
+    df = df.select("aligned_id", F.size(t.term_hits(_spaced("title_clean"), terms)).alias("th"), F.size(t.term_hits(_spaced("both"), terms)).cast("bigint").alias("geo_hits"))
     return df.filter("th >= 1 or geo_hits >= 2").select("aligned_id", "geo_hits")
 
 
