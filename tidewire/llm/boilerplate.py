@@ -1,55 +1,59 @@
 """The main body of each page, without navigation, notices, teasers and footers (problem 4).
 
-Tokens of a page are pairs of neighbouring words within a line, with the line's
-begin and end, and each whole line as one token more. Tokens of one host that
-occur on the same pages form an equivalence class; the pages are known by a
-fingerprint of the occurrence vector, so that vectors are never gathered.
-
-This is not the deduction of a template from ordered and nested classes: most
-lines are decided by their recurrence as a whole and by fixed lists and shapes,
-and only headline frames, whose tokens also make up the host's titles, look at
-a class, and then at its size alone. Frames with slots that neither titles nor
-lists share stay undetected. The README has the lines of each rule.
+Pages of one host are taken for fillings of one template, which is deduced from
+the pages alone:
+
+1. *Tokens.* Pairs of neighbouring words of a line, its two borders included,
+   with numbers and the host's own name as slots, and every whole line. Prose
+   (a sentence of nine words or more) only counts as a whole line.
+2. *Classes.* Tokens of a host with the same occurrence vector form an
+   equivalence class. The vector is known by the xor of its pages' hashes, so
+   vectors are never gathered.
+3. *Validity.* A class is valid if its tokens follow each other in one order
+   and don't cross another class on at least nine tenths of its pages.
+4. *Nesting.* The root of the template is the main slot, from a page's first
+   line of prose to its last. A line belongs to the class of that border of it
+   which occurs on more pages, its *frame*, and leaves what the frame leaves
+   open as slots. Per frame it is counted how many lines lie outside the main
+   slot, hold a class of their own in their slots (a constant, in changing
+   surroundings), hold a headline of the host, or numbers alone.
+5. *Slots.* Frames whose lines mostly show one of these marks are furniture;
+   a host's share is drawn towards that of the same frame on all hosts. Whole
+   lines on ten pages are furniture too. The rest is the content of the main
+   slot.
+
+No word list takes part. Work on a page needs the tokens of that page alone, so
+pages travel with the tokens of a bounded part of their host.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.dataset as ds
-import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import site_of
-from tidewire.runtime import cut, new_folder
+from tidewire.runtime import cut
 
-#: Words of a line that may be a frame; longer lines recur as a whole or not at all.
-LONGEST = 24
-#: Pages of a host on which a token of its template occurs, and those of a whole line.
+#: Pages of a host on which a token of its template occurs, and those of a line that is furniture as a whole.
 SUPPORT, WHOLE = 3, 10
-#: Tokens of one part of the model.
-PART = 400_000
-# First words of frames that ask, sell, warn, correct or credit, English and Indonesian.
-CUES = re.compile(
-    r"^(?:by|oleh|words|text|penulis|penyunting|editor|editing|reporting|reporter|photo|foto|join|win|enter|register|subscribe|sign up|follow|share|listen|download|get|got a tip"
-    r"|special (?:series|report|offer|edition)|sponsored|promo|partner|promoted|correction|clarification|update|koreksi|ralat|related|read (?:next|more|also)|most read|more on|see also|also"
-    r"|baca (?:juga|selengkapnya)|simak|bagikan|ikuti|terkait|terpopuler|lihat juga|advertisement|iklan|advertorial|tags?|topics?|topik|quotes|data kurs|about|contact|terms|privacy"
-    r"|we (?:value|use)|this site|situs|cookies?|kuki|copyright|hak cipta|©|all rights|nothing on this page|the views|download)\b|^©",
-    re.I,
-)
-# Words that end a credit line.
-ROLES = re.compile(r"(?:\||,|–|-)\s*(?:[a-z]+ )?(?:correspondent|writer|reporter|editor|columnist|analyst desk|koresponden|wartawan|jurnalis|penulis|kontributor|contributor|staff)\.?$", re.I)
+#: Characters of a host's pages that are examined together.
+PART = 16_000_000
+#: Share of pages on which a class must keep its order and its nesting.
+VALID = 0.9
+#: Share of marked lines that makes a frame furniture, and lines that the share over all hosts weighs.
+MARKED, PRIOR = 0.6, 10
+#: Marks of a line.
+CONSTANT, OUTSIDE, HEADLINE, NUMBERS = 1, 2, 4, 8
+
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*|\d[\d.,]*\d|\d|[^\w\s]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_DECORATION = re.compile(r"^(?:(?:\d+|[#•*-])[.):]?\s+|(?:most read|read next|read more|related|see also|baca juga|terkait|terpopuler)\s*[:–-]\s*)|\s*\(\d+ (?:min|mins|minutes|menit)\)$", re.I)
-_ITEMS = re.compile(r"\s*[|›»·•→]\s*|\s+/\s+")
-_END = re.compile(r"[.!?][”\"’')]*$")
+_END = re.compile(r"[.!?…。．！？][”\"’')]*$")
 
 
 def clean(line: str) -> str:
@@ -57,8 +61,13 @@ def clean(line: str) -> str:
     return " ".join(_INVISIBLE.sub("", line).split())
 
 
+def is_prose(line: str) -> bool:
+    """A sentence of nine words or more."""
+    return line.count(" ") >= 8 and _END.search(line) is not None
+
+
 def tokens(line: str, stem: str) -> list[str]:
-    """Pairs of neighbouring words of a line; numbers and the host's own name are slots."""
+    """Pairs of neighbouring words of a line, borders included; numbers and the host's own name are slots."""
     words = ["^"]
     for w in _WORD.findall(line):
         k = w.lower()
@@ -67,128 +76,255 @@ def tokens(line: str, stem: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
-def _hash(token: str) -> int:
+def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
+def line_hash(line: str) -> int:
+    """The token of a whole line."""
+    return token_hash(f"= {line.lower()}")
+
+
 def _stem(site: str) -> str:
     name = site.split(".")[0]
     return name if len(name) >= 4 else ""
 
 
-def _is_sentence(line: str) -> bool:
-    """Prose ends with a full stop; a sentence is furniture only if it recurs as a whole or names its host."""
-    return line.count(" ") >= 8 and _END.search(line) is not None
-
-
-def headline_of(line: str) -> str:
-    """A line without the number, label and reading time that lists of stories put around a headline."""
-    return _DECORATION.sub("", line)
-
-
-def _of_body(body: str, stem: str) -> set[int]:
-    found = set()
-    for raw in body.split("\n"):
-        if line := clean(raw):
-            found.add(_hash(f"= {line.lower()}"))
-            if line.count(" ") < LONGEST and not _is_sentence(line):
-                found.update(map(_hash, tokens(headline_of(line), stem)))
+def _surroundings(lines: list[str], prose: list[bool]) -> list[int]:
+    """One of 64 bits for the prose line that follows each line, or else precedes it."""
+    bit = lambda line: 1 << (token_hash(line) & 63)
+    out, after = [0] * len(lines), 0
+    for i in range(len(lines) - 1, -1, -1):
+        out[i] = after
+        if prose[i]:
+            after = bit(lines[i])
+    before = 1
+    for i, line in enumerate(lines):
+        out[i] = out[i] or before
+        if prose[i]:
+            before = bit(line)
+    return out
+
+
+def _of_body(body: str, stem: str) -> dict[int, int]:
+    """Tokens of a page; whole lines with their surroundings."""
+    lines = [clean(raw) for raw in body.split("\n")]
+    prose = [is_prose(line) for line in lines]
+    found: dict[int, int] = {}
+    for line, is_long, around in zip(lines, prose, _surroundings(lines, prose), strict=True):
+        if line:
+            h = line_hash(line)
+            found[h] = found.get(h, 0) | around
+            if not is_long:
+                for t in tokens(line, stem):
+                    found.setdefault(token_hash(t), 0)
     return found
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per site and token: pages, pages in whose title it occurs, and a fingerprint of the pages; summed within a batch."""
+    """Tokens of each part of a host, summed within a batch: pages, titles, fingerprint of the pages and surroundings."""
     for batch in batches:
         for at in range(0, len(batch), 4000):
             part = batch.iloc[at : at + 4000]
-            sites = {s: i for i, s in enumerate(dict.fromkeys(part["site"]))}
-            site_no, page, gram, title = [], [], [], []
-            for no, (site, head, body) in enumerate(zip(part["site"], part["title"], part["body"], strict=True)):
-                stem = _stem(site)
-                for flag, found in ((0, _of_body(body or "", stem)), (1, set(map(_hash, tokens(clean(head), stem))) if head else set())):
+            places = list(zip(part["site"], part["salt"], strict=True))
+            names = {p: i for i, p in enumerate(dict.fromkeys(places))}
+            place_no, mark, gram, title, around = [], [], [], [], []
+            for place, key, head, body in zip(places, part["key"], part["title"], part["body"], strict=True):
+                stem = _stem(place[0])
+                for flag, found in ((0, _of_body(body, stem)), (1, dict.fromkeys(map(token_hash, tokens(clean(head), stem)), 0) if head else {})):
                     gram.append(np.fromiter(found, np.int64, len(found)))
-                    site_no.append(np.full(len(found), sites[site], np.int64))
-                    page.append(np.full(len(found), no, np.int64))
+                    around.append(np.fromiter(found.values(), np.uint64, len(found)).view(np.int64))
+                    place_no.append(np.full(len(found), names[place], np.int64))
+                    # A page counts once in the vector for its lines and once for its title.
+                    mark.append(np.full(len(found), token_hash(f"{key} {flag} {len(body)}"), np.int64))
                     title.append(np.full(len(found), flag, np.int64))
-            gram, site_no, page, title = map(np.concatenate, (gram, site_no, page, title))
+            gram, place_no, mark, title, around = map(np.concatenate, (gram, place_no, mark, title, around))
             if not len(gram):
                 continue
-            order = np.lexsort((gram, site_no))
-            gram, site_no, page, title = gram[order], site_no[order], page[order], title[order]
-            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (site_no[1:] != site_no[:-1])]))
-            # A page counts once in the vector for its lines and once for its title.
-            marks = np.array([[_hash(f"{k} {flag}") for k in part["key"]] for flag in (0, 1)], np.int64)
-            names = np.array(list(sites), object)
+            order = np.lexsort((gram, place_no))
+            gram, place_no, mark, title, around = gram[order], place_no[order], mark[order], title[order], around[order]
+            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (place_no[1:] != place_no[:-1])]))
             titles = np.add.reduceat(title, first)
+            known = list(names)
             yield pd.DataFrame({
-                "site": names[site_no[first]], "gram": gram[first], "n": np.diff(np.append(first, len(gram))) - titles,
-                "titles": titles, "fp": np.bitwise_xor.reduceat(marks[title, page], first),
+                "site": [known[i][0] for i in place_no[first]], "salt": [known[i][1] for i in place_no[first]], "gram": gram[first],
+                "n": np.diff(np.append(first, len(gram))) - titles, "titles": titles,
+                "fp": np.bitwise_xor.reduceat(mark, first), "around": np.bitwise_or.reduceat(around, first),
             })
 
 
-def template(pages: DataFrame) -> DataFrame:
-    """``site, gram, n, titles, class_size``: the tokens of each host's template with the size of their class."""
-    seen = pages.mapInPandas(_occurrences, "site string, gram bigint, n bigint, titles bigint, fp bigint")
-    grams = seen.groupBy("site", "gram").agg(F.sum("n").alias("n"), F.sum("titles").alias("titles"), F.expr("bit_xor(fp)").alias("fp")).filter((F.col("n") >= SUPPORT) | (F.col("titles") >= SUPPORT))
-    kept = cut(grams, "grams")
-    # Tokens with the same occurrence vector: same pages, so same counts and fingerprint.
-    classes = kept.groupBy("site", "n", "titles", "fp").agg(F.count(F.lit(1)).alias("class_size"))
-    return kept.join(classes, ["site", "n", "titles", "fp"]).select("site", "gram", "n", "titles", "class_size")
-
-
-class _Model:
-    """Reads parts of the template from the shared folder as they are needed, and keeps a few."""
-
-    def __init__(self, folder: str, parts: int, keep: int = 8):
-        self.folder, self.parts, self.keep = folder, parts, keep
-        self.cache: OrderedDict[int, dict] = OrderedDict()
-
-    def of(self, site: str) -> dict[int, tuple[int, int, int]]:
-        part = xxhash.xxh32_intdigest(site) % self.parts
-        if part not in self.cache:
-            files, path = pafs.FileSystem.from_uri(self.folder)
-            sites: dict[str, dict] = {}
-            # A part without tokens has no folder.
-            if files.get_file_info(f"{path}/part={part}").type == pafs.FileType.Directory:
-                table = ds.dataset(f"{path}/part={part}", format="parquet", filesystem=files).to_table()
-                for s, g, n, t, c in zip(*(table[x].to_pylist() for x in ("site", "gram", "n", "titles", "class_size")), strict=True):
-                    sites.setdefault(s, {})[g] = (n, t, c)
-            self.cache[part] = sites
-            while len(self.cache) > self.keep:
-                self.cache.popitem(last=False)
-        self.cache.move_to_end(part)
-        return self.cache[part].get(site, {})
-
-
-def rule_of(line: str, site: str, known: dict[int, tuple[int, int, int]]) -> str | None:
-    """The first rule that makes a cleaned, non-empty line furniture; none for article text."""
-    none = (0, 0, 0)
-    if known.get(_hash(f"= {line.lower()}"), none)[0] >= WHOLE:
-        return "whole line"
-    stem, words = _stem(site), line.count(" ") + 1
-    if words > LONGEST:
-        return None
-    if stem and stem in line.lower().replace(" ", ""):
-        return "host name"
-    items = [i for i in _ITEMS.split(line) if i]
-    if len(items) >= 3 and sum(len(i.split()) for i in items[:-1]) <= 3 * (len(items) - 1) or "▲" in line or "▼" in line:
-        return "separators"
-    if ROLES.search(line) and words <= 9:
-        return "role words"
-    if CUES.search(line) and not _is_sentence(line):
-        return "first words"
-    if _is_sentence(line):
-        return None
-    # Tokens on many pages pass without a class; nothing asks for the order or nesting of classes.
-    found = [known.get(g, none) for g in map(_hash, tokens(headline_of(line), stem))]
-    framed = [(n, t) for n, t, size in found if size >= 2 or max(n, t) >= 2 * SUPPORT]
-    headline = sum(t >= SUPPORT and 3 * t >= n for n, t in framed)
-    return "headline frame" if words >= 5 and headline >= 3 and headline >= 0.5 * len(framed) else None
-
-
-def is_furniture(line: str, site: str, known: dict[int, tuple[int, int, int]]) -> bool:
-    """Whether a rule explains a cleaned, non-empty line."""
-    return rule_of(line, site, known) is not None
+_TOKENS = "site string, salt int, gram bigint, n bigint, titles bigint, fp bigint, around bigint"
+
+
+def _pages(df: DataFrame, key: str, url: str, title: str, body: str) -> DataFrame:
+    """``key, site, salt, title, body``; a host's pages fall into parts of about :data:`PART` characters."""
+    pages = df.select(F.col(key).alias("key"), site_of(F.col(url)).alias("site"), F.col(title).alias("title"), F.col(body).alias("body")).filter("site is not null and body is not null")
+    sizes = pages.groupBy("site").agg(F.ceil(F.sum(F.length("body")) / PART).cast("int").alias("salts"))
+    return pages.join(sizes, "site").select("key", "site", F.pmod(F.xxhash64("key"), F.greatest("salts", F.lit(1))).cast("int").alias("salt"), "title", "body")
+
+
+def occurrence_classes(pages: DataFrame) -> DataFrame:
+    """``site, salt, gram, n, titles, seen, class, size`` of every token that recurs on its host.
+
+    ``n`` and ``titles`` count pages and titles of the whole host, ``seen`` the
+    different surroundings of a whole line, ``class`` names the equivalence
+    class and ``size`` its tokens.
+    """
+    sums = (F.sum("n").alias("n"), F.sum("titles").alias("titles"), F.expr("bit_xor(fp)").alias("fp"), F.expr("bit_or(around)").alias("around"))
+    parts = cut(pages.mapInPandas(_occurrences, _TOKENS).groupBy("site", "salt", "gram").agg(*sums), "grams")
+    hosts = parts.groupBy("site", "gram").agg(*sums).filter((F.col("n") > 1) | (F.col("titles") >= SUPPORT))
+    hosts = cut(hosts.withColumn("class", F.xxhash64("n", "titles", "fp")), "hosts")
+    sizes = hosts.filter(F.col("n") >= SUPPORT).groupBy("site", "class").agg(F.count(F.lit(1)).alias("size"))
+    known = hosts.join(sizes, ["site", "class"], "left").select("site", "gram", "n", "titles", F.bit_count("around").alias("seen"), "class", F.coalesce("size", F.lit(1)).alias("size"))
+    return parts.select("site", "salt", "gram").join(known, ["site", "gram"])
+
+
+_NONE = (0, 0, 0, 0, 0)
+
+
+class _Examiner:
+    """Marks the lines of pages and checks the classes on them, by the tokens ``gram: (n, titles, seen, class, size)`` of one part of a host."""
+
+    def __init__(self, site: str):
+        self.stem, self.known = _stem(site), {}
+        self.classes: dict[tuple[int, int, int], list[int]] = {}
+
+    def lines(self, body: str) -> list[tuple[int, int | None, int | None, bool, int]]:
+        """``line_no, frame, class, whole, marks`` of every line that may be furniture."""
+        lines = [clean(raw) for raw in body.split("\n")]
+        known, whole, short = self.known, [], []
+        wholes = [known.get(line_hash(line), _NONE) if line else _NONE for line in lines]
+        prose = [bool(line) and is_prose(line) for line in lines]
+        main = [i for i, line in enumerate(lines) if prose[i] and wholes[i][0] < WHOLE]
+        # Without prose there is no main slot to lie outside of.
+        begin, end = (main[0], main[-1]) if main else (0, len(lines))
+        sequence: list[tuple[int, int]] = []
+        for i, line in enumerate(lines):
+            if not line:
+                continue
+            if wholes[i][0] >= WHOLE:
+                whole.append((i + 1, None, None, True, 0))
+            if prose[i]:
+                continue
+            own = tokens(line, self.stem)
+            grams = [token_hash(t) for t in own]
+            found = [known.get(g, _NONE) for g in grams]
+            sequence += [(f[3], g) for g, f in zip(grams, found, strict=True) if f[4] > 1 and f[0] >= SUPPORT]
+            if wholes[i][0] >= WHOLE:
+                continue
+            marks = CONSTANT * (wholes[i][0] > 1 and wholes[i][2] > 1) + OUTSIDE * (i < begin or i > end)
+            marks += HEADLINE * (sum(t >= SUPPORT and 3 * t >= n for n, t, *_ in found) >= 3)
+            marks += NUMBERS * (all(f[0] >= SUPPORT for f in found) and any(t.endswith(" #") for t in own))
+            at = 0 if found[0][0] >= found[-1][0] else -1
+            frame = found[at] if found[at][0] >= SUPPORT else None
+            short.append((i + 1, grams[at] if frame else None, frame[3] if frame else None, False, marks))
+        self._check(sequence)
+        return whole + short
+
+    def _check(self, sequence: list[tuple[int, int]]) -> None:
+        """Order, crossings and enclosing class of each class on a page, by the first place of each token."""
+        members: dict[int, dict[int, None]] = {}
+        for c, g in sequence:
+            members.setdefault(c, {}).setdefault(g)
+        left = {c: len(m) for c, m in members.items()}
+        open_, seen, crossed, parent = [], set(), set(), {}
+        for c, g in sequence:
+            if g in seen:
+                continue
+            seen.add(g)
+            if c not in parent:
+                parent[c] = open_[-1] if open_ else 0
+                open_.append(c)
+            # Whatever is still open above the class is torn apart by its token.
+            crossed.update(o for o in open_[open_.index(c) + 1 :])
+            left[c] -= 1
+            open_ = [o for o in open_ if left[o]]
+        for c, m in members.items():
+            order = xxhash.xxh64_intdigest(np.fromiter(m, np.int64, len(m)).tobytes()) - (1 << 63)
+            count = self.classes.setdefault((c, order, parent[c]), [0, 0])
+            count[0] += 1
+            count[1] += c in crossed
+
+    def drain(self) -> dict[tuple[int, int, int], list[int]]:
+        out, self.classes = self.classes, {}
+        return out
+
+
+_EXAMINED = "site string, key string, line_no int, frame bigint, class bigint, whole boolean, marks int, word_order bigint, parent bigint, n bigint, crossed bigint"
+
+
+def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reads the tokens of a part of a host, then its pages; gives rows of lines and rows of classes."""
+    place, at = None, None
+    for batch in batches:
+        lines, classes = [], []
+
+        def drain(site: str, examiner: _Examiner, classes: list = classes) -> None:
+            classes += [(site, c, order, parent, n, crossed) for (c, order, parent), (n, crossed) in examiner.drain().items()]
+
+        columns = ("site", "salt", "key", "body", "gram", "n", "titles", "seen", "class", "size")
+        for site, salt, key, body, gram, n, titles, seen, cls, size in zip(*(batch[c].tolist() for c in columns), strict=True):
+            if (site, salt) != place:
+                if at:
+                    drain(place[0], at)
+                place, at = (site, salt), _Examiner(site)
+            if body is None:
+                at.known[int(gram)] = (int(n), int(titles), int(seen), int(cls), int(size))
+            else:
+                lines += [(site, key, *row) for row in at.lines(body)]
+        if at:
+            drain(place[0], at)
+        yield pd.DataFrame({
+            "site": [x[0] for x in lines] + [x[0] for x in classes],
+            "key": pd.Series([x[1] for x in lines] + [None] * len(classes), dtype=object),
+            "line_no": pd.array([x[2] for x in lines] + [None] * len(classes), "Int32"),
+            "frame": pd.array([x[3] for x in lines] + [None] * len(classes), "Int64"),
+            "class": pd.array([x[4] for x in lines] + [x[1] for x in classes], "Int64"),
+            "whole": pd.array([x[5] for x in lines] + [None] * len(classes), "boolean"),
+            "marks": pd.array([x[6] for x in lines] + [None] * len(classes), "Int32"),
+            "word_order": pd.array([None] * len(lines) + [x[2] for x in classes], "Int64"),
+            "parent": pd.array([None] * len(lines) + [x[3] for x in classes], "Int64"),
+            "n": pd.array([None] * len(lines) + [x[4] for x in classes], "Int64"),
+            "crossed": pd.array([None] * len(lines) + [x[5] for x in classes], "Int64"),
+        })
+
+
+def examined(pages: DataFrame) -> DataFrame:
+    """Rows of lines and of classes, of every page."""
+    known = occurrence_classes(pages)
+    columns = ("n", "titles", "seen", "class", "size")
+    # No number is null, since pandas would make floats of them; a row without a body is a token.
+    none = F.lit(None).cast("string")
+    tokens_first = known.select("site", "salt", F.lit(0).alias("turn"), none.alias("key"), none.alias("body"), "gram", *[F.col(c).cast("bigint").alias(c) for c in columns])
+    pages_then = pages.select("site", "salt", F.lit(1).alias("turn"), F.col("key").cast("string").alias("key"), "body", *[F.lit(0).cast("bigint").alias(c) for c in ("gram", *columns)])
+    stream = tokens_first.unionByName(pages_then).repartition("site", "salt").sortWithinPartitions("site", "salt", "turn")
+    rows = stream.mapInPandas(_examine, _EXAMINED)
+    return cut(rows.withColumn("key", F.col("key").cast(pages.schema["key"].dataType)), "lines")
+
+
+def class_table(rows: DataFrame) -> DataFrame:
+    """``site, class, pages, ordered, nested, parent``: shares of pages on which a class keeps its order and is not crossed, and the class that most often encloses it (0 for the page itself)."""
+    checks = rows.filter("n is not null")
+    orders = checks.groupBy("site", "class", "word_order").agg(F.sum("n").alias("n"), F.sum("crossed").alias("crossed"))
+    totals = orders.groupBy("site", "class").agg(F.sum("n").alias("pages"), F.max("n").alias("first"), F.sum("crossed").alias("crossed"))
+    around = checks.groupBy("site", "class", "parent").agg(F.sum("n").alias("n"))
+    parents = around.groupBy("site", "class").agg(F.max_by("parent", F.struct("n", "parent")).alias("parent"))
+    return totals.join(parents, ["site", "class"]).select("site", "class", "pages", (F.col("first") / F.col("pages")).alias("ordered"), (1 - F.col("crossed") / F.col("pages")).alias("nested"), "parent")
+
+
+def frame_table(rows: DataFrame) -> DataFrame:
+    """``site, frame, class, lines, constant, outside, headline, numbers, marked, pooled, score, furniture``: what the lines of each frame of a valid class show."""
+    lines = rows.filter("line_no is not null and not whole and frame is not null")
+    invalid = class_table(rows).filter((F.col("ordered") < VALID) | (F.col("nested") < VALID)).select("site", "class")
+    lines = lines.join(invalid, ["site", "class"], "left_anti")
+    has = lambda bit, name: F.count_if(F.col("marks").bitwiseAND(F.lit(bit)) != 0).alias(name)
+    hosts = lines.groupBy("site", "frame", "class").agg(
+        F.count(F.lit(1)).alias("lines"), has(CONSTANT, "constant"), has(OUTSIDE, "outside"), has(HEADLINE, "headline"), has(NUMBERS, "numbers"), has(15, "marked")
+    )
+    hosts = cut(hosts, "frames")
+    pooled = hosts.groupBy("frame").agg((F.sum("marked") / F.sum("lines")).alias("pooled"))
+    score = (F.col("marked") + PRIOR * F.col("pooled")) / (F.col("lines") + PRIOR)
+    return hosts.join(pooled, "frame").withColumn("score", score).withColumn("furniture", F.col("score") >= MARKED)
 
 
 def furniture(df: DataFrame, key: str = "article_id", url: str = "url", title: str = "title", body: str = "body") -> DataFrame:
@@ -196,36 +332,12 @@ def furniture(df: DataFrame, key: str = "article_id", url: str = "url", title: s
 
     Rows without a url have no host and so no template, and rows without a body
     no lines; both give nothing. Equal keys are judged row by row. Other columns
-    are ignored, and an empty table gives an empty result.
+    are ignored, and an empty table gives an empty result. A host of a few pages
+    has hardly any classes; its lines go by their own marks.
     """
-    spark = df.sparkSession
-    pages = df.select(F.col(key).alias("key"), site_of(F.col(url)).alias("site"), F.col(title).alias("title"), F.col(body).alias("body")).filter("site is not null and body is not null")
-    model = template(pages)
-    folder = new_folder(spark, "template")
-
-    def parted(parts: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(part=[xxhash.xxh32_intdigest(s) % parts for s in batch["site"]])
-
-        return run
-
-    model = cut(model, "classes")
-    parts = max(1, -(-model.count() // PART))
-    model.mapInPandas(parted(parts), "site string, gram bigint, n bigint, titles bigint, class_size bigint, part int").repartition(parts, "part").write.partitionBy("part").parquet(folder)
-    kind = pages.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = _Model(folder, parts)
-        for batch in batches:
-            keys, numbers = [], []
-            for k, site, text in zip(batch["key"], batch["site"], batch["body"], strict=True):
-                known = models.of(site)
-                for no, raw in enumerate(text.split("\n"), 1):
-                    line = clean(raw)
-                    if line and is_furniture(line, site, known):
-                        keys.append(k)
-                        numbers.append(no)
-            yield pd.DataFrame({"key": keys, "line_no": numbers})
-
-    return pages.mapInPandas(run, f"key {kind}, line_no bigint")
+    rows = examined(_pages(df, key, url, title, body))
+    verdicts = frame_table(rows).select("site", "frame", "furniture")
+    lines = rows.filter("line_no is not null").join(verdicts, ["site", "frame"], "left")
+    # A line without a frame of a valid class goes by its own marks.
+    gone = F.col("whole") | F.coalesce("furniture", F.col("marks") != 0)
+    return lines.filter(gone).select("key", F.col("line_no").cast("bigint").alias("line_no"))

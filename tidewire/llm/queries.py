@@ -38,9 +38,9 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = table(spark, sf_dir, "scrape_article")
-    # Pages that hold no article have no body to keep.
-    excluded = cut(residue.residue(articles).select("key").distinct(), "excluded")
-    return boilerplate.furniture(articles).join(excluded, "key", "left_anti").distinct()
+    # Pages that hold no article have no body to keep, and teach no template.
+    excluded = cut(residue.residue(articles).select(F.col("key").alias("article_id")).distinct(), "excluded")
+    return boilerplate.furniture(articles.join(excluded, "article_id", "left_anti")).distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
