@@ -86,3 +86,11 @@ def test_signatures_estimate_weighted_similarity(weight):
 def test_empty(spark):
     got, members, _ = pairs(spark, ["x"], nd.BODIES)
     assert got == set() and members.count() == 0
+
+
+def test_a_key_with_two_texts_keeps_the_links_of_both(spark):
+    one, other = "alpha beta gamma delta " * 3 + " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(90))
+    rows = [(1, one, "k", "b"), (5, one, "k", "b"), (5, other, "k", "b"), (9, other + " end", "k", "b"), (9, other + " end", "k", "b"), (12, one + " end", "k", "b")]
+    members, links = nd.linked_representatives(spark.createDataFrame(rows, SCHEMA), "id", "text", nd.BODIES)
+    assert {tuple(r) for r in nd.all_pairs(members, links).collect()} == {(1, 5), (5, 9), (1, 12), (5, 12)}
+    assert sorted(tuple(r) for r in nd.groups(members, links).collect()) == [(1, 1, 1), (5, 1, 1), (5, 5, 1), (9, 9, 1), (9, 9, 1), (12, 12, 1)]

@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
 def test_many_shards_find_the_same(spark, monkeypatch):
     rows = corpus(8)
     monkeypatch.setattr(split_overlap, "SHARD", 50)
-    monkeypatch.setattr(split_overlap, "BUFFER", 2000)
+    monkeypatch.setattr(split_overlap, "BLOCK", 9000)
     df = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in split_overlap.pairs_of_rows(*split_overlap.overlaps(df)).collect()} == brute(rows)
 
@@ -54,7 +54,8 @@ def test_coverage_and_report(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(1, text, "train", "https://a.example/", "", ""), (2, text, "val", "https://a.example/", "", ""), (3, text + " tail of more", "val", None, "", "")], SCHEMA)
     classes, links = split_overlap.overlaps(df)
-    assert {r["key"]: r["covered"] for r in split_overlap.covered_words(links).collect()} == {2: 50, 3: 50}
+    covered = {(r["key"], r["key2"]): r["covered"] for r in split_overlap.covered_words(links).collect()}
+    assert {r["key"]: covered[r["t1"], r["t2"]] for r in classes.filter("not is_train").collect()} == {2: 50, 3: 50}
     got = {(r["split"], r["site"]): (r["rows"], r["pairs"], r["covered_words"]) for r in split_overlap.report(df, classes, links).collect()}
     assert got == {("val", "a.example"): (1, 1, 50), ("val", None): (1, 1, 50)}
 
@@ -62,3 +63,10 @@ def test_coverage_and_report(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert split_overlap.pairs_of_rows(*split_overlap.overlaps(df)).count() == 0
+
+
+def test_a_key_with_two_texts_keeps_the_links_of_both(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    rows = [(1, one, "train"), (5, one, "train"), (5, other, "train"), (9, other + " end", "test"), (9, one, "val")]
+    df = spark.createDataFrame([(k, t, s, None, "k", "t") for k, t, s in rows], SCHEMA)
+    assert {tuple(r) for r in split_overlap.pairs_of_rows(*split_overlap.overlaps(df)).collect()} == {(5, 9), (1, 9)}

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.runtime import cut, small
@@ -38,84 +38,69 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U64(31))
 
 
+#: Hashes of the first ranks, of the darts within a cell, and the bounds above which a cell holds one more dart.
+_RANKS, _DARTS = mix(np.arange(1 << 16, dtype=_U64)), mix(np.arange(1 << 20, (1 << 20) + 16, dtype=_U64))
+_MORE = (_POISSON * 2.0**64).astype(object)
+_MORE = np.array([min(int(x), (1 << 64) - 1) for x in _MORE], dtype=_U64)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A cheap 64-bit finaliser, in place."""
+    with np.errstate(over="ignore"):
+        x ^= x >> _U64(32)
+        x *= _U64(0xBF58476D1CE4E5B9)
+        x ^= x >> _U64(29)
+    return x
+
+
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """DartMinHash signatures of several weighted sets.
 
     ``elements`` holds the hashed elements of all sets one after another,
     ``weights`` their positive weights, ``starts`` the bounds of the sets
-    (length sets + 1). Returns a ``sets x k`` array of dart hashes. Unit cells
-    (weight strip x rank interval) hold a Poisson(1) number of darts each; where
-    all weights are one, every cell holds just one dart, which keeps the elements
-    exchangeable and so the probability of agreement exact. An empty set has
-    the signature of zeros.
+    (length sets + 1). Returns a ``sets x k`` array of dart hashes. The plane is
+    cut into cells of one weight strip and one rank interval; each holds a
+    Poisson(1) number of darts, and a dart counts if it falls below the weight.
+    An empty set has the signature of zeros.
     """
-    if np.all(weights == 1.0):
-        return _unit_darts(elements, starts, k)
     sets = len(starts) - 1
-    sizes = np.diff(starts)
-    # One strip for each begun unit of weight; a dart counts if it falls below the weight.
-    strips = np.ceil(weights).astype(np.int64)
-    owner = np.repeat(np.arange(sets), sizes)
-    which = np.repeat(np.arange(len(elements)), strips)
-    strip = np.arange(len(which)) - np.repeat(np.cumsum(strips) - strips, strips)
-    cell_seed = mix(elements[which] ^ mix(strip.astype(_U64)))
-    room = weights[which] - strip
-    cell_owner = owner[which]
-    total = np.bincount(cell_owner, weights=np.minimum(room, 1.0), minlength=sets)
-    best = np.full(sets * k, np.iinfo(_U64).max, dtype=_U64)
-    # Rank intervals [low, high) for each set; doubled until every coordinate has a dart.
-    low = np.zeros(sets, dtype=np.int64)
-    high = np.ceil((k * np.log(max(k, 2)) + 2 * k) / np.maximum(total, 1e-9)).astype(np.int64) + 1
-    open_sets = total > 0
-    while open_sets.any():
-        cells = np.flatnonzero(open_sets[cell_owner])
-        o = cell_owner[cells]
-        spans = high[o] - low[o]
-        rows = np.repeat(cells, spans)
-        offset = np.arange(len(rows)) - np.repeat(np.cumsum(spans) - spans, spans)
-        rank = low[cell_owner[rows]] + offset
-        seed = mix(cell_seed[rows] + mix(rank.astype(_U64)))
-        count = np.searchsorted(_POISSON, (seed >> _U64(11)).astype(np.float64) * 2.0**-53)
-        rows, rank, seed = np.repeat(rows, count), np.repeat(rank, count), np.repeat(seed, count)
-        number = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-        dart = mix(seed + mix(number.astype(_U64) + _U64(1)))
-        inside = (mix(dart) >> _U64(11)).astype(np.float64) * 2.0**-53 < room[rows]
-        rows, rank, dart = rows[inside], rank[inside], dart[inside]
-        # Rank to 2**-18, then 24 bits of the dart: the smallest is the earliest.
-        when = (np.minimum(rank, (1 << 22) - 1).astype(_U64) << _U64(18)) | (dart >> _U64(46))
-        np.minimum.at(best, cell_owner[rows] * k + (dart % _U64(k)).astype(np.int64), (when << _U64(24)) | ((dart >> _U64(20)) & _U64(0xFFFFFF)))
-        missing = (best.reshape(sets, k) == np.iinfo(_U64).max).any(axis=1)
-        open_sets &= missing
-        low, high = high, high * 2
-    best[best == np.iinfo(_U64).max] = 0
-    return mix(best).reshape(sets, k)
-
-
-#: Sets that share their rank intervals are thrown together.
-_RANK_HASHES = mix(np.arange(1 << 16, dtype=_U64))
-
-
-def _unit_darts(elements: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Signatures of unweighted sets: one hash per dart gives its coordinate, its rank within the interval and its name."""
-    sets, sizes = len(starts) - 1, np.diff(starts)
     empty = _U64(np.iinfo(_U64).max)
     best = np.full((sets, k), empty, dtype=_U64)
-    darts = k * np.log(max(k, 2)) + k
+    plain = bool(np.all(weights == 1.0))
+    need = k * np.log(max(k, 2)) + k
     for i in range(sets):
-        own, mine = best[i], elements[starts[i] : starts[i + 1]]
-        low, high = 0, int(np.ceil(darts / max(sizes[i], 1)))
-        while sizes[i]:
-            ranks = np.arange(low, high, dtype=_U64)
-            names = _RANK_HASHES[low:high] if high <= len(_RANK_HASHES) else mix(ranks)
+        own, mine, heights = best[i], elements[starts[i] : starts[i + 1]], weights[starts[i] : starts[i + 1]]
+        room = None
+        if not plain:
+            # One strip for each begun unit of weight.
+            strips = np.ceil(heights).astype(np.int64)
+            which = np.repeat(np.arange(len(mine)), strips)
+            strip = np.arange(len(which)) - np.repeat(np.cumsum(strips) - strips, strips)
+            room = np.minimum(heights[which] - strip, 1.0)
+            mine = np.where(strip == 0, mine[which], mix(mine[which] ^ mix(strip.astype(_U64))))
+        low, high = 0, int(np.ceil(need / max(heights.sum(), 1e-9))) if len(mine) else 0
+        while len(mine):
+            # Rank intervals follow each other until every coordinate has a dart.
+            names = _RANKS[low:high] if high <= len(_RANKS) else mix(np.arange(low, high, dtype=_U64))
             with np.errstate(over="ignore"):
-                dart = mine[None, :] + names[:, None]
-                dart = (dart ^ (dart >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-                dart = (dart ^ (dart >> _U64(27))) * _U64(0x94D049BB133111EB)
-                dart ^= dart >> _U64(31)
-            where = ((dart >> _U64(42)) * _U64(k)) >> _U64(22)
-            dart &= _U64((1 << 42) - 1)
-            dart |= ranks[:, None] << _U64(42)
-            np.minimum.at(own, where.ravel().astype(np.int64), dart.ravel())
+                cell = _spread((mine[None, :] + names[:, None]).ravel())
+            column = np.tile(np.arange(len(mine)), high - low) if room is not None else None
+            rank = np.repeat(np.arange(low, high, dtype=_U64), len(mine))
+            for more, name in zip(_MORE, _DARTS, strict=True):
+                keep = cell > more
+                cell, rank = cell[keep], rank[keep]
+                if not len(cell):
+                    break
+                with np.errstate(over="ignore"):
+                    dart = _spread(cell + name)
+                at = rank
+                if room is not None:
+                    column = column[keep]
+                    inside = (mix(dart) >> _U64(11)).astype(np.float64) * 2.0**-53 < room[column]
+                    dart, at = dart[inside], rank[inside]
+                where = ((dart >> _U64(42)) * _U64(k)) >> _U64(22)
+                # The smallest of rank and dart is the earliest.
+                np.minimum.at(own, where.astype(np.int64), (dart & _U64((1 << 42) - 1)) | (at << _U64(42)))
             if not (own == empty).any():
                 break
             low, high = high, high + (high - low + 1) // 2
@@ -244,7 +229,7 @@ def _sign(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                 one = np.add.reduceat(mix(flat), begin)
                 two = np.add.reduceat(mix(flat ^ _U64(0xA5A5A5A5A5A5A5A5)), begin)
                 yield pd.DataFrame({
-                    "key": part["key"].to_numpy()[use], "h1": one.view(np.int64), "h2": two.view(np.int64),
+                    "key": part["key"].to_numpy()[use], "t": part["t"].to_numpy()[use], "h1": one.view(np.int64), "h2": two.view(np.int64),
                     "bands": list(folded.view(np.int64)), "sketch": [b.tobytes() for b in bits],
                 })
 
@@ -252,9 +237,9 @@ def _sign(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
 
 
 def signatures(df: DataFrame, key: str, text: str, kind: Likeness) -> DataFrame:
-    """``key, h1, h2, bands, sketch`` of every row whose text is long enough."""
-    texts = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    return texts.mapInPandas(_sign(kind), "key bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
+    """``key, t, h1, h2, bands, sketch`` of every row whose text is long enough; ``t`` is a hash of the text as it is."""
+    texts = df.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).filter("key is not null and text is not null")
+    return texts.mapInPandas(_sign(kind), "key bigint, t bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
 def _agreeing(kind: Likeness):
@@ -278,14 +263,14 @@ def _pairs_of_hot(members: DataFrame, texts: DataFrame, kind: Likeness) -> DataF
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for batch in batches:
-            for keys, text in zip(batch["key"], batch["text"], strict=True):
-                g = kind.grams([text], kind.n, kind.least, known)[0].view(np.int64)
-                yield pd.DataFrame({"key": keys, "gram": g, "size": len(g)})
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                found = [kind.grams([text], kind.n, kind.least, known)[0].view(np.int64) for text in part["text"]]
+                sizes = np.array([len(g) for g in found])
+                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), sizes), "gram": np.concatenate(found), "size": np.repeat(sizes, sizes)})
 
     grams = cut(texts.join(members.distinct(), "key", "left_semi").mapInPandas(elements, "key bigint, gram bigint, size int"), "hot")
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    from pyspark.sql import Window
-
     ranked = grams.join(df.filter("df > 1"), "gram").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("df", "gram")) + F.col("size"))
     shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
     # Elements of one set alone come first in the order and meet nothing.
@@ -296,7 +281,7 @@ def _pairs_of_hot(members: DataFrame, texts: DataFrame, kind: Likeness) -> DataF
     return a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
-def candidates(reps: DataFrame, texts: DataFrame, kind: Likeness) -> DataFrame:
+def candidates(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], kind: Likeness) -> DataFrame:
     """Distinct pairs ``a < b`` of representatives that share a band and whose sketches agree enough."""
     banded = reps.select("key", F.posexplode("bands").alias("band", "h")).withColumn("h", F.xxhash64("band", "h")).select("key", "h")
     # Overfull buckets show in a sample of the keys; how a bucket is treated changes the work and not the pairs.
@@ -309,7 +294,7 @@ def candidates(reps: DataFrame, texts: DataFrame, kind: Likeness) -> DataFrame:
     a, b = cool.alias("a"), cool.alias("b")
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     if hot is not None:
-        pairs = pairs.unionByName(_pairs_of_hot(hot, texts, kind)).distinct()
+        pairs = pairs.unionByName(_pairs_of_hot(hot, texts_of(hot), kind)).distinct()
     sketches = reps.select("key", "sketch")
     pairs = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     return pairs.filter(_agreeing(kind) >= kind.sketch_least).select("a", "b").distinct()
@@ -323,7 +308,7 @@ def _compare(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                 p, q = kind.exact(x, kind.n), kind.exact(y, kind.n)
                 both = len(p & q)
                 found.append(both / max(len(p) + len(q) - both, 1))
-            out = batch[["a", "b"]].assign(similarity=found)
+            out = batch.drop(columns=["ta", "tb"]).assign(similarity=found)
             yield out[out["similarity"] >= kind.similarity]
 
     return run
@@ -332,37 +317,50 @@ def _compare(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 def linked_representatives(df: DataFrame, key: str, text: str, kind: Likeness) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``.
 
-    ``members (key, rep)`` has every row whose text is long enough, with the
-    smallest key among the rows of equal sets. ``links (a, b, similarity)`` has
-    every pair of representatives of at least the required similarity. Rows
-    with a null key, a null text or one that is too short are in neither. Keys
-    should be unique: of a key that occurs twice, one text stands for both.
+    ``members (key, t, h1, h2, rep)`` has every row whose text is long enough,
+    with a hash ``t`` of the text; the 128 bits ``h1, h2`` of its set of elements name its class, and ``rep`` is
+    the smallest key of the class. ``links (a, a2, b, b2, similarity)`` has
+    every pair of classes ``(a, a2)``, ``(b, b2)`` of at least the required
+    similarity. Rows with a null key, a null text or one that is too short are
+    in neither. A key may occur with several texts; each is a row of its own.
     Other columns are ignored.
     """
-    texts = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     signed = cut(signatures(df, key, text, kind), "signed")
     classes = signed.groupBy("h1", "h2").agg(F.min("key").alias("rep"))
-    members = cut(signed.select("key", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "rep"), "members")
+    members = cut(signed.select("key", "t", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "t", "h1", "h2", "rep"), "members")
     # Copies are few, or many of few texts: leaving them out shuffles no signature while their keys fit a broadcast.
-    copies = small(cut(members.filter("key <> rep").select("key"), "copies"), 1_000_000)
-    reps = signed.join(copies, "key", "left_anti").select("key", "bands", "sketch")
-    pairs = cut(candidates(reps, texts, kind), "pairs")
+    copies = small(cut(members.filter("key <> rep").select("key", "h1", "h2"), "copies"), 1_000_000)
+    reps = signed.join(copies, ["key", "h1", "h2"], "left_anti")
+    # A text goes by 64 bits of its class from here on; the comparison tells apart those that share them.
+    texts = df.select(F.col(key).cast("bigint").alias("row"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).filter("row is not null and text is not null")
+    pairs = cut(candidates(reps.select(F.col("h1").alias("key"), "bands", "sketch"), lambda some: _texts_of(texts, members, some), kind), "pairs")
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    picked = texts.join(small(wanted, 1_000_000), "key", "left_semi").dropDuplicates(["key"])
-    joined = pairs.join(picked.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(picked.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    links = joined.select("a", "b", "ta", "tb").mapInPandas(_compare(kind), "a bigint, b bigint, similarity double")
+    picked = _texts_of(texts, members, wanted)
+    joined = pairs.join(picked.select(F.col("key").alias("a"), F.col("h2").alias("a2"), F.col("text").alias("ta")), "a").join(picked.select(F.col("key").alias("b"), F.col("h2").alias("b2"), F.col("text").alias("tb")), "b")
+    links = joined.select("a", "a2", "b", "b2", "ta", "tb").mapInPandas(_compare(kind), "a bigint, a2 bigint, b bigint, b2 bigint, similarity double")
     return members, cut(links, "links")
 
 
+def _texts_of(texts: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, h2, text`` of one row of each class whose first half is in ``wanted (key)``."""
+    firsts = members.filter("key = rep").groupBy("h1", "h2").agg(F.min(F.struct("key", "t")).alias("first"))
+    rows = firsts.select(F.col("h1").alias("key"), "h2", F.col("first.key").alias("row"), F.col("first.t").alias("t"))
+    rows = cut(rows.join(wanted.distinct(), "key", "left_semi"), "rows")
+    return texts.join(small(rows, 1_000_000), ["row", "t"]).select("key", "h2", "text").dropDuplicates(["key", "h2"])
+
+
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair of rows ``id_a < id_b``, copies included, from classes and links between them."""
-    links = links.select("a", "b").unionByName(members.filter("key = rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    left = links.join(members.select(F.col("rep").alias("a"), F.col("key").alias("x")), "a")
-    both = left.join(members.select(F.col("rep").alias("b"), F.col("key").alias("y")), "b").filter("a <> b or x < y")
-    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()
+    ends = members.select("key", "h1", "h2")
+    own = ends.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("h1").alias("b"), F.col("h2").alias("b2")).distinct()
+    both = links.select("a", "a2", "b", "b2").unionByName(own)
+    left = both.join(ends.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("key").alias("x")), ["a", "a2"])
+    pairs = left.join(ends.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("key").alias("y")), ["b", "b2"])
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """``key, rep, links``: each row's class of copies and the number of other classes it is linked to."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    return members.join(ends, "rep", "left").select("key", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2")))).alias("e"))
+    counts = ends.groupBy("e.h1", "e.h2").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(counts, ["h1", "h2"], "left").select("key", "rep", F.coalesce("links", F.lit(0)).alias("links"))

@@ -2,7 +2,8 @@
 
 Passages of the evaluation records, normalised to words, go into Aho-Corasick
 automata. The automata are sharded by a bound on their passages, and every
-training text is scanned with every shard. Passages are the three-word
+training text is scanned with every shard: blocks of texts travel with the
+passages of one shard through a shuffle, so that no task needs another store. Passages are the three-word
 sequences that similarity is defined on, and of each record only its rarest
 ones: a pair of similarity ``s`` shares at least ``s * n`` of a record's ``n``
 sequences, hence at least ``c`` of any ``n - ceil(s * n) + c``. Pairs with
@@ -18,20 +19,18 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-import pyarrow.dataset as ds
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import site_of
 from tidewire.llm.near_duplicates import words_of
-from tidewire.runtime import cut, new_folder, small
+from tidewire.runtime import cut, small
 
 #: Passages of one automaton; about 150 MB.
 SHARD = 250_000
-#: Characters of training text scanned per pass over the shards.
-BUFFER = 64_000_000
+#: Characters of training text scanned with one copy of an automaton.
+BLOCK = 24_000_000
 #: Matches that a pair must have beyond the first.
 EXTRA = 8
 N = 3
@@ -43,17 +42,17 @@ def passages_of(text: str) -> list[str]:
     return [f" {' '.join(words[i : i + N])} " for i in range(len(words) - N + 1)]
 
 
-def _h32(passage: str) -> int:
-    return xxhash.xxh32_intdigest(passage) - (1 << 31)
+def _hash(passage: str) -> int:
+    return xxhash.xxh64_intdigest(passage) - (1 << 63)
 
 
 def _count_train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 2000):
-            each = [np.unique(np.fromiter(map(_h32, passages_of(t)), np.int64)) for t in batch["text"].iloc[at : at + 2000]]
+            each = [np.unique(np.fromiter(map(_hash, passages_of(t)), np.int64)) for t in batch["text"].iloc[at : at + 2000]]
             if each:
                 h, n = np.unique(np.concatenate(each), return_counts=True)
-                yield pd.DataFrame({"h": h.astype(np.int32), "n": n.astype(np.int64)})
+                yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,10 +60,10 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 2000):
             keys, grams, sizes = [], [], []
             for key, text in zip(batch["key"].iloc[at : at + 2000], batch["text"].iloc[at : at + 2000], strict=True):
-                h = np.fromiter(map(_h32, set(passages_of(text))), np.int64)
+                h = np.fromiter(map(_hash, set(passages_of(text))), np.int64)
                 keys.append(np.full(len(h), key)), grams.append(h), sizes.append(np.full(len(h), len(h)))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(grams).astype(np.int32), "size": np.concatenate(sizes)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(grams), "size": np.concatenate(sizes)})
 
 
 def _select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +73,7 @@ def _select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text, least, chosen in zip(batch["key"], batch["text"], batch["least"], batch["chosen"], strict=True):
             wanted, seen = set(chosen), set()
             for at, p in enumerate(passages_of(text)):
-                if p not in seen and _h32(p) in wanted:
+                if p not in seen and _hash(p) in wanted:
                     seen.add(p)
                     rows.append((key, least, at, p))
         yield pd.DataFrame(rows, columns=["key", "least", "at", "passage"])
@@ -82,8 +81,8 @@ def _select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def eval_passages(train: DataFrame, evaluation: DataFrame, similarity: float) -> DataFrame:
     """``key, at, passage, pid, least``: the rarest passages of each evaluation record that training texts hold."""
-    known = train.select("text").mapInPandas(_count_train, "h int, n bigint").groupBy("h").agg(F.sum("n").alias("df"))
-    grams = evaluation.select("key", "text").mapInPandas(_grams, "key bigint, h int, size int")
+    known = train.select("text").mapInPandas(_count_train, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("df"))
+    grams = evaluation.select("key", "text").mapInPandas(_grams, "key bigint, h bigint, size int")
     present = grams.join(known, "h").groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
     # Hashes may collide, so that found is the passages that training texts may hold.
     spare = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9)).cast("int")
@@ -95,53 +94,44 @@ def eval_passages(train: DataFrame, evaluation: DataFrame, similarity: float) ->
     return rows.mapInPandas(_select, "key bigint, least int, at int, passage string").withColumn("pid", F.xxhash64("passage"))
 
 
-def _scan(folder: str, shards: int):
-    """Scan texts with one automaton after another; the texts wait in a bounded buffer."""
-
-    def automaton(shard: int) -> ahocorasick.Automaton:
-        files, path = pafs.FileSystem.from_uri(folder)
-        table = ds.dataset(f"{path}/shard={shard}", format="parquet", filesystem=files).to_table(columns=["pid", "passage"])
-        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        pids = table["pid"].to_numpy()
-        for i, passage in enumerate(table["passage"].to_pylist()):
-            found.add_word(passage, i)
-        found.make_automaton()
-        return found, pids
-
-    def flush(keys: list, texts: list, ready: dict) -> Iterator[pd.DataFrame]:
-        for shard in range(shards):
-            machine, pids = ready[0] if shards == 1 and ready else automaton(shard)
-            if shards == 1:
-                ready[0] = machine, pids
-            out_keys, out = [], []
-            for key, text in zip(keys, texts, strict=True):
-                if hits := {i for _, i in machine.iter(text)}:
-                    out.append(pids[np.fromiter(hits, np.int64)])
-                    out_keys.append(np.full(len(hits), key))
-            if out:
-                yield pd.DataFrame({"train": np.concatenate(out_keys), "pid": np.concatenate(out)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, texts, size, ready = [], [], 0, {}
-        for batch in batches:
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                keys.append(key)
-                texts.append(f" {' '.join(words_of(text))} ")
-                size += len(texts[-1])
-                if size > BUFFER:
-                    yield from flush(keys, texts, ready)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield from flush(keys, texts, ready)
-
-    return run
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reads the passages of a shard, then a block of texts, which it scans with the shard's automaton."""
+    place, machine, pids = None, None, []
+    for batch in batches:
+        keys, found = [], []
+        for shard, block, turn, key, text in zip(*(batch[c].tolist() for c in ("shard", "block", "turn", "key", "text")), strict=True):
+            if (shard, block) != place:
+                place, machine, pids = (shard, block), ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+            if turn == 0:
+                machine.add_word(text, len(pids))
+                pids.append(key)
+                continue
+            if isinstance(pids, list):
+                pids = np.array(pids, np.int64)
+                machine.make_automaton()
+            if len(pids) and (hits := {i for _, i in machine.iter(f" {' '.join(words_of(text))} ")}):
+                found.append(pids[np.fromiter(hits, np.int64)])
+                keys.append(np.full(len(hits), key, np.int64))
+        if found:
+            yield pd.DataFrame({"train": np.concatenate(keys), "pid": np.concatenate(found)})
+
+
+def matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """``train, pid`` of every passage ``(pid, passage)`` in every text ``(key, text)``."""
+    shards = max(1, math.ceil(passages.count() / SHARD))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    first = passages.select(F.pmod("pid", F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), F.lit(0).alias("turn"), F.col("pid").alias("key"), F.col("passage").alias("text"))
+    then = texts.select(each(shards).alias("shard"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("turn"), "key", "text")
+    return first.unionByName(then).repartition("shard", "block").sortWithinPartitions("shard", "block", "turn").mapInPandas(_scan, "train bigint, pid bigint")
 
 
 def _compare(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for train, key, x, y in zip(batch["train"], batch["key"], batch["tx"], batch["ty"], strict=True):
+            for train, train2, key, key2, x, y in zip(*(batch[c] for c in ("train", "train2", "key", "key2", "tx", "ty")), strict=True):
                 a, order = set(passages_of(x)), passages_of(y)
                 b = set(order)
                 both = len(a & b)
@@ -154,8 +144,8 @@ def _compare(similarity: float):
                                 intervals[-1][1] = at + N
                             else:
                                 intervals.append([at, at + N])
-                    rows.append((train, key, alike, intervals))
-            yield pd.DataFrame(rows, columns=["train", "key", "similarity", "intervals"])
+                    rows.append((train, train2, key, key2, alike, intervals))
+            yield pd.DataFrame(rows, columns=["train", "train2", "key", "key2", "similarity", "intervals"])
 
     return run
 
@@ -163,62 +153,58 @@ def _compare(similarity: float):
 def overlaps(df: DataFrame, key: str = "aligned_id", text: str = "body_clean", split: str = "split", train: str = "train", similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """``(classes, links)`` of cross-split overlaps.
 
-    ``classes (key, split, rep, is_train)`` maps every row to the smallest key
-    with the same text on the same side. ``links (train, key, similarity,
-    intervals)`` has every pair of a training and an evaluation class of at
-    least ``similarity``, with the merged word intervals of the evaluation text
-    that match. Rows with a null key, text or split, and texts of fewer than
-    three words, overlap with nothing. Keys should be unique: of a key that
-    occurs twice on one side, one text stands for both. Other columns are ignored.
+    ``classes (key, split, is_train, t1, t2)`` has every row with the two hashes
+    that name its text. ``links (train, train2, key, key2, similarity,
+    intervals)`` has every pair of a training text ``(train, train2)`` and an
+    evaluation text ``(key, key2)`` of at least ``similarity``, with the merged
+    word intervals of the evaluation text that match. Rows with a null key,
+    text or split, and texts of fewer than three words, overlap with nothing. A
+    key may occur with several texts; each is a row of its own. Other columns
+    are ignored.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(split).alias("split")).filter("key is not null and text is not null and split is not null")
-    rows = rows.withColumn("is_train", F.col("split") == train)
-    keyed = rows.select("key", "split", "is_train", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.length("text").alias("t3"))
-    same = ["t1", "t2", "t3", "is_train"]
-    classes = cut(keyed.join(keyed.groupBy(*same).agg(F.min("key").alias("rep")), same).select("key", "split", "rep", "is_train"), "classes")
-    # No text is shuffled while the keys of the copies fit a broadcast.
-    copies = small(cut(classes.filter("key <> rep").select("key", "is_train"), "copies"), 1_000_000)
-    only = rows.select("key", "text", "is_train").join(copies, ["key", "is_train"], "left_anti")
-    side = lambda flag: only.filter(F.col("is_train") == flag).select("key", "text")
+    named = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(split).alias("split")).filter("id is not null and text is not null and split is not null")
+    rows = named.withColumn("is_train", F.col("split") == train).withColumn("t1", F.xxhash64("text"))
+    t2 = F.hash(F.lit(1), "text").alias("t2")
+    classes = cut(rows.select(F.col("id").alias("key"), "split", "is_train", "t1", t2), "classes")
+    # One row of each text; no text is shuffled while the rows of the copies fit a broadcast.
+    firsts = classes.groupBy("t1", "t2", "is_train").agg(F.min("key").alias("id"))
+    copies = small(cut(classes.withColumnRenamed("key", "id").join(firsts, ["t1", "t2", "is_train", "id"], "left_anti").select("id", "t1", "is_train").distinct(), "copies"), 1_000_000)
+    only = rows.join(copies, ["id", "t1", "is_train"], "left_anti")
+    side = lambda flag: only.filter(F.col("is_train") == flag).select(F.col("t1").alias("key"), "text")
     passages = cut(eval_passages(side(True), side(False), similarity), "passages")
-    distinct = passages.select("pid", "passage").distinct()
-    shards = max(1, math.ceil(distinct.count() / SHARD))
-    folder = new_folder(df.sparkSession, "automata")
-    sharded = distinct.withColumn("shard", F.pmod("pid", F.lit(shards)).cast("int")).repartition(shards, "shard")
-    sharded.write.partitionBy("shard").parquet(folder)
-    empty = passages.isEmpty()
-    scanned = side(True) if not empty else side(True).limit(0)
-    hits = scanned.mapInPandas(_scan(folder, 0 if empty else shards), "train bigint, pid bigint")
+    hits = matches(side(True), passages.select("pid", "passage").distinct())
     pairs = hits.join(passages.select("pid", "key", "least"), "pid").groupBy("train", "key").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least")
     pairs = cut(pairs.select("train", "key"), "overlap")
-    wanted = cut(pairs.select(F.explode(F.array("train", "key")).alias("key")).distinct(), "wanted")
-    texts = rows.select("key", "is_train", "text").join(small(wanted, 1_000_000), "key", "left_semi").dropDuplicates(["key", "is_train"])
-    joined = pairs.join(texts.filter("is_train").select(F.col("key").alias("train"), F.col("text").alias("tx")), "train").join(texts.filter("not is_train").select("key", F.col("text").alias("ty")), "key")
-    links = joined.select("train", "key", "tx", "ty").mapInPandas(_compare(similarity), "train bigint, key bigint, similarity double, intervals array<array<int>>")
+    wanted = cut(pairs.select(F.explode(F.array("train", "key")).alias("t1")).distinct(), "wanted")
+    texts = only.select("t1", t2, "is_train", "text").join(small(wanted, 1_000_000), "t1", "left_semi").dropDuplicates(["t1", "t2", "is_train"])
+    left = texts.filter("is_train").select(F.col("t1").alias("train"), F.col("t2").alias("train2"), F.col("text").alias("tx"))
+    right = texts.filter("not is_train").select(F.col("t1").alias("key"), F.col("t2").alias("key2"), F.col("text").alias("ty"))
+    joined = pairs.join(left, "train").join(right, "key").select("train", "train2", "key", "key2", "tx", "ty")
+    links = joined.mapInPandas(_compare(similarity), "train bigint, train2 int, key bigint, key2 int, similarity double, intervals array<array<int>>")
     return classes, cut(links, "links")
 
 
 def pairs_of_rows(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``id_a, id_b`` of every overlapping pair of rows, smaller key first."""
-    ends = classes.select("key", "rep", "is_train")
-    left = links.select("train", F.col("key").alias("record")).join(ends.filter("is_train").select(F.col("rep").alias("train"), F.col("key").alias("x")), "train")
-    both = left.join(ends.filter("not is_train").select(F.col("rep").alias("record"), F.col("key").alias("y")), "record")
+    of = lambda flag, a, b, name: classes.filter(F.col("is_train") == flag).select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("key").alias(name))
+    left = links.select("train", "train2", F.col("key").alias("record"), F.col("key2").alias("record2")).join(of(True, "train", "train2", "x"), ["train", "train2"])
+    both = left.join(of(False, "record", "record2", "y"), ["record", "record2"])
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def covered_words(links: DataFrame) -> DataFrame:
-    """``key, covered``: words of each evaluation class within the union of its matched intervals."""
+    """``key, key2, covered``: words of each evaluation text within the union of its matched intervals."""
     # Distinct intervals are bounded by the record's own length, however many training texts match.
-    spans = links.select("key", F.explode("intervals").alias("i")).select("key", F.col("i")[0].alias("s"), F.col("i")[1].alias("e")).distinct()
-    before = Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    spans = links.select("key", "key2", F.explode("intervals").alias("i")).select("key", "key2", F.col("i")[0].alias("s"), F.col("i")[1].alias("e")).distinct()
+    before = Window.partitionBy("key", "key2").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("e").over(before), F.lit(0))
-    return spans.withColumn("new", F.greatest(F.col("e") - F.greatest("s", reach), F.lit(0))).groupBy("key").agg(F.sum("new").cast("bigint").alias("covered"))
+    return spans.withColumn("new", F.greatest(F.col("e") - F.greatest("s", reach), F.lit(0))).groupBy("key", "key2").agg(F.sum("new").cast("bigint").alias("covered"))
 
 
 def report(df: DataFrame, classes: DataFrame, links: DataFrame, key: str = "aligned_id", url: str = "url") -> DataFrame:
-    """Per evaluation split and site: overlapping rows, pairs and words covered."""
-    sites = df.select(F.col(key).cast("bigint").alias("key"), site_of(F.col(url)).alias("site")).filter("key is not null").dropDuplicates(["key"])
-    copies = classes.filter("is_train").groupBy(F.col("rep").alias("train")).agg(F.count(F.lit(1)).alias("copies"))
-    per = links.join(copies, "train").groupBy("key").agg(F.sum("copies").alias("pairs")).join(covered_words(links), "key")
-    rows = classes.filter("not is_train").select("key", "split", "rep").join(sites, "key", "left").join(per.withColumnRenamed("key", "rep"), "rep")
+    """Per evaluation split and site: overlapping rows, pairs and words covered; a key with several urls counts for its first site."""
+    sites = df.select(F.col(key).cast("bigint").alias("key"), site_of(F.col(url)).alias("site")).filter("key is not null").groupBy("key").agg(F.min("site").alias("site"))
+    copies = classes.filter("is_train").groupBy(F.col("t1").alias("train"), F.col("t2").alias("train2")).agg(F.count(F.lit(1)).alias("copies"))
+    per = links.join(copies, ["train", "train2"]).groupBy("key", "key2").agg(F.sum("copies").alias("pairs")).join(covered_words(links), ["key", "key2"])
+    rows = classes.filter("not is_train").join(sites, "key", "left").join(per.select(F.col("key").alias("t1"), F.col("key2").alias("t2"), "pairs", "covered"), ["t1", "t2"])
     return rows.groupBy("split", "site").agg(F.count(F.lit(1)).alias("rows"), F.sum("pairs").alias("pairs"), F.sum("covered").alias("covered_words"))
