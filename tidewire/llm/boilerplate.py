@@ -159,7 +159,8 @@ _TOKENS = "site string, salt int, gram bigint, n bigint, titles bigint, fp bigin
 def _pages(df: DataFrame, key: str, url: str, title: str, body: str) -> DataFrame:
     """``key, site, salt, title, body``; a host's pages fall into parts of about :data:`PART` characters."""
     pages = df.select(F.col(key).alias("key"), site_of(F.col(url)).alias("site"), F.col(title).alias("title"), F.col(body).alias("body")).filter("site is not null and body is not null")
-    sizes = pages.groupBy("site").agg(F.ceil(F.sum(F.length("body")) / PART).cast("int").alias("salts"))
+    # As a table its size is known, so that few hosts are broadcast and many shuffled.
+    sizes = cut(pages.groupBy("site").agg(F.ceil(F.sum(F.length("body")) / PART).cast("int").alias("salts")), "sites")
     return pages.join(sizes, "site").select("key", "site", F.pmod(F.xxhash64("key"), F.greatest("salts", F.lit(1))).cast("int").alias("salt"), "title", "body")
 
 
