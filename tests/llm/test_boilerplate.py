@@ -50,7 +50,7 @@ def _own(spark, rows):
 
 def test_classes_share_their_pages(spark):
     found = {(r["site"], r["gram"]): (r["class"], r["size"]) for r in boilerplate.occurrence_classes(_own(spark, pages()[0])).collect()}
-    grams = [boilerplate.token_hash(t) for t in boilerplate.tokens("Sign up for the Dailykabar evening letter", "dailykabar")]
+    grams = [int(t) for t in boilerplate.pairs_of(["Sign up for the Dailykabar evening letter"], boilerplate._Words("dailykabar.example"))[0]]
     assert len({found["dailykabar.example", g] for g in grams}) == 1 and found["dailykabar.example", grams[0]][1] >= len(grams)
 
 

@@ -29,6 +29,7 @@ pages travel with the tokens of a bounded part of their host.
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from tidewire.runtime import cut
 #: Pages of a host on which a token of its template occurs, and those of a line that is furniture as a whole.
 SUPPORT, WHOLE = 3, 10
 #: Characters of a host's pages that are examined together.
-PART = 16_000_000
+PART = 6_000_000
 #: Share of pages on which a class must keep its order and its nesting.
 VALID = 0.9
 #: Share of marked lines that makes a frame furniture, and lines that the share over all hosts weighs.
@@ -66,63 +67,106 @@ def is_prose(line: str) -> bool:
     return line.count(" ") >= 8 and _END.search(line) is not None
 
 
-def tokens(line: str, stem: str) -> list[str]:
-    """Pairs of neighbouring words of a line, borders included; numbers and the host's own name are slots."""
-    words = ["^"]
-    for w in _WORD.findall(line):
-        k = w.lower()
-        words.append("#" if w[0].isdigit() else "@" if stem and stem in k else k)
-    words.append("$")
-    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ALL = (1 << 64) - 1
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
 def token_hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) - (1 << 63)
+    """A pair of words: the border signs ``^`` and ``$``, the slots ``#`` and ``@``, or words in lower case."""
+    a, b = token.split(" ")
+    return _signed((word_hash(a) * int(_FIRST) + word_hash(b) * int(_SECOND)) & _ALL)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def line_hash(line: str) -> int:
     """The token of a whole line."""
-    return token_hash(f"= {line.lower()}")
+    return _signed(xxhash.xxh64_intdigest(f"= {line.lower()}"))
+
+
+_BEGIN, _STOP, _NUMBER, _NAME = map(word_hash, "^$#@")
+
+
+class _Words(dict):
+    """Hashes of a host's words, numbers and the host's own name as slots; remembered."""
+
+    def __init__(self, site: str):
+        super().__init__()
+        name = site.split(".")[0]
+        self.stem = name if len(name) >= 4 else ""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        k = word.lower()
+        self[word] = value = _NUMBER if word[0].isdigit() else _NAME if self.stem and self.stem in k else word_hash(k)
+        return value
 
-def _stem(site: str) -> str:
-    name = site.split(".")[0]
-    return name if len(name) >= 4 else ""
 
+class _Known(OrderedDict):
+    """The words of the hosts seen last."""
 
-def _surroundings(lines: list[str], prose: list[bool]) -> list[int]:
+    def __missing__(self, site: str) -> _Words:
+        if len(self) > 200:
+            self.popitem(last=False)
+        self[site] = words = _Words(site)
+        return words
+
+
+def pairs_of(lines: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of lines one after another, the number of each token's line, and whether its second word is a number."""
+    flat, sizes = [], []
+    for line in lines:
+        found = _WORD.findall(line)
+        flat += [_BEGIN, *map(words.__getitem__, found), _STOP]
+        sizes.append(len(found) + 2)
+    h, of = np.array(flat, np.uint64), np.repeat(np.arange(len(lines)), sizes)
+    if not len(h):
+        return np.empty(0, np.int64), of, np.empty(0, bool)
+    same = of[1:] == of[:-1]
+    return (h[:-1] * _FIRST + h[1:] * _SECOND)[same].view(np.int64), of[1:][same], (h[1:] == np.uint64(_NUMBER))[same]
+
+
+def _lines_of(body: str) -> tuple[list[str], list[bool], list[int]]:
+    """Cleaned lines, whether each is prose, and the token of each whole line."""
+    lines = [" ".join(raw.split()) for raw in _INVISIBLE.sub("", body).split("\n")]
+    return lines, [is_prose(line) for line in lines], [line_hash(line) if line else 0 for line in lines]
+
+
+def _surroundings(prose: list[bool], hashes: list[int]) -> list[int]:
     """One of 64 bits for the prose line that follows each line, or else precedes it."""
-    bit = lambda line: 1 << (token_hash(line) & 63)
-    out, after = [0] * len(lines), 0
-    for i in range(len(lines) - 1, -1, -1):
+    out, after = [0] * len(prose), 0
+    for i in range(len(prose) - 1, -1, -1):
         out[i] = after
         if prose[i]:
-            after = bit(lines[i])
+            after = 1 << (hashes[i] & 63)
     before = 1
-    for i, line in enumerate(lines):
+    for i, is_long in enumerate(prose):
         out[i] = out[i] or before
-        if prose[i]:
-            before = bit(line)
+        if is_long:
+            before = 1 << (hashes[i] & 63)
     return out
 
 
-def _of_body(body: str, stem: str) -> dict[int, int]:
+def _of_body(body: str, words: _Words) -> dict[int, int]:
     """Tokens of a page; whole lines with their surroundings."""
-    lines = [clean(raw) for raw in body.split("\n")]
-    prose = [is_prose(line) for line in lines]
-    found: dict[int, int] = {}
-    for line, is_long, around in zip(lines, prose, _surroundings(lines, prose), strict=True):
-        if line:
-            h = line_hash(line)
+    lines, prose, hashes = _lines_of(body)
+    found = dict.fromkeys(pairs_of([line for line, is_long in zip(lines, prose, strict=True) if line and not is_long], words)[0].tolist(), 0)
+    for h, around in zip(hashes, _surroundings(prose, hashes), strict=True):
+        if h:
             found[h] = found.get(h, 0) | around
-            if not is_long:
-                for t in tokens(line, stem):
-                    found.setdefault(token_hash(t), 0)
     return found
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tokens of each part of a host, summed within a batch: pages, titles, fingerprint of the pages and surroundings."""
+    hosts = _Known()
     for batch in batches:
         for at in range(0, len(batch), 4000):
             part = batch.iloc[at : at + 4000]
@@ -130,13 +174,13 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = {p: i for i, p in enumerate(dict.fromkeys(places))}
             place_no, mark, gram, title, around = [], [], [], [], []
             for place, key, head, body in zip(places, part["key"], part["title"], part["body"], strict=True):
-                stem = _stem(place[0])
-                for flag, found in ((0, _of_body(body, stem)), (1, dict.fromkeys(map(token_hash, tokens(clean(head), stem)), 0) if head else {})):
+                words = hosts[place[0]]
+                for flag, found in ((0, _of_body(body, words)), (1, dict.fromkeys(pairs_of([clean(head)], words)[0].tolist(), 0) if head else {})):
                     gram.append(np.fromiter(found, np.int64, len(found)))
                     around.append(np.fromiter(found.values(), np.uint64, len(found)).view(np.int64))
                     place_no.append(np.full(len(found), names[place], np.int64))
                     # A page counts once in the vector for its lines and once for its title.
-                    mark.append(np.full(len(found), token_hash(f"{key} {flag} {len(body)}"), np.int64))
+                    mark.append(np.full(len(found), _signed(word_hash(f"{key} {flag} {len(body)}")), np.int64))
                     title.append(np.full(len(found), flag, np.int64))
             gram, place_no, mark, title, around = map(np.concatenate, (gram, place_no, mark, title, around))
             if not len(gram):
@@ -187,38 +231,34 @@ class _Examiner:
     """Marks the lines of pages and checks the classes on them, by the tokens ``gram: (n, titles, seen, class, size)`` of one part of a host."""
 
     def __init__(self, site: str):
-        self.stem, self.known = _stem(site), {}
+        self.words, self.known = _Words(site), {}
         self.classes: dict[tuple[int, int, int], list[int]] = {}
 
     def lines(self, body: str) -> list[tuple[int, int | None, int | None, bool, int]]:
         """``line_no, frame, class, whole, marks`` of every line that may be furniture."""
-        lines = [clean(raw) for raw in body.split("\n")]
-        known, whole, short = self.known, [], []
-        wholes = [known.get(line_hash(line), _NONE) if line else _NONE for line in lines]
-        prose = [bool(line) and is_prose(line) for line in lines]
-        main = [i for i, line in enumerate(lines) if prose[i] and wholes[i][0] < WHOLE]
+        lines, prose, hashes = _lines_of(body)
+        known, short = self.known, []
+        wholes = [known.get(h, _NONE) if h else _NONE for h in hashes]
+        main = [i for i, is_long in enumerate(prose) if is_long and wholes[i][0] < WHOLE]
         # Without prose there is no main slot to lie outside of.
         begin, end = (main[0], main[-1]) if main else (0, len(lines))
+        whole = [(i + 1, None, None, True, 0) for i, w in enumerate(wholes) if w[0] >= WHOLE]
+        numbers = [i for i, line in enumerate(lines) if line and not prose[i]]
+        grams, of, is_number = pairs_of([lines[i] for i in numbers], self.words)
+        ends, grams = np.searchsorted(of, np.arange(len(numbers) + 1)).tolist(), grams.tolist()
         sequence: list[tuple[int, int]] = []
-        for i, line in enumerate(lines):
-            if not line:
-                continue
-            if wholes[i][0] >= WHOLE:
-                whole.append((i + 1, None, None, True, 0))
-            if prose[i]:
-                continue
-            own = tokens(line, self.stem)
-            grams = [token_hash(t) for t in own]
-            found = [known.get(g, _NONE) for g in grams]
-            sequence += [(f[3], g) for g, f in zip(grams, found, strict=True) if f[4] > 1 and f[0] >= SUPPORT]
+        for no, i in enumerate(numbers):
+            own = grams[ends[no] : ends[no + 1]]
+            found = [known.get(g, _NONE) for g in own]
+            sequence += [(f[3], g) for g, f in zip(own, found, strict=True) if f[4] > 1 and f[0] >= SUPPORT]
             if wholes[i][0] >= WHOLE:
                 continue
             marks = CONSTANT * (wholes[i][0] > 1 and wholes[i][2] > 1) + OUTSIDE * (i < begin or i > end)
             marks += HEADLINE * (sum(t >= SUPPORT and 3 * t >= n for n, t, *_ in found) >= 3)
-            marks += NUMBERS * (all(f[0] >= SUPPORT for f in found) and any(t.endswith(" #") for t in own))
+            marks += NUMBERS * (all(f[0] >= SUPPORT for f in found) and bool(is_number[ends[no] : ends[no + 1]].any()))
             at = 0 if found[0][0] >= found[-1][0] else -1
             frame = found[at] if found[at][0] >= SUPPORT else None
-            short.append((i + 1, grams[at] if frame else None, frame[3] if frame else None, False, marks))
+            short.append((i + 1, own[at] if frame else None, frame[3] if frame else None, False, marks))
         self._check(sequence)
         return whole + short
 
