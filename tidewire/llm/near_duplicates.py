@@ -38,21 +38,22 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U64(31))
 
 
-#: Hashes of the first ranks, of the darts within a cell, and the bounds above which a cell holds one more dart.
+#: Hashes of the first ranks and of the darts within a cell, and the number of darts by the first 16 bits of a cell's hash.
 _RANKS, _DARTS = mix(np.arange(1 << 16, dtype=_U64)), mix(np.arange(1 << 20, (1 << 20) + 16, dtype=_U64))
-_MORE = (_POISSON * 2.0**64).astype(object)
-_MORE = np.array([min(int(x), (1 << 64) - 1) for x in _MORE], dtype=_U64)
+_COUNTS = np.searchsorted(_POISSON, (np.arange(1 << 16) + 0.5) * 2.0**-16)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
     """A cheap 64-bit finaliser, in place."""
-    with np.errstate(over="ignore"):
-        x ^= x >> _U64(32)
-        x *= _U64(0xBF58476D1CE4E5B9)
-        x ^= x >> _U64(29)
+    x ^= x >> _U64(32)
+    x *= _U64(0xBF58476D1CE4E5B9)
+    x ^= x >> _U64(29)
     return x
 
 
+_PLACE = np.arange(1 << 14)
+
+
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """DartMinHash signatures of several weighted sets.
 
@@ -67,7 +68,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarra
     empty = _U64(np.iinfo(_U64).max)
     best = np.full((sets, k), empty, dtype=_U64)
     plain = bool(np.all(weights == 1.0))
-    need = k * np.log(max(k, 2)) + k
+    need = k * np.log(max(k, 2)) + 1.5 * k
     for i in range(sets):
         own, mine, heights = best[i], elements[starts[i] : starts[i + 1]], weights[starts[i] : starts[i + 1]]
         room = None
@@ -82,25 +83,21 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarra
         while len(mine):
             # Rank intervals follow each other until every coordinate has a dart.
             names = _RANKS[low:high] if high <= len(_RANKS) else mix(np.arange(low, high, dtype=_U64))
-            with np.errstate(over="ignore"):
-                cell = _spread((mine[None, :] + names[:, None]).ravel())
-            column = np.tile(np.arange(len(mine)), high - low) if room is not None else None
-            rank = np.repeat(np.arange(low, high, dtype=_U64), len(mine))
-            for more, name in zip(_MORE, _DARTS, strict=True):
-                keep = cell > more
-                cell, rank = cell[keep], rank[keep]
-                if not len(cell):
-                    break
-                with np.errstate(over="ignore"):
-                    dart = _spread(cell + name)
-                at = rank
-                if room is not None:
-                    column = column[keep]
-                    inside = (mix(dart) >> _U64(11)).astype(np.float64) * 2.0**-53 < room[column]
-                    dart, at = dart[inside], rank[inside]
-                where = ((dart >> _U64(42)) * _U64(k)) >> _U64(22)
-                # The smallest of rank and dart is the earliest.
-                np.minimum.at(own, where.astype(np.int64), (dart & _U64((1 << 42) - 1)) | (at << _U64(42)))
+            cell = _spread((mine[None, :] + names[:, None]).ravel())
+            count = _COUNTS.take((cell >> _U64(48)).view(np.int64))
+            rows = np.repeat(_PLACE[: len(cell)] if len(cell) <= len(_PLACE) else np.arange(len(cell)), count)
+            # Darts of a cell are numbered from 0.
+            number = np.arange(len(rows))
+            number -= (np.cumsum(count) - count).take(rows)
+            dart = _spread(cell.take(rows) + _DARTS.take(number))
+            if room is not None:
+                inside = (mix(dart) >> _U64(11)).astype(np.float64) * 2.0**-53 < room[rows % len(mine)]
+                dart, rows = dart[inside], rows[inside]
+            where = ((dart >> _U64(42)) * _U64(k)) >> _U64(22)
+            # The smallest of rank and dart is the earliest.
+            dart &= _U64((1 << 42) - 1)
+            dart |= ((rows // len(mine) + low) << 42).view(_U64)
+            np.minimum.at(own, where.view(np.int64), dart)
             if not (own == empty).any():
                 break
             low, high = high, high + (high - low + 1) // 2
@@ -129,18 +126,51 @@ def title_of(text: str) -> str:
     return _NOT_WORDS.sub(" ", text.lower()).strip()
 
 
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[[*range(48, 58), *range(97, 123)]] = True
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, as many as the longest text has bytes."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, _U64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            size = max(1 << 14, 2 * n)
+            self.up, self.down = (np.concatenate([np.ones(1, _U64), np.full(size, x, _U64)]).cumprod(dtype=_U64) for x in (_BASE, _INVERSE))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order, as :func:`words_of` has them."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    inside = _IS_WORD[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    up, down = _POWERS.upto(len(raw))
+    # Sums of bytes times powers; a word's own sum is brought to the power zero.
+    total = np.zeros(len(raw) + 1, _U64)
+    np.cumsum((raw.astype(_U64) + _U64(1)) * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin])
+
+
 def _word_grams(texts: list[str], n: int, least: int, known: _Hashes) -> list[np.ndarray]:
     out = []
     for text in texts:
-        words = words_of(text)
-        if len(words) < least:
+        h = word_hashes(text)
+        if len(h) < max(least, n):
             out.append(np.empty(0, _U64))
             continue
-        h = np.fromiter(map(known.__getitem__, words), _U64, len(words))
         # Each place has an odd factor of its own, so that the order of the words counts.
-        gram = h[: len(words) - n + 1] * _PLACES[0]
+        gram = h[: len(h) - n + 1] * _PLACES[0]
         for i in range(1, n):
-            gram += h[i : len(words) - n + 1 + i] * _PLACES[i]
+            gram += h[i : len(h) - n + 1 + i] * _PLACES[i]
         out.append(np.unique(gram))
     return out
 
@@ -209,8 +239,8 @@ def _sign(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         known = _Hashes()
         k = kind.bands * kind.rows
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 grams = kind.grams(part["text"].tolist(), kind.n, kind.least, known)
                 use = [i for i, g in enumerate(grams) if len(g)]
                 if not use:
@@ -283,17 +313,18 @@ def _pairs_of_hot(members: DataFrame, texts: DataFrame, kind: Likeness) -> DataF
 
 def candidates(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], kind: Likeness) -> DataFrame:
     """Distinct pairs ``a < b`` of representatives that share a band and whose sketches agree enough."""
-    banded = reps.select("key", F.posexplode("bands").alias("band", "h")).withColumn("h", F.xxhash64("band", "h")).select("key", "h")
-    # Overfull buckets show in a sample of the keys; how a bucket is treated changes the work and not the pairs.
-    sampled = banded.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(16)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    full = cut(sampled.filter(F.col("n") * 16 > kind.hot).select("h"), "full")
-    if full.isEmpty():
-        cool, hot = banded, None
-    else:
-        cool, hot = banded.join(full, "h", "left_anti"), banded.join(full, "h", "left_semi").select("key")
-    a, b = cool.alias("a"), cool.alias("b")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    if hot is not None:
+    banded = reps.select("key", F.explode("bands").alias("h"))
+    # Most buckets hold one text and go here; of two, the aggregate knows both.
+    buckets = cut(banded.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).filter("n > 1"), "buckets")
+    pairs = buckets.filter("n = 2 and a < b").select("a", "b")
+    some = buckets.filter(F.col("n").between(3, kind.hot)).select("h")
+    shared = cut(banded.join(small(some, 1_000_000), "h", "left_semi"), "shared-buckets")
+    x, y = (shared.select("h", F.col("key").alias(k)) for k in ("a", "b"))
+    pairs = pairs.unionByName(x.join(y, "h").filter("a < b").select("a", "b")).distinct()
+    # How an overfull bucket is treated changes the work and not the pairs.
+    full = cut(buckets.filter(F.col("n") > kind.hot).select("h"), "full")
+    if not full.isEmpty():
+        hot = banded.join(small(full, 1_000_000), "h", "left_semi").select("key")
         pairs = pairs.unionByName(_pairs_of_hot(hot, texts_of(hot), kind)).distinct()
     sketches = reps.select("key", "sketch")
     pairs = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -303,9 +334,9 @@ def candidates(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], kind
 def _compare(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            found, sets = [], {}
             for x, y in zip(batch["ta"], batch["tb"], strict=True):
-                p, q = kind.exact(x, kind.n), kind.exact(y, kind.n)
+                p, q = (sets.get(t) or sets.setdefault(t, kind.exact(t, kind.n)) for t in (x, y))
                 both = len(p & q)
                 found.append(both / max(len(p) + len(q) - both, 1))
             out = batch.drop(columns=["ta", "tb"]).assign(similarity=found)
@@ -314,53 +345,65 @@ def _compare(kind: Likeness) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return run
 
 
+def class_names(classes: DataFrame, rep: str, h: str) -> tuple[DataFrame, DataFrame]:
+    """``(classes, shared)``: a number ``cid`` for each class, and the representatives of several classes.
+
+    A class goes by its representative's key, which is small and compresses
+    well. Where a key stands for several classes, because it occurs with several
+    texts, they go by the hash ``h``, below zero.
+    """
+    shared = cut(classes.groupBy(F.col(rep).alias("_rep")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_rep"), "shared")
+    return named(classes, shared, rep, h), shared
+
+
+def named(df: DataFrame, shared: DataFrame, rep: str, h: str) -> DataFrame:
+    """Adds ``cid`` of the class that has the representative ``rep`` and the hash ``h``."""
+    with_shared = df.join(small(shared, 1_000_000), F.col(rep) == F.col("_rep"), "left")
+    return with_shared.withColumn("cid", F.when(F.col("_rep").isNull(), F.col(rep)).otherwise(-1 - F.pmod(F.col(h), F.lit(1 << 62)))).drop("_rep")
+
+
 def linked_representatives(df: DataFrame, key: str, text: str, kind: Likeness) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``.
 
-    ``members (key, t, h1, h2, rep)`` has every row whose text is long enough,
-    with a hash ``t`` of the text; the 128 bits ``h1, h2`` of its set of elements name its class, and ``rep`` is
-    the smallest key of the class. ``links (a, a2, b, b2, similarity)`` has
-    every pair of classes ``(a, a2)``, ``(b, b2)`` of at least the required
-    similarity. Rows with a null key, a null text or one that is too short are
-    in neither. A key may occur with several texts; each is a row of its own.
-    Other columns are ignored.
+    ``members (key, t, cid, rep)`` has every row whose text is long enough, with
+    a hash ``t`` of the text; ``cid`` is its class, of equal sets of elements,
+    and ``rep`` the smallest key of the class. ``links (a, b, similarity)`` has
+    every pair of classes ``a < b`` of at least the required similarity. Rows
+    with a null key, a null text or one that is too short are in neither. A key
+    may occur with several texts; each is a row of its own. Other columns are
+    ignored.
     """
     signed = cut(signatures(df, key, text, kind), "signed")
-    classes = signed.groupBy("h1", "h2").agg(F.min("key").alias("rep"))
-    members = cut(signed.select("key", "t", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "t", "h1", "h2", "rep"), "members")
+    classes, shared = class_names(signed.groupBy("h1", "h2").agg(F.min("key").alias("rep")), "rep", "h1")
+    members = cut(signed.select("key", "t", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "t", "h1", "h2", "rep", "cid"), "members")
     # Copies are few, or many of few texts: leaving them out shuffles no signature while their keys fit a broadcast.
     copies = small(cut(members.filter("key <> rep").select("key", "h1", "h2"), "copies"), 1_000_000)
-    reps = signed.join(copies, ["key", "h1", "h2"], "left_anti")
-    # A text goes by 64 bits of its class from here on; the comparison tells apart those that share them.
+    reps = named(signed.join(copies, ["key", "h1", "h2"], "left_anti"), shared, "key", "h1").select(F.col("cid").alias("key"), "bands", "sketch")
     texts = df.select(F.col(key).cast("bigint").alias("row"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).filter("row is not null and text is not null")
-    pairs = cut(candidates(reps.select(F.col("h1").alias("key"), "bands", "sketch"), lambda some: _texts_of(texts, members, some), kind), "pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    picked = _texts_of(texts, members, wanted)
-    joined = pairs.join(picked.select(F.col("key").alias("a"), F.col("h2").alias("a2"), F.col("text").alias("ta")), "a").join(picked.select(F.col("key").alias("b"), F.col("h2").alias("b2"), F.col("text").alias("tb")), "b")
-    links = joined.select("a", "a2", "b", "b2", "ta", "tb").mapInPandas(_compare(kind), "a bigint, a2 bigint, b bigint, b2 bigint, similarity double")
-    return members, cut(links, "links")
+    pairs = cut(candidates(reps, lambda some: _texts_of(texts, members, some), kind), "pairs")
+    picked = _texts_of(texts, members, pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    joined = pairs.join(picked.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(picked.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    links = joined.select("a", "b", "ta", "tb").mapInPandas(_compare(kind), "a bigint, b bigint, similarity double")
+    return members.drop("h1", "h2"), cut(links, "links")
 
 
 def _texts_of(texts: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, h2, text`` of one row of each class whose first half is in ``wanted (key)``."""
-    firsts = members.filter("key = rep").groupBy("h1", "h2").agg(F.min(F.struct("key", "t")).alias("first"))
-    rows = firsts.select(F.col("h1").alias("key"), "h2", F.col("first.key").alias("row"), F.col("first.t").alias("t"))
-    rows = cut(rows.join(wanted.distinct(), "key", "left_semi"), "rows")
-    return texts.join(small(rows, 1_000_000), ["row", "t"]).select("key", "h2", "text").dropDuplicates(["key", "h2"])
+    """``key, text`` of one row of each class in ``wanted (key)``."""
+    firsts = members.filter("key = rep").groupBy("cid", "rep").agg(F.min("t").alias("t")).select(F.col("cid").alias("key"), F.col("rep").alias("row"), "t")
+    rows = cut(firsts.join(wanted.distinct(), "key", "left_semi"), "rows")
+    # A row that is written twice gives its text twice.
+    return texts.join(small(rows, 1_000_000), ["row", "t"]).select("key", "text").dropDuplicates(["key"])
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair of rows ``id_a < id_b``, copies included, from classes and links between them."""
-    ends = members.select("key", "h1", "h2")
-    own = ends.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("h1").alias("b"), F.col("h2").alias("b2")).distinct()
-    both = links.select("a", "a2", "b", "b2").unionByName(own)
-    left = both.join(ends.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("key").alias("x")), ["a", "a2"])
-    pairs = left.join(ends.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("key").alias("y")), ["b", "b2"])
+    both = links.select("a", "b").unionByName(members.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct())
+    left = both.join(members.select(F.col("cid").alias("a"), F.col("key").alias("x")), "a")
+    pairs = left.join(members.select(F.col("cid").alias("b"), F.col("key").alias("y")), "b").filter("a <> b or x < y")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """``key, rep, links``: each row's class of copies and the number of other classes it is linked to."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2")))).alias("e"))
-    counts = ends.groupBy("e.h1", "e.h2").agg(F.count(F.lit(1)).alias("links"))
-    return members.join(counts, ["h1", "h2"], "left").select("key", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+    counts = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(counts, "cid", "left").select("key", "rep", F.coalesce("links", F.lit(0)).alias("links"))
