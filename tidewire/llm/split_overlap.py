@@ -1,9 +1,9 @@
 """Evaluation records that appear in the training split, exactly or almost (problem 2).
 
 Passages of the evaluation records, normalised to words, go into Aho-Corasick
-automata. The automata are sharded by a bound on their passages, and every
-training text is scanned with every shard: blocks of texts travel with the
-passages of one shard through a shuffle, so that no task needs another store. Passages are the three-word
+automata. The automata are sharded by a bound on their passages, and all
+training texts are scanned: blocks of texts, or of the pieces of them that a
+shard may match, travel with the passages of the shard through a shuffle. Passages are the three-word
 sequences that similarity is defined on, and of each record only its rarest
 ones: a pair of similarity ``s`` shares at least ``s * n`` of a record's ``n``
 sequences, hence at least ``c`` of any ``n - ceil(s * n) + c``. Pairs with
@@ -14,7 +14,9 @@ Matched intervals are merged into the coverage of each evaluation record.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import site_of
-from tidewire.llm.near_duplicates import words_of
+from tidewire.llm.near_duplicates import _PLACES, _Hashes, class_names, named, words_of
 from tidewire.runtime import cut, small
 
-#: Passages of one automaton; about 150 MB.
+#: Passages of one automaton, counted for each record; about 150 MB.
 SHARD = 250_000
 #: Characters of training text scanned with one copy of an automaton.
-BLOCK = 24_000_000
+BLOCK = 48_000_000
 #: Matches that a pair must have beyond the first.
 EXTRA = 8
 N = 3
@@ -42,45 +44,53 @@ def passages_of(text: str) -> list[str]:
     return [f" {' '.join(words[i : i + N])} " for i in range(len(words) - N + 1)]
 
 
-def _hash(passage: str) -> int:
-    return xxhash.xxh64_intdigest(passage) - (1 << 63)
+def _hashed(words: list[str], known: _Hashes) -> np.ndarray:
+    """64-bit hashes of the three-word sequences at each position."""
+    if len(words) < N:
+        return np.empty(0, np.int64)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out = h[: len(h) - N + 1] * _PLACES[0]
+    for i in range(1, N):
+        out += h[i : len(h) - N + 1 + i] * _PLACES[i]
+    return out.view(np.int64)
 
 
 def _count_train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = _Hashes()
     for batch in batches:
         for at in range(0, len(batch), 2000):
-            each = [np.unique(np.fromiter(map(_hash, passages_of(t)), np.int64)) for t in batch["text"].iloc[at : at + 2000]]
+            each = [np.unique(_hashed(words_of(t), known)) for t in batch["text"].iloc[at : at + 2000]]
             if each:
                 h, n = np.unique(np.concatenate(each), return_counts=True)
                 yield pd.DataFrame({"h": h, "n": n.astype(np.int64)})
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = _Hashes()
     for batch in batches:
         for at in range(0, len(batch), 2000):
-            keys, grams, sizes = [], [], []
-            for key, text in zip(batch["key"].iloc[at : at + 2000], batch["text"].iloc[at : at + 2000], strict=True):
-                h = np.fromiter(map(_hash, set(passages_of(text))), np.int64)
-                keys.append(np.full(len(h), key)), grams.append(h), sizes.append(np.full(len(h), len(h)))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(grams), "size": np.concatenate(sizes)})
+            part = batch.iloc[at : at + 2000]
+            grams = [np.unique(_hashed(words_of(t), known)) for t in part["text"]]
+            if grams:
+                sizes = np.array([len(g) for g in grams])
+                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), sizes), "h": np.concatenate(grams), "size": np.repeat(sizes, sizes)})
 
 
 def _select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passages of each record whose hash was chosen, with their first position."""
+    """Passages of each record whose hash was chosen."""
+    known = _Hashes()
     for batch in batches:
         rows = []
         for key, text, least, chosen in zip(batch["key"], batch["text"], batch["least"], batch["chosen"], strict=True):
-            wanted, seen = set(chosen), set()
-            for at, p in enumerate(passages_of(text)):
-                if p not in seen and _hash(p) in wanted:
-                    seen.add(p)
-                    rows.append((key, least, at, p))
-        yield pd.DataFrame(rows, columns=["key", "least", "at", "passage"])
+            words = words_of(text)
+            h = _hashed(words, known)
+            at = np.flatnonzero(np.isin(h, np.asarray(chosen)))
+            rows += [(key, least, f" {' '.join(words[i : i + N])} ") for i in at[np.unique(h[at], return_index=True)[1]]]
+        yield pd.DataFrame(rows, columns=["key", "least", "passage"])
 
 
 def eval_passages(train: DataFrame, evaluation: DataFrame, similarity: float) -> DataFrame:
-    """``key, at, passage, pid, least``: the rarest passages of each evaluation record that training texts hold."""
+    """``key, passage, least``: the rarest passages of each evaluation record that training texts hold."""
     known = train.select("text").mapInPandas(_count_train, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("df"))
     grams = evaluation.select("key", "text").mapInPandas(_grams, "key bigint, h bigint, size int")
     present = grams.join(known, "h").groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
@@ -91,47 +101,117 @@ def eval_passages(train: DataFrame, evaluation: DataFrame, similarity: float) ->
     picked = present.withColumn("take", take).withColumn("least", (absent + F.col("take") - spare).cast("int")).filter("least > 0 and take > 0")
     chosen = picked.select("key", "least", F.transform(F.slice("found", 1, F.col("take")), lambda x: x["h"]).alias("chosen"))
     rows = evaluation.select("key", "text").join(chosen, "key").select("key", "text", "least", "chosen")
-    return rows.mapInPandas(_select, "key bigint, least int, at int, passage string").withColumn("pid", F.xxhash64("passage"))
+    return rows.mapInPandas(_select, "key bigint, least int, passage string")
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads the passages of a shard, then a block of texts, which it scans with the shard's automaton."""
-    place, machine, pids = None, None, []
+def _shard_of(word: str, shards: int) -> int:
+    return xxhash.xxh32_intdigest(word) % shards
+
+
+def _route(shards: int):
+    """Pieces of texts for each shard: the passages that begin with one of its words, neighbours joined."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                words, pieces = words_of(text), {}
+                for i in range(len(words) - N + 1):
+                    if (shard := known.get(words[i])) is None:
+                        if len(known) > 1_000_000:
+                            known.clear()
+                        shard = known[words[i]] = _shard_of(words[i], shards)
+                    own = pieces.setdefault(shard, [])
+                    if own and i <= own[-1][1]:
+                        own[-1][1] = i + N
+                    else:
+                        own.append([i, i + N])
+                rows += [(shard, key, "|".join(f" {' '.join(words[a:b])} " for a, b in own)) for shard, own in pieces.items()]
+            yield pd.DataFrame(rows, columns=["shard", "key", "text"])
+
+    return run
+
+
+def _scan(shards: int):
+    """Reads the passages of a shard, then a block of texts or pieces, which it scans with the shard's automaton.
+
+    A text that holds ``least`` passages of a record holds its share of them in
+    at least one shard; fewer matches than that never leave the task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _scanned(batches, shards)
+
+    return run
+
+
+def _scanned(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+    place, machine, owners, share = None, None, [], {}
     for batch in batches:
-        keys, found = [], []
-        for shard, block, turn, key, text in zip(*(batch[c].tolist() for c in ("shard", "block", "turn", "key", "text")), strict=True):
+        trains, records, counts, needed = [], [], [], []
+        for shard, block, turn, key, text, least in zip(*(batch[c].tolist() for c in ("shard", "block", "turn", "key", "text", "least")), strict=True):
             if (shard, block) != place:
-                place, machine, pids = (shard, block), ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+                place, machine, owners, share, ready = (shard, block), ahocorasick.Automaton(ahocorasick.STORE_INTS), [], {}, False
             if turn == 0:
-                machine.add_word(text, len(pids))
-                pids.append(key)
+                share[key] = (-(-least // shards), least)
+                if (at := machine.get(text, -1)) < 0:
+                    machine.add_word(text, len(owners))
+                    owners.append([key])
+                else:
+                    owners[at].append(key)
                 continue
-            if isinstance(pids, list):
-                pids = np.array(pids, np.int64)
+            if not ready:
                 machine.make_automaton()
-            if len(pids) and (hits := {i for _, i in machine.iter(f" {' '.join(words_of(text))} ")}):
-                found.append(pids[np.fromiter(hits, np.int64)])
-                keys.append(np.full(len(hits), key, np.int64))
-        if found:
-            yield pd.DataFrame({"train": np.concatenate(keys), "pid": np.concatenate(found)})
+                ready = True
+            if not owners:
+                continue
+            hits = {i for _, i in machine.iter(text if turn == 2 else f" {' '.join(words_of(text))} ")}
+            if hits:
+                for record, n in Counter(chain.from_iterable(map(owners.__getitem__, hits))).items():
+                    enough, all_of = share[record]
+                    if n >= enough:
+                        trains.append(key), records.append(record), counts.append(n), needed.append(all_of)
+        if trains:
+            yield pd.DataFrame({"train": trains, "key": records, "n": counts, "least": needed})
 
 
 def matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """``train, pid`` of every passage ``(pid, passage)`` in every text ``(key, text)``."""
+    """``train, key``: which texts ``(key, text)`` may hold ``least`` of the passages ``(key, passage, least)`` of which records.
+
+    Passages are sharded by their first word. Where there are several shards, a
+    shard receives the pieces of texts that begin with its words: each position
+    of a text goes to one shard, so that the work grows with the texts and not
+    with their product with the shards. No pair is missing; where a record
+    needs more passages than there are shards, some pairs too many come out.
+    """
     shards = max(1, math.ceil(passages.count() / SHARD))
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    first = passages.select(F.pmod("pid", F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), F.lit(0).alias("turn"), F.col("pid").alias("key"), F.col("passage").alias("text"))
-    then = texts.select(each(shards).alias("shard"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("turn"), "key", "text")
-    return first.unionByName(then).repartition("shard", "block").sortWithinPartitions("shard", "block", "turn").mapInPandas(_scan, "train bigint, pid bigint")
+    size = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) * (1 if shards == 1 else N)
+    blocks = max(1, math.ceil(size / shards / BLOCK))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
+    if shards == 1:
+        first = passages.select(F.lit(0).alias("shard"), "key", "passage", "least")
+        then = texts.select(F.lit(0).alias("shard"), block, F.lit(1).alias("turn"), "key", "text", F.lit(0).alias("least"))
+    else:
+
+        @F.pandas_udf("int")
+        def shard(passage: pd.Series) -> pd.Series:
+            return passage.map(lambda p: _shard_of(p.split(" ", 2)[1], shards))
+
+        first = passages.select(shard("passage").alias("shard"), "key", "passage", "least")
+        then = texts.mapInPandas(_route(shards), "shard int, key bigint, text string").select("shard", block, F.lit(2).alias("turn"), "key", "text", F.lit(0).alias("least"))
+    first = first.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("turn"), "key", F.col("passage").alias("text"), "least")
+    found = first.unionByName(then).repartition("shard", "block").sortWithinPartitions("shard", "block", "turn").mapInPandas(_scan(shards), "train bigint, key bigint, n int, least int")
+    # A shard that kept a pair to itself has less than its share of matches.
+    most = F.sum("n") + (shards - F.count(F.lit(1))) * (F.ceil(F.max("least") / shards) - 1)
+    return found.groupBy("train", "key").agg(most.alias("most"), F.max("least").alias("least")).filter("most >= least").select("train", "key")
 
 
 def _compare(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for train, train2, key, key2, x, y in zip(*(batch[c] for c in ("train", "train2", "key", "key2", "tx", "ty")), strict=True):
+            for train, key, x, y in zip(batch["train"], batch["key"], batch["tx"], batch["ty"], strict=True):
                 a, order = set(passages_of(x)), passages_of(y)
                 b = set(order)
                 both = len(a & b)
@@ -144,8 +224,8 @@ def _compare(similarity: float):
                                 intervals[-1][1] = at + N
                             else:
                                 intervals.append([at, at + N])
-                    rows.append((train, train2, key, key2, alike, intervals))
-            yield pd.DataFrame(rows, columns=["train", "train2", "key", "key2", "similarity", "intervals"])
+                    rows.append((train, key, alike, intervals))
+            yield pd.DataFrame(rows, columns=["train", "key", "similarity", "intervals"])
 
     return run
 
@@ -153,58 +233,53 @@ def _compare(similarity: float):
 def overlaps(df: DataFrame, key: str = "aligned_id", text: str = "body_clean", split: str = "split", train: str = "train", similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """``(classes, links)`` of cross-split overlaps.
 
-    ``classes (key, split, is_train, t1, t2)`` has every row with the two hashes
-    that name its text. ``links (train, train2, key, key2, similarity,
-    intervals)`` has every pair of a training text ``(train, train2)`` and an
-    evaluation text ``(key, key2)`` of at least ``similarity``, with the merged
-    word intervals of the evaluation text that match. Rows with a null key,
-    text or split, and texts of fewer than three words, overlap with nothing. A
-    key may occur with several texts; each is a row of its own. Other columns
-    are ignored.
+    ``classes (key, split, is_train, cid)`` has every row with the class of its
+    text on its side. ``links (train, key, similarity, intervals)`` has every
+    pair of a training and an evaluation class of at least ``similarity``, with
+    the merged word intervals of the evaluation text that match. Rows with a
+    null key, text or split, and texts of fewer than three words, overlap with
+    nothing. A key may occur with several texts; each is a row of its own.
+    Other columns are ignored.
     """
-    named = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(split).alias("split")).filter("id is not null and text is not null and split is not null")
-    rows = named.withColumn("is_train", F.col("split") == train).withColumn("t1", F.xxhash64("text"))
-    t2 = F.hash(F.lit(1), "text").alias("t2")
-    classes = cut(rows.select(F.col("id").alias("key"), "split", "is_train", "t1", t2), "classes")
+    named_rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(split).alias("split")).filter("id is not null and text is not null and split is not null")
+    rows = named_rows.withColumn("is_train", F.col("split") == train).withColumn("t1", F.xxhash64("text"))
+    keyed = cut(rows.select(F.col("id").alias("key"), "split", "is_train", "t1", F.hash(F.lit(1), "text").alias("t2")), "keyed")
+    # A training and an evaluation class may share a number; nothing confuses the sides.
+    firsts, shared = class_names(keyed.groupBy("t1", "t2", "is_train").agg(F.min("key").alias("rep")), "rep", "t1")
+    classes = cut(keyed.join(firsts, ["t1", "t2", "is_train"]).select("key", "split", "is_train", "t1", "rep", "cid"), "classes")
     # One row of each text; no text is shuffled while the rows of the copies fit a broadcast.
-    firsts = classes.groupBy("t1", "t2", "is_train").agg(F.min("key").alias("id"))
-    copies = small(cut(classes.withColumnRenamed("key", "id").join(firsts, ["t1", "t2", "is_train", "id"], "left_anti").select("id", "t1", "is_train").distinct(), "copies"), 1_000_000)
-    only = rows.join(copies, ["id", "t1", "is_train"], "left_anti")
-    side = lambda flag: only.filter(F.col("is_train") == flag).select(F.col("t1").alias("key"), "text")
+    copies = small(cut(classes.filter("key <> rep").select(F.col("key").alias("id"), "t1", "is_train").distinct(), "copies"), 1_000_000)
+    only = named(rows.join(copies, ["id", "t1", "is_train"], "left_anti"), shared, "id", "t1").select(F.col("cid").alias("key"), "is_train", "text")
+    side = lambda flag: only.filter(F.col("is_train") == flag).select("key", "text")
     passages = cut(eval_passages(side(True), side(False), similarity), "passages")
-    hits = matches(side(True), passages.select("pid", "passage").distinct())
-    pairs = hits.join(passages.select("pid", "key", "least"), "pid").groupBy("train", "key").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least")
-    pairs = cut(pairs.select("train", "key"), "overlap")
-    wanted = cut(pairs.select(F.explode(F.array("train", "key")).alias("t1")).distinct(), "wanted")
-    texts = only.select("t1", t2, "is_train", "text").join(small(wanted, 1_000_000), "t1", "left_semi").dropDuplicates(["t1", "t2", "is_train"])
-    left = texts.filter("is_train").select(F.col("t1").alias("train"), F.col("t2").alias("train2"), F.col("text").alias("tx"))
-    right = texts.filter("not is_train").select(F.col("t1").alias("key"), F.col("t2").alias("key2"), F.col("text").alias("ty"))
-    joined = pairs.join(left, "train").join(right, "key").select("train", "train2", "key", "key2", "tx", "ty")
-    links = joined.mapInPandas(_compare(similarity), "train bigint, train2 int, key bigint, key2 int, similarity double, intervals array<array<int>>")
-    return classes, cut(links, "links")
+    pairs = cut(matches(side(True), passages), "overlap")
+    wanted = cut(pairs.select(F.explode(F.array("train", "key")).alias("key")).distinct(), "wanted")
+    texts = only.join(small(wanted, 1_000_000), "key", "left_semi").dropDuplicates(["key", "is_train"])
+    joined = pairs.join(texts.filter("is_train").select(F.col("key").alias("train"), F.col("text").alias("tx")), "train").join(texts.filter("not is_train").select("key", F.col("text").alias("ty")), "key")
+    links = joined.select("train", "key", "tx", "ty").mapInPandas(_compare(similarity), "train bigint, key bigint, similarity double, intervals array<array<int>>")
+    return classes.select("key", "split", "is_train", "cid"), cut(links, "links")
 
 
 def pairs_of_rows(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``id_a, id_b`` of every overlapping pair of rows, smaller key first."""
-    of = lambda flag, a, b, name: classes.filter(F.col("is_train") == flag).select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("key").alias(name))
-    left = links.select("train", "train2", F.col("key").alias("record"), F.col("key2").alias("record2")).join(of(True, "train", "train2", "x"), ["train", "train2"])
-    both = left.join(of(False, "record", "record2", "y"), ["record", "record2"])
+    of = lambda flag, cid, name: classes.filter(F.col("is_train") == flag).select(F.col("cid").alias(cid), F.col("key").alias(name))
+    both = links.select("train", F.col("key").alias("record")).join(of(True, "train", "x"), "train").join(of(False, "record", "y"), "record")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def covered_words(links: DataFrame) -> DataFrame:
-    """``key, key2, covered``: words of each evaluation text within the union of its matched intervals."""
+    """``key, covered``: words of each evaluation class within the union of its matched intervals."""
     # Distinct intervals are bounded by the record's own length, however many training texts match.
-    spans = links.select("key", "key2", F.explode("intervals").alias("i")).select("key", "key2", F.col("i")[0].alias("s"), F.col("i")[1].alias("e")).distinct()
-    before = Window.partitionBy("key", "key2").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    spans = links.select("key", F.explode("intervals").alias("i")).select("key", F.col("i")[0].alias("s"), F.col("i")[1].alias("e")).distinct()
+    before = Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("e").over(before), F.lit(0))
-    return spans.withColumn("new", F.greatest(F.col("e") - F.greatest("s", reach), F.lit(0))).groupBy("key", "key2").agg(F.sum("new").cast("bigint").alias("covered"))
+    return spans.withColumn("new", F.greatest(F.col("e") - F.greatest("s", reach), F.lit(0))).groupBy("key").agg(F.sum("new").cast("bigint").alias("covered"))
 
 
 def report(df: DataFrame, classes: DataFrame, links: DataFrame, key: str = "aligned_id", url: str = "url") -> DataFrame:
     """Per evaluation split and site: overlapping rows, pairs and words covered; a key with several urls counts for its first site."""
     sites = df.select(F.col(key).cast("bigint").alias("key"), site_of(F.col(url)).alias("site")).filter("key is not null").groupBy("key").agg(F.min("site").alias("site"))
-    copies = classes.filter("is_train").groupBy(F.col("t1").alias("train"), F.col("t2").alias("train2")).agg(F.count(F.lit(1)).alias("copies"))
-    per = links.join(copies, ["train", "train2"]).groupBy("key", "key2").agg(F.sum("copies").alias("pairs")).join(covered_words(links), ["key", "key2"])
-    rows = classes.filter("not is_train").join(sites, "key", "left").join(per.select(F.col("key").alias("t1"), F.col("key2").alias("t2"), "pairs", "covered"), ["t1", "t2"])
+    copies = classes.filter("is_train").groupBy(F.col("cid").alias("train")).agg(F.count(F.lit(1)).alias("copies"))
+    per = links.join(copies, "train").groupBy("key").agg(F.sum("copies").alias("pairs")).join(covered_words(links), "key")
+    rows = classes.filter("not is_train").join(sites, "key", "left").join(per.withColumnRenamed("key", "cid"), "cid")
     return rows.groupBy("split", "site").agg(F.count(F.lit(1)).alias("rows"), F.sum("pairs").alias("pairs"), F.sum("covered").alias("covered_words"))
