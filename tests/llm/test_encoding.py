@@ -43,3 +43,21 @@ def test_texts(spark):
     assert got == {(1, "and “quotes”", False), (5, (long + "ü")[-12:], False), (6, " � café"[-12:] if len(" � café") > 12 else "lost � café"[-12:], True), (2, "Cão", False)}
     assert sorted(r[0] for r in encoding.garbled_keys(df).collect()) == [1, 2, 5, 6]
     assert encoding.garbled_keys(df.limit(0)).count() == 0
+
+
+def test_scripts_beyond_europe():
+    for text in ("日本銀行", "भारत", "العربية", "한국은행", "עברית", "ประเทศ"):
+        for encoding_name in ("cp1252", "mac_roman", "cp1251", "latin-1"):
+            table = {v: k for k, v in encoding._bytes_of(encoding_name).items()}
+            garbled = "".join(table[b] for b in text.encode())
+            assert encoding.judge(garbled) == (text, True), (text, encoding_name)
+        assert encoding.judge(text) == (text, False)
+    for word in ("уже", "раб", "сбер", "těžší", "’é", "東京", "は"):
+        assert encoding.judge(word) == (word, False)
+
+
+def test_many_layers():
+    garbled = "é"
+    for _ in range(9):
+        garbled = garbled.encode().decode("latin-1")
+    assert encoding.judge(garbled) == ("é", True)

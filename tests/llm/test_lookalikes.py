@@ -42,3 +42,11 @@ def test_keys_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", "", ""), (1, "a b", "", ""), (2, "ab", "", "")], SCHEMA)
     assert [r[0] for r in lookalikes.keys_with_kinds(df, "id", "body").collect()] == [1]
     assert lookalikes.keys_with_kinds(df.limit(0), "id", "body").count() == 0
+
+
+def test_typefaces_and_more_letters(spark):
+    rows = [(1, "\U0001d407\U0001d41e\U0001d425\U0001d425\U0001d428"), (2, "ℌello"), (3, "Ꭺpple"), (4, "Ⲟpen"), (5, "b\u03ccnd"), (6, "plain")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {r["key"]: r["text"] for r in lookalikes.one_form(df, "id", "text").collect()}
+    assert got == {1: "Hello", 2: "Hello", 3: "Apple", 4: "Open", 5: "b\u00f3nd"}
+    assert {r["key"] for r in lookalikes.keys_with_kinds(df, "id", "text").collect()} == {3, 4, 5}

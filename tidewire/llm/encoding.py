@@ -24,7 +24,6 @@ CANDIDATES = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "cp1
 RUN = r"[^\x00-\x7F]+"
 _PIECES = r"[^\x00-\x7F]+|[\x00-\x7F]+"
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_LAYERS = 6
 #: What is left of a garbled sequence after one of its characters got lost.
 _REMAINS = re.compile("\ufffd|\u00e2\u20ac|\u00ef\u00bf\u00bd|\u00ef\u00bb\u00bf|[\u00c2\u00c3](?=[\u00a0-\u00bf\u2010-\u203f\u20ac\u2122])")
 
@@ -41,13 +40,22 @@ def _bytes_of(encoding: str) -> dict[str, int]:
     return table
 
 
+# Where the letters of widely written scripts beyond Europe stand, from Hebrew to Georgian, and of East Asia.
+_BEYOND = ((0x0531, 0x0590), (0x05BE, 0x05F5), (0x0600, 0x0700), (0x0900, 0x0E80), (0x1000, 0x1100), (0x3000, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFF00, 0xFFEF))
+
+
+def _beyond(char: str) -> bool:
+    """A letter or sign of a script written beyond Europe."""
+    return any(a <= ord(char) < b for a, b in _BEYOND) and unicodedata.category(char)[0] in "LMNP"
+
+
 def _plausible(char: str) -> bool:
-    """A character that news text in a European language may hold."""
+    """A character that news text may hold."""
     code = ord(char)
-    if code < 0x80:
-        return False
-    if 0x80 <= code < 0xA0:
+    if code < 0xA0:
         return False
+    if _beyond(char):
+        return True
     return code < 0x180 or 0x218 <= code < 0x21C or 0x386 <= code < 0x3CF or 0x400 <= code < 0x460 or 0x490 <= code < 0x492 or 0x2009 <= code < 0x203F or 0x20A0 <= code < 0x20C0 or 0x2100 <= code < 0x2300 or 0x25A0 <= code < 0x2800 or code >= 0x1F000
 
 
@@ -98,20 +106,23 @@ def _in_parts(run: str, encoding: str) -> str | None:
 
 def repair(run: str) -> str:
     """The run with every layer of wrong decoding undone; the run itself if none can be."""
-    for _ in range(_LAYERS):
+    # The cost falls with every layer, so there is a last one.
+    while True:
         best = run
         for how in (_whole, _in_parts):
             for encoding in CANDIDATES:
                 fixed = how(run, encoding)
                 # An inner layer may hold controls; the last one may not.
-                if fixed is not None and cost(fixed) < cost(best) and (how is _in_parts or all(_plausible(c) or c in _bytes_of("cp1252") for c in fixed)):
+                if fixed is None or (n := sum(map(_beyond, fixed))) == 1 or n and run.isalpha():
+                    # One letter may be chance, and a word of letters alone is no other script.
+                    continue
+                if cost(fixed) < cost(best) and (how is _in_parts or all(_plausible(c) or c in _bytes_of("cp1252") or c in _bytes_of("latin-1") for c in fixed)):
                     best = fixed
             if best != run:
                 break
         if best == run:
             return run
         run = best
-    return run
 
 
 def judge(run: str) -> tuple[str, bool]:

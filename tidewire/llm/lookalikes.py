@@ -20,20 +20,24 @@ from tidewire.runtime import cut
 
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J",
-    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "μ": "u", "ε": "e", "τ": "t",
-    "Օ": "O", "օ": "o", "ս": "u", "հ": "h", "ո": "n",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
+    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ү": "y", "ѵ": "v", "ԍ": "G",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C",
+    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "μ": "u", "ε": "e", "τ": "t", "η": "n", "σ": "o", "ϲ": "c", "ϳ": "j",
+    "Օ": "O", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "Լ": "L", "Տ": "S", "ց": "g", "զ": "q", "յ": "j",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲥ": "C", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
 }
 
 #: Characters whose tokens are looked at; every other character is already in its one form.
-UNUSUAL = r"[\p{M}\p{Cf}\x{2000}-\x{200A}\x{00A0}\x{1680}\x{202F}\x{205F}\x{3000}\x{3001}-\x{303F}\x{FF00}-\x{FFEF}\x{FB00}-\x{FB4F}\x{FE00}-\x{FE0F}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}]|[\p{L}&&[^\p{IsLatin}]]"
+UNUSUAL = r"[\p{M}\p{Cf}\x{2000}-\x{200A}\x{00A0}\x{1680}\x{202F}\x{205F}\x{3000}\x{3001}-\x{303F}\x{FF00}-\x{FFEF}\x{FB00}-\x{FB4F}\x{FE00}-\x{FE0F}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}]|[\x{1D400}-\x{1D7FF}\x{2100}-\x{214F}]|[\p{L}&&[^\p{IsLatin}]]"
 #: Tried at the begin of a token only, and without going back, so that long tokens take linear time.
 _TOKEN = r"(?<![^ \t\n\r])[^ \t\n\r\x{80}-\x{10FFFF}]*+[^\x00-\x7F][^ \t\n\r]*"
 _PIECES = r"[^ \t\n\r]+|[ \t\n\r]+"
 _WORD_CHAR = r"^[\p{L}\p{M}\p{Cf}]$"
 KINDS = ("wide", "ligature", "mark", "invisible", "blank", "foreign")
+#: Letters in another typeface, as mathematics has them; brought to the one form, but no sign of disguise.
+FONT = "font"
 
 
 @cache
@@ -53,6 +57,8 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
             kind, out = "blank", " "
         elif tag in ("<wide>", "<narrow>"):
             kind, out = "wide", unicodedata.normalize("NFKD", ch)
+        elif tag == "<font>" and category[0] in "LN":
+            kind, out = FONT, unicodedata.normalize("NFKD", ch)
         elif 0xFB00 <= code < 0xFB50:
             kind, out = "ligature", unicodedata.normalize("NFKD", ch)
         elif category[0] == "M":
@@ -70,7 +76,9 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
 
 def _frames(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts, classes, pairs = _tables()
-    looks = {c: (o, k, LOOKALIKES.get(c)) for c, o, k in parts} | {c: (c, None, x) for c, x in LOOKALIKES.items() if c not in {p[0] for p in parts}}
+    # A look-alike with an accent is one of its base with the accent.
+    latin = {c: LOOKALIKES[o[0]] + o[1:] for c, o, k in parts if o and o[0] in LOOKALIKES} | LOOKALIKES
+    looks = {c: (o, k, latin.get(c)) for c, o, k in parts} | {c: (c, None, x) for c, x in LOOKALIKES.items() if c not in {p[0] for p in parts}}
     return (
         spark.createDataFrame([(c, *v) for c, v in looks.items()], "ch string, parts string, kind string, latin string"),
         spark.createDataFrame(classes, "ch string, ccc int"),
@@ -145,8 +153,8 @@ def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Canonical composition, ordinary width, ligatures in letters, ordinary
     blanks, no invisible characters, and Latin letters in place of look-alikes
-    in words that have Latin letters. ``kinds`` names what was found, of
-    :data:`KINDS`; it is empty where only equal canonical forms differ. A null
+    in words that have Latin letters. ``kinds`` names what was found,
+    of :data:`KINDS` or :data:`FONT`; it is empty where only equal canonical forms differ. A null
     or empty text is in the one form. Other columns are ignored, and a key that
     occurs twice is treated row by row, its kinds united.
     """
@@ -167,5 +175,5 @@ def keys_with_kinds(df: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct keys of the rows in which :func:`one_form` finds at least one of :data:`KINDS`."""
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(UNUSUAL))
     tokens = cut(_unusual_tokens(texts), "tokens")
-    forms = cut(token_forms(tokens.select("token").distinct()), "forms").filter(F.size("kinds") > 0)
+    forms = cut(token_forms(tokens.select("token").distinct()), "forms").filter(F.size(F.array_except("kinds", F.array(F.lit(FONT)))) > 0)
     return tokens.join(forms.select("name"), "name", "left_semi").select("key").distinct()

@@ -189,7 +189,11 @@ def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     return each.withColumn("tokens", F.least(F.col("tokens") - (F.col("piece_no") - 1) * F.col("capacity_tokens"), F.col("capacity_tokens").cast("bigint")))
 
 
-def pack(sizes: DataFrame, specs: DataFrame, salts: int = 64) -> DataFrame:
+#: Items of one length that are numbered together.
+RANKED = 50_000
+
+
+def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """Assign every text of ``sizes (key, tokens)`` to containers of each row of ``specs (spec_name, capacity_tokens)``.
 
     Returns ``spec_name, key, piece_no, tokens, container_id``. Containers are
@@ -198,9 +202,11 @@ def pack(sizes: DataFrame, specs: DataFrame, salts: int = 64) -> DataFrame:
     """
     spark = sizes.sparkSession
     cuts = pieces(sizes, specs)
-    # Two-level ranks: a length that a third of all texts share is numbered in parts.
-    part = F.pmod(F.xxhash64("key", "piece_no"), F.lit(salts)).cast("int")
-    salted = cuts.withColumn("part", part)
+    # Two-level ranks: a length that a third of all texts share is numbered in as many parts as it needs.
+    lengths = cut(cuts.groupBy("spec_name", "tokens").agg(F.ceil(F.count(F.lit(1)) / RANKED).cast("int").alias("parts")), "parts")
+    # At most as many rows as the capacities have tokens.
+    sized = cuts.join(F.broadcast(lengths), ["spec_name", "tokens"])
+    salted = sized.withColumn("part", F.pmod(F.xxhash64("key", "piece_no"), F.col("parts")).cast("int")).drop("parts")
     counts = cut(salted.filter("tokens > 0").groupBy("spec_name", "capacity_tokens", "tokens", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     before = Window.partitionBy("spec_name", "tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("spec_name", "tokens", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

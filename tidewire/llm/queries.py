@@ -114,7 +114,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("key", "doc_id")
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("key", "doc_id").drop("members")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,5 +151,35 @@ often AS (SELECT site, k FROM keyed WHERE k <> '' GROUP BY site, k HAVING count(
 _P3 = _LINES + "SELECT article_id, line_no FROM keyed JOIN often USING (site, k)"
 
 
+_SETS = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+
+
+def _alike(rows: str, least: float, match: str) -> str:
+    """Pairs ``a, b`` of ``rows (id, side, s)`` whose sets ``s`` share at least ``least`` of all their elements."""
+    return f"""r AS ({rows}), e AS (SELECT id, side, len(s) AS n, unnest(s) AS g FROM r),
+c AS (SELECT a.id AS a, b.id AS b, a.n AS m, b.n AS n, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND {match} GROUP BY 1, 2, 3, 4),
+p AS (SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM c WHERE k >= {least}::DOUBLE * (m + n - k))"""
+
+
+_P2 = f"""WITH {_alike(f"SELECT id, side, {_SETS} AS s FROM (SELECT DISTINCT aligned_id AS id, split = 'train' AS side, regexp_extract_all(lower(body_clean), '[a-z0-9]+', 0) AS w FROM articles_aligned WHERE body_clean IS NOT NULL AND split IS NOT NULL) WHERE len(w) >= 3", 0.6, "a.side AND NOT b.side")}
+SELECT id_a, id_b FROM p"""
+_BODY_SETS = f"SELECT id, true AS side, {_SETS} AS s FROM (SELECT article_id AS id, regexp_extract_all(lower(body), '[a-z0-9]+', 0) AS w FROM scrape_article WHERE body IS NOT NULL) WHERE len(w) >= 60"
+_TITLE_SETS = "SELECT id, true AS side, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, CAST(i AS INT), 3))) AS s FROM (SELECT disc_id AS id, trim(regexp_replace(lower(title_rss), '[^a-z0-9]+', ' ', 'g')) AS t FROM cnbc_discovered WHERE title_rss IS NOT NULL) WHERE length(t) >= 20"
+_P6 = f"""SELECT 'scrape_article' AS src, id_a, id_b FROM (WITH {_alike(_BODY_SETS, 0.6, "a.id < b.id")} SELECT * FROM p)
+UNION ALL SELECT 'cnbc_discovered', id_a, id_b FROM (WITH {_alike(_TITLE_SETS, 0.8, "a.id < b.id")} SELECT * FROM p)"""
+#: Letters in full width and ligatures, marks, invisible characters, and blanks other than the ordinary one.
+_ODD = r"[\p{M}\p{Cf}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{ff01}-\x{ffee}\x{fb00}-\x{fb4f}]"
+
+
+def _disguised(text: str) -> str:
+    words = f"regexp_extract_all({text}, '[\\p{{L}}\\p{{M}}\\p{{Cf}}]+', 0)"
+    mixed = f"list_filter({words}, lambda w: regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '[^\\P{{L}}\\p{{Latin}}\\p{{Common}}\\p{{Inherited}}]'))"
+    return f"(regexp_matches({text}, '{_ODD}') OR len({mixed}) > 0)"
+
+
+_P7 = f"""SELECT 'scrape_article' AS src, article_id AS row_id FROM scrape_article WHERE {_disguised('body')}
+UNION ALL SELECT 'cnbc_discovered', disc_id FROM cnbc_discovered WHERE {_disguised('title_rss')}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3}
+    return {"p2_found": _P2, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7}

@@ -9,6 +9,7 @@ row goes by how much of its title, of a line or of its body they cover.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,15 +65,14 @@ BINS = 1 << 16
 #: Order of the letter grams by kind: invented words of filler share endings rather than longer strings.
 ORDERS = {"notice": 4, "filler": 3, "placeholder": 4}
 #: Signs that placeholders are made of, and that prose hardly has.
-_MARKS = np.zeros(1 << 12, bool)
+_MARKS = np.zeros(sys.maxunicode + 1, bool)
 _MARKS[[ord(c) for c in set(PLACEHOLDERS) if not c.isalnum() and not c.isspace() and c not in ".?!\""]] = True
-_SHAPES = np.arange(1 << 12, dtype=np.uint32)
+_SHAPES = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+_SHAPES[0xC0:][np.fromiter((chr(c).isalpha() for c in range(0xC0, sys.maxunicode + 1)), bool, sys.maxunicode + 1 - 0xC0)] = 97
 for _lo, _hi, _to in ((48, 58, 57), (65, 91, 65), (97, 123, 97)):
     _SHAPES[_lo:_hi] = _to
-_LOWER = np.arange(1 << 12, dtype=np.uint32)
+_LOWER = np.arange(sys.maxunicode + 1, dtype=np.uint32)
 _LOWER[65:91] += 32
-for _c in range(0xC0, 1 << 12):
-    _SHAPES[_c] = 97 if chr(_c).isalpha() else _c
 
 
 _BLANKS = np.array([0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], np.uint32)
@@ -80,12 +80,12 @@ _INVISIBLE = np.array([0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *ra
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points, clipped; full-width signs and odd blanks as the ordinary ones, invisible characters left out."""
+    """Code points; full-width signs and odd blanks as the ordinary ones, invisible characters left out."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) and codes.max() >= 0xA0:
         codes = np.where((codes > 0xFF00) & (codes < 0xFF5F), codes - 0xFEE0, codes)
         codes = np.where(np.isin(codes, _BLANKS), 32, codes)[~np.isin(codes, _INVISIBLE)]
-    return np.minimum(codes, (1 << 12) - 1).astype(np.uint32)
+    return codes.astype(np.uint32)
 
 
 def _bins(codes: np.ndarray, order: int) -> np.ndarray:
@@ -173,7 +173,7 @@ class _Lines:
     covered: dict[str, np.ndarray]
 
 
-def _lines(texts: list[str], model: Model, limits: Limits, title: bool = False) -> _Lines:
+def _lines(texts: list[str], model: Model, limits: Limits, title: bool = False, kinds: tuple[str, ...] = tuple(SEEDS)) -> _Lines:
     joined = "\n\x00\n".join(texts) + "\n"
     bins, codes = grams(joined), _codes(joined)
     ends = np.flatnonzero(codes == 10)
@@ -183,8 +183,8 @@ def _lines(texts: list[str], model: Model, limits: Limits, title: bool = False)
     inner = (sizes > 0) & (codes[starts] != 0)
     out = _Lines(bins, starts[inner], sizes[inner], text[inner], {})
     solid = (codes != 10) & (codes != 0)
-    for kind in SEEDS:
-        of_shapes = model.shapes[kind][bins["shape"]]
+    for kind in kinds:
+        of_shapes = model.shapes[kind][bins["shape"]] if kind != "filler" else None
         if kind == "placeholder":
             # Only grams that hold one of the signs count.
             marked = np.convolve(_MARKS[codes], np.ones(4, int))[3:] > 0
@@ -227,7 +227,7 @@ def judge(texts: list[str], model: Model, limits: Limits, title: bool) -> list[s
 
 def count_lines(texts: list[str], model: Model, limits: Limits) -> dict[str, Counts]:
     """Gram counts of the lines that are almost wholly notices or filler."""
-    lines = _lines(texts, model, limits)
+    lines = _lines(texts, model, limits, kinds=("notice", "filler"))
     out = {}
     for kind in ("notice", "filler"):
         pick = (lines.sizes >= limits.shortest_line) & (lines.covered[kind] >= limits.certain * lines.sizes)
