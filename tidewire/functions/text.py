@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,16 +75,46 @@ NEGATIONS = (
     "isnt", "isn't", "arent", "aren't", "wasnt", "wasn't", "werent", "weren't", "havent", "haven't", "hasnt", "hasn't", "hadnt", "hadn't",
     "tidak", "bukan", "jangan", "belum", "tak", "tiada", "tanpa",
 )
-STOPWORDS = tuple(
-    "a about above after again against all am an and any are as at be because been before being below between both but by could did do does doing down during each few for"
-    " from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself of off on once only or other"
-    " ought our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under"
-    " until up very was we were what when where which while who whom why with would you your yours yourself yourselves".split()
-)
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from",
+    "further", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is",
+    "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "of", "off", "on", "once", "only", "or", "other", "ought", "our", "ours",
+    "ourselves", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves",
+    "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when",
+    "where", "which", "while", "who", "whom", "why", "with", "would", "you", "your", "yours", "yourself", "yourselves",
+)
+
+
+def normal_form(text: Column, form: str = "NFC") -> Column:
+    """A Unicode normal form, in Arrow batches: no built-in expression has it."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+
+    return run(text)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as the characters they stand for, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+    return run(text)
+
+
+def composed(text: Column, form: str = "NFC") -> Column:
+    """:func:`normal_form`, then :func:`unescaped`, in one pass."""
 
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        plain = lambda t: t if t.isascii() else unicodedata.normalize(form, t)
+        return texts.map(lambda t: t if t is None else html.unescape(plain(t)) if "&" in t else plain(t))
 
-def _texts(values: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return run(text)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -103,10 +137,21 @@ def keyword_terms() -> tuple[str, ...]:
     return tuple(t for group in KEYWORD_GROUPS.values() for t in group)
 
 
+def field_matches(title: Column, body: Column, discovery_title: Column) -> Column:
+    """Distinct keywords of each of three fields, in first-seen order."""
+    terms = keyword_terms()
+    return F.struct(term_hits(title, terms).alias("title"), term_hits(body, terms).alias("body"), term_hits(discovery_title, terms).alias("discovery_title"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
 
 
+def sentences(text: Column, least_words: int = 3) -> Column:
+    """Sentences and lines of at least so many words."""
+    return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), lambda s: word_count(s) >= least_words)
+
+
 def plain_quotes(text: Column) -> Column:
     """Typographic quotes and dashes as ASCII; the long dash gets blanks."""
     return F.replace(F.translate(text, "’‘“”–", "''\"\"-"), F.lit("—"), F.lit(" - "))
@@ -159,8 +204,9 @@ def bag_of_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column
     t = F.replace(F.replace(F.lower(text), F.lit("can't"), F.lit("cannot")), F.lit("won't"), F.lit("will not"))
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)n't\b", " not"), r"(?U)'s\b", "")
     keep = {"no", "not", "nor", "never", "none", "cannot", "without", "us"}
-    stop = _texts(tuple(w for w in stopwords if w not in keep))
-    return F.array_join(F.filter(matches(F.replace(t, F.lit("'"), F.lit("")), "[a-z]{2,}"), lambda w: ~F.array_contains(stop, w)), " ")
+    stop = [w for w in stopwords if w not in keep]
+    # A long list of literals becomes a hash set.
+    return F.array_join(F.filter(matches(F.replace(t, F.lit("'"), F.lit("")), "[a-z]{2,}"), lambda w: ~w.isin(*stop)), " ")
 
 
 def word_tokens(text: Column) -> Column:
@@ -180,21 +226,31 @@ def lemma(word: Column) -> Column:
     )
 
 
-def classical_tokens(text: Column) -> Column:
+def classical_tokens(text: Column, least: int = 3, stopwords: tuple[str, ...] = STOPWORDS, lemmatize: bool = True) -> Column:
     """Lemmas without stop words and short words; negations stay."""
-    negations = _texts(NEGATIONS)
-    stop = _texts(tuple(w for w in STOPWORDS if w not in NEGATIONS))
-    lemmas = F.transform(word_tokens(text), lemma)
-    return F.filter(lemmas, lambda w: ~F.array_contains(stop, w) & ((F.length(w) >= 3) | F.array_contains(negations, w)))
+    stop = [w for w in stopwords if w not in NEGATIONS]
+    lemmas = F.transform(word_tokens(text), lemma) if lemmatize else word_tokens(text)
+    known = (lambda w: ~w.isin(*stop)) if stop else (lambda w: F.lit(True))
+    return F.filter(lemmas, lambda w: known(w) & ((F.length(w) >= least) | w.isin(*NEGATIONS)))
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """Runs of ``n`` tokens joined by underscores; none of fewer tokens."""
+    starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.concat_ws("_", w, *[F.get(tokens, i + k) for k in range(1, n)]))
 
 
 def bigrams(tokens: Column) -> Column:
-    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda w, i: F.concat_ws("_", w, F.get(tokens, i + 1)))
-    return pairs
+    return ngrams(tokens, 2)
+
+
+def embedding_tokens(text: Column) -> Column:
+    """Lower-case words of letters and digits of any script, with an inner apostrophe."""
+    return matches(F.lower(text), r"(?U)[^\W_]+(?:'[^\W_]+)?")
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct ``n``-word sequences; a shorter text is one sequence."""
+    """Distinct ``n``-word sequences; a shorter text is one sequence, and one without words the empty one."""
     ws = words(text)
     some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
     return F.array_distinct(some)
@@ -206,23 +262,46 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(both, F.size(a) + F.size(b) - both)
 
 
-def unique_paragraphs(text: Column, similar: float = 0.8) -> Column:
-    """Greedy: a paragraph goes if it equals a kept one (case and blanks aside) or shares enough shingles with it."""
-    parts = F.filter(F.transform(F.split(text, "\n+"), lambda p: F.trim(p)), lambda p: p != "")
+def deduplicated(text: Column, similar: float = 0.8) -> Column:
+    """``kept, n_exact, n_near`` of a text's paragraphs, greedily.
+
+    A paragraph goes if it equals a kept one (case and blanks aside) or shares
+    enough shingles with it; paragraphs without words are alike if they are the
+    same. Empty paragraphs don't count.
+    """
+    parts = F.filter(F.transform(F.split(text, "\n+"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
     # Keys and shingles are made once per paragraph, not once per comparison.
-    prepared = F.transform(parts, lambda p: F.struct(p.alias("p"), line_key(p).alias("k"), shingles(p).alias("s")))
+    prepared = F.transform(parts, lambda p: F.struct(p.alias("p"), line_key(p).alias("k"), F.filter(shingles(p), lambda x: x != "").alias("s")))
+    start = F.struct(F.array().cast("array<struct<p:string,k:string,s:array<string>>>").alias("kept"), F.lit(0).alias("n_exact"), F.lit(0).alias("n_near"))
 
-    def step(kept: Column, p: Column) -> Column:
-        same = F.exists(kept, lambda q: (q["k"] == p["k"]) | (jaccard(q["s"], p["s"]) >= similar))
-        return F.when(same, kept).otherwise(F.array_append(kept, p))
+    def step(acc: Column, p: Column) -> Column:
+        same = F.exists(acc["kept"], lambda q: q["k"] == p["k"])
+        alike = lambda q: F.when((F.size(q["s"]) > 0) & (F.size(p["s"]) > 0), jaccard(q["s"], p["s"]) >= similar).otherwise(q["p"] == p["p"])
+        near = ~same & F.exists(acc["kept"], alike)
+        kept = F.when(same | near, acc["kept"]).otherwise(F.array_append(acc["kept"], p))
+        return F.struct(kept.alias("kept"), (acc["n_exact"] + same.cast("int")).alias("n_exact"), (acc["n_near"] + near.cast("int")).alias("n_near"))
 
-    kept = F.aggregate(prepared, F.array().cast("array<struct<p:string,k:string,s:array<string>>>"), step)
-    return F.transform(kept, lambda q: q["p"])
+    out = lambda acc: F.struct(F.transform(acc["kept"], lambda q: q["p"]).alias("kept"), acc["n_exact"], acc["n_near"])
+    return F.aggregate(prepared, start, step, out)
 
 
-def light_clean(text: Column) -> Column:
-    """Without tags and control characters, addresses masked, blanks squeezed."""
-    return squeeze(masked(F.regexp_replace(F.regexp_replace(text, TAG, " "), CONTROL, " ")))
+def unique_paragraphs(text: Column, similar: float = 0.8) -> Column:
+    """The kept paragraphs of :func:`deduplicated`."""
+    return deduplicated(text, similar)["kept"]
+
+
+def light_clean(text: Column, deduplicate: bool = True, similar: float = 0.8, keep_lines: bool = False) -> Column:
+    """Composed and unescaped, without tags and control characters, addresses masked, paragraphs deduplicated, blanks squeezed; empty for null."""
+    plain = masked(F.regexp_replace(F.regexp_replace(composed(F.coalesce(text, F.lit(""))), TAG, " "), CONTROL, " "))
+    if deduplicate:
+        kept = unique_paragraphs(plain, similar)
+        several = F.size(F.filter(F.split(plain, "\n+"), lambda p: F.regexp_replace(p, SPACE, "") != "")) > 1
+        plain = F.when(several, F.array_join(kept, "\n\n" if keep_lines else " ")).otherwise(plain)
+    plain = F.replace(plain, F.lit("\u200b"), F.lit(""))
+    if not keep_lines:
+        return squeeze(plain)
+    lines = F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\S\r\n]+", " "), "\n{3,}", "\n\n")
+    return F.regexp_replace(lines, r"(?U)^\s+|\s+$", "")
 
 
 def entities(text: Column) -> Column:

@@ -43,6 +43,17 @@ def valence(docs: DataFrame, lexicon: DataFrame, key: str, tokens: str, alpha: f
     return docs.select(key).join(summed, key, "left").select(key, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha), F.lit(0.0)).alias("compound"))
 
 
+def sentence_valence(docs: DataFrame, lexicon: DataFrame, key: str, sentences: str, alpha: float = 15.0) -> DataFrame:
+    """``key, mean, neg_share``: mean squashed valence of an array of sentences and the share at or below -0.05; zeros without sentences."""
+    each = docs.select(key, F.posexplode(sentences).alias("_i", "_s"))
+    words = each.select(key, "_i", F.explode(F.regexp_extract_all(F.lower("_s"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).join(lexicon, "word")
+    summed = words.groupBy(key, "_i").agg(F.sum("valence").alias("_v"))
+    squashed = F.coalesce(F.col("_v") / F.sqrt(F.col("_v") * F.col("_v") + alpha), F.lit(0.0))
+    scored = each.select(key, "_i").join(summed, [key, "_i"], "left").withColumn("_c", squashed)
+    per = scored.groupBy(key).agg(F.avg("_c").alias("mean"), F.avg((F.col("_c") <= -0.05).cast("int")).alias("neg_share"))
+    return docs.select(key).join(per, key, "left").fillna(0.0, ["mean", "neg_share"])
+
+
 def token_coverage(docs: DataFrame, terms: DataFrame, by: str, tokens: str) -> DataFrame:
     """Tokens and known tokens per group."""
     each = docs.select(by, F.explode(tokens).alias("term")).join(terms.select("term", F.lit(1).alias("known")), "term", "left")
@@ -56,6 +67,20 @@ def pooled_by_token(docs: DataFrame, vectors: DataFrame, by: str, tokens: str) -
     return counts.join(vectors, "term").groupBy(by, "i").agg((F.sum(F.col("x") * F.col("tf")) / F.sum("tf")).alias("x"))
 
 
+def zero_filled(long: DataFrame, groups: DataFrame, by: str, dims: int) -> DataFrame:
+    """``by, i, x`` of every group of ``groups (by)``, zeros for those that ``long`` doesn't have."""
+    places = groups.select(by).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
+    return places.join(long, [by, "i"], "left").select(by, "i", F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+def shared_terms(vocabularies: list[DataFrame], size: int) -> DataFrame:
+    """``term, total`` of the ``size`` most frequent terms that every one of ``vocabularies (term, total)`` has, by the first one's counts."""
+    first, *rest = vocabularies
+    for other in rest:
+        first = first.join(other.select("term"), "term", "left_semi")
+    return first.orderBy(F.desc("total"), "term").limit(size).select("term", "total")
+
+
 def pooled(df: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean of an array column per group: ``by, i, x``."""
     return df.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -72,6 +97,17 @@ def day_documents(df: DataFrame, day: str, order: str, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).groupBy(day).agg(F.array_join(ordered, " ").alias("document"))
 
 
+def topic_means(shares: DataFrame, topics: tuple[str, ...], split: str = "split", splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """``topic`` and a column per split: the mean share of each topic."""
+    means = shares.groupBy(split).agg(*[F.avg(c).alias(c) for c in topics]).unpivot([split], list(topics), "topic", "share")
+    return means.groupBy("topic").pivot(split, list(splits)).agg(F.max("share")).fillna(0.0)
+
+
+def sigmoid(x, limit: float = 30.0):
+    """Logistic function of a column, its argument clipped."""
+    return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-limit)), F.lit(limit))))
+
+
 def coherence(doc_terms: DataFrame, topics: DataFrame) -> DataFrame:
     """UMass coherence of ``topics (topic, rank, term)`` over ``doc_terms (id, term)``: mean over topics of the mean over pairs."""
     used = doc_terms.join(topics.select("term").distinct(), "term").select("id", "term").distinct()

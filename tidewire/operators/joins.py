@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key; rows with a null in a key are kept.
+    """The first row of each key; rows with a null in a key are all kept.
 
-    ``order`` should end with a unique column. Only the winners' order values
-    are gathered per key, by an aggregate that combines before the shuffle.
+    ``order`` should end with a unique column. Rows with a null key take no part
+    in the shuffle, so that however many they are they meet in no task; of the
+    others each task passes on the first row of a key only.
     """
-    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    some_null = F.lit(False)
+    complete = F.lit(True)
     for k in keys:
-        some_null = some_null | F.col(k).isNull()
-    return df.withColumn("_rn", F.when(some_null, F.lit(1)).otherwise(numbered)).filter("_rn = 1").drop("_rn")
+        complete = complete & F.col(k).isNotNull()
+    first = Window.partitionBy(*keys).orderBy(*order)
+    kept = df.filter(complete).withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    return kept.unionByName(df.filter(~complete))
 
 
 def keep_first_in_turn(df: DataFrame, keys: list[list[str]], order: list[Column | str]) -> DataFrame:
@@ -49,6 +51,47 @@ def compare(base: DataFrame, other: DataFrame, on: list[str], columns: list[str]
     return a.join(other.select(*on, *[F.col(c).alias(f"{c}_cand") for c in columns]), on)
 
 
+def without_similar(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rows that resemble no earlier row; an earlier row counts even if it goes itself. ``pairs (a, b)`` has the earlier one first."""
+    return df.join(pairs.select(F.col("b").alias(key)).distinct(), key, "left_anti")
+
+
+def repaired(df: DataFrame, other: DataFrame, on: list[str], suffix: str = "_lex") -> DataFrame:
+    """Left join in which columns that both sides have fill the nulls of the left one; the right one's other columns are added."""
+    both = [c for c in other.columns if c in df.columns and c not in on]
+    joined = df.join(other.select(*[F.col(c).alias(f"{c}{suffix}") if c in both else F.col(c) for c in other.columns]), on, "left")
+    for c in both:
+        joined = joined.withColumn(c, F.coalesce(c, f"{c}{suffix}")).drop(f"{c}{suffix}")
+    return joined
+
+
+def numbered_features(df: DataFrame, features: DataFrame, on: str, prefix: str = "emb_", skip: tuple[str, ...] = ("news_date", "split")) -> DataFrame:
+    """Left join of a table of features, its columns renamed in order to ``prefix`` and a number, 0 where there are none."""
+    names = [c for c in features.columns if c != on and c not in skip]
+    renamed = features.select(on, *[F.col(f"`{c}`").cast("double").alias(f"{prefix}{i}") for i, c in enumerate(names, 1)])
+    return df.join(renamed, on, "left").fillna(0.0, [f"{prefix}{i}" for i in range(1, len(names) + 1)])
+
+
+def tagged_union(tables: dict[str, DataFrame], tag: str = "tag") -> DataFrame:
+    """Tables on top of each other with the name of each; columns that one lacks are null."""
+    out = None
+    for name, df in tables.items():
+        named = df.withColumn(tag, F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows that depend on the key and the seed alone; a sampling operator."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.col(key)).limit(n)
+
+
+def in_order(df: DataFrame, column: str, order: tuple[str, ...], *rest: Column | str) -> DataFrame:
+    """Rows sorted by the place of a value in a list, unknown values last."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), F.col(column), *rest)
+
+
 def similar_earlier(weights: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Pairs ``a < b`` of rows whose unit vectors ``weights (id, term, w)`` have a cosine of at least ``threshold``.
 

@@ -112,6 +112,35 @@ def fusion_grid(df: DataFrame, split: str, true: str, a: tuple[str, ...], b: tup
     return per_class(cells, (split, "w")).groupBy(split, "w").agg(F.avg("f1").alias("macro_f1"))
 
 
+def regression_grid(df: DataFrame, split: str, true: str, a: str, b: str, steps: int = 20) -> DataFrame:
+    """RMSE of mixing two predictions, for every weight of the first in one job: ``split, w, rmse``."""
+    weights = df.sparkSession.range(steps + 1).select((F.col("id") / steps).alias("w"))
+    error = F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b) - F.col(true)
+    return df.crossJoin(F.broadcast(weights)).groupBy(split, "w").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+
+
+def late_fusion(df: DataFrame, split: str, true: str, a: tuple[str, ...], b: tuple[str, ...], value: str, ra: str, rb: str, labels: tuple[str, ...], choose_on: str = "val", steps: int = 20) -> DataFrame:
+    """``split, w_clf, w_reg, macro_f1, rmse`` with the weights chosen on one split.
+
+    The weight of the first model with the best macro F1, and the one with the
+    least RMSE; of equally good ones the largest. Scores count as equal within
+    nine digits.
+    """
+    clf = fusion_grid(df, split, true, a, b, labels, steps).withColumn("macro_f1", F.round("macro_f1", 9))
+    reg = regression_grid(df, split, value, ra, rb, steps).withColumn("rmse", F.round("rmse", 9))
+    at = F.col(split) == choose_on
+    w_clf = clf.filter(at).agg(F.max_by("w", F.struct("macro_f1", "w")).alias("w_clf"))
+    w_reg = reg.filter(at).agg(F.min_by("w", F.struct(F.col("rmse"), (-F.col("w")).alias("v"))).alias("w_reg"))
+    best_clf = clf.join(F.broadcast(w_clf), F.col("w") == F.col("w_clf")).select(split, "w_clf", "macro_f1")
+    best_reg = reg.join(F.broadcast(w_reg), F.col("w") == F.col("w_reg")).select(split, "w_reg", "rmse")
+    return best_clf.join(best_reg, split)
+
+
+def pivoted(df: DataFrame, row: str, column: str, value: str, columns: tuple[str, ...]) -> DataFrame:
+    """One row per ``row``, a column for each of ``columns``."""
+    return df.groupBy(row).pivot(column, list(columns)).agg(F.max(value))
+
+
 def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """``step, stage, rows, dropped`` of frames that follow each other."""
     counts = None

@@ -50,6 +50,12 @@ def changes(days: DataFrame, date: str = "date", rate: str = "rate", threshold:
     return step.select(*days.columns, "pct_change", F.lead("_label").over(w).alias("target"), F.lead(rate).over(w).alias("rate_next"), (F.lead(rate).over(w) - F.col(rate)).alias("delta_next"))
 
 
+def with_target(df: DataFrame, rate: str, rate_next: str, threshold: float = 0.1) -> DataFrame:
+    """Adds ``delta``, and ``target`` from tomorrow's rate if the table has none."""
+    out = df.withColumn("delta", F.col(rate_next) - F.col(rate))
+    return out if "target" in df.columns else out.withColumn("target", label((F.col(rate_next) / F.col(rate) - 1) * 100, threshold))
+
+
 def lagged_returns(days: DataFrame, date: str = "date", rate: str = "rate", lags: int = 3, span: int = 5, shift: int = 0) -> DataFrame:
     """``log_return``, ``ret_lag1..`` and the sample deviation of the last ``span`` returns, null until there are that many.
 

@@ -1,20 +1,18 @@
 """Queries of text cleaning, filters and duplicate removal, each with its SQL.
 
-The SQL engine knows no look-around and counts ASCII word borders, so where a
-pattern has borders both sides read the text with every other character as a
-blank. The same queries named ``..._whole`` read the text as it is stored.
+All queries read the stored text. The SQL engine knows no look-around and
+counts ASCII word borders only, so its side writes borders and blanks as
+classes of Unicode characters.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t
 from tidewire.operators import features, joins, metrics
-from tidewire.runtime import table
+from tidewire.runtime import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,16 +28,37 @@ def query(sql: str | None = None):
     return add
 
 
-def _ascii(column: str) -> Column:
-    return F.regexp_replace(column, r"[^\x00-\x7F]", " ")
+# Word characters and blanks as Unicode has them.
+_W = r"\p{L}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+_S = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '[{_S}]+'), lambda w: w <> '')"
+
+
+def _squeezed_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[{_S}]+', ' ', 'g'))"
+
 
+def _quotes_sql(text: str) -> str:
+    for sign, plain in (("’", "''"), ("‘", "''"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - ")):
+        text = f"replace({text}, '{sign}', '{plain}')"
+    return text
 
-def _stored(column: str) -> Column:
-    return F.col(column)
+
+def _plain_sql(text: str) -> str:
+    """Plain quotes, nothing invisible, acronyms without their dots; a longer acronym goes before one it begins with."""
+    text = f"regexp_replace({_quotes_sql(text)}, '{t.INVISIBLE}', '', 'g')"
+    found = f"list_reverse_sort(list_distinct(regexp_extract_all({text}, '(?:^|[^{_W}])((?:[A-Z]\\.){{2,}})', 1)))"
+    return f"list_reduce(list_prepend({text}, {found}), lambda a, m: replace(a, m, replace(m, '.', '')))"
+
+
+def _doubled_sql(text: str) -> str:
+    """Every sign that is no word character twice, so that matches between borders share none."""
+    return f"(' ' || regexp_replace({text}, '([^{_W}])', '\\1\\1', 'g') || ' ')"
 
 
-_ASC = "regexp_replace({}, '[^\\x00-\\x7F]', ' ', 'g')"
-_BODY, _TITLE = _ASC.format("body_clean"), _ASC.format("title_clean")
 _HOST = "nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^(www|m|amp)\\.', ''), '')"
 
 
@@ -105,10 +124,10 @@ def text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles_aligned").groupBy(t.text_key(F.col("title_clean")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT aligned_id, len(list_filter(string_split_regex({_BODY}, '\\s+'), lambda w: w <> '')) AS n FROM articles_aligned")
-def word_count(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+@query(f"SELECT aligned_id, len({_words_sql('body_clean')}) AS n FROM articles_aligned")
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words between blanks."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.word_count(text("body_clean")).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.word_count(F.col("body_clean")).cast("bigint").alias("n"))
 
 
 @query("SELECT aligned_id, replace(replace(replace(replace(replace(replace(body_clean, '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '—', ' - ') AS body FROM articles_aligned")
@@ -117,99 +136,110 @@ def plain_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.plain_quotes(F.col("body_clean")).alias("body"))
 
 
-@query("SELECT disc_id, trim(regexp_replace(regexp_replace(title_rss, '(?i)\\s+[-|]\\s+[A-Za-z]+\\s*$', ''), '[ \\t\\r\\f]+', ' ', 'g')) AS title FROM cnbc_discovered WHERE NOT regexp_matches(title_rss, '[^\\x00-\\x7F]') AND NOT regexp_matches(title_rss, '(?:[A-Z]\\.){2,}')")
+@query(f"SELECT disc_id, trim(regexp_replace(regexp_replace({_plain_sql('title_rss')}, '(?i)[{_S}]+[-|][{_S}]+[A-Za-z]+[{_S}]*$', ''), '[ \\t\\r\\f\\x0b]+', ' ', 'g')) AS title FROM cnbc_discovered")
 def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII headlines without the outlet at their end, as the SQL can follow; ``title_suffix_whole`` takes every one."""
-    df = table(spark, sf_dir, "cnbc_discovered").filter(~F.col("title_rss").rlike(r"[^\x00-\x7F]") & ~F.col("title_rss").rlike(r"(?:[A-Z]\.){2,}"))
-    return df.select("disc_id", t.clean_title(F.col("title_rss"), "[A-Za-z]+").alias("title"))
-
-
-@query()
-def title_suffix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every headline in plain signs without the outlet at its end."""
     return table(spark, sf_dir, "cnbc_discovered").select("disc_id", t.clean_title(F.col("title_rss"), "[A-Za-z]+").alias("title"))
 
 
+_NOTICE = "(?i)" + "|".join(t.NOTICE_PARAGRAPHS)
 _PARAGRAPHS = f"""
-p AS (SELECT aligned_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace({_BODY}, '(?i)https?://\\S+|www\\.\\S+|pic\\.twitter\\.com/\\S+', ' ', 'g'), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b', ' ', 'g'), chr(10)),
-      lambda x: trim(regexp_replace(x, '[ \\t\\r\\f]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM articles_aligned),
+p AS (SELECT aligned_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace({_plain_sql('body_clean')}, '(?i)https?://[^{_S}]+|www\\.[^{_S}]+|pic\\.twitter\\.com/[^{_S}]+', ' ', 'g'), '(^|[^{_W}.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '\\1 ', 'g'), chr(10)),
+      lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\x0b]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM articles_aligned),
 w AS (SELECT aligned_id, unnest(ps) AS q, unnest(range(len(ps))) AS i FROM p),
-k AS (SELECT aligned_id, q, i, len(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) AS n FROM w),
-f AS (SELECT aligned_id, q, min(i) AS i FROM k WHERE n >= 4 AND NOT (n < 40 AND regexp_matches(q, '(?i){"|".join(t.NOTICE_PARAGRAPHS)}')) GROUP BY 1, 2)
+d AS (SELECT aligned_id, i, q, regexp_replace(q, '^[A-Z][A-Za-z.,'' ]{{2,40}}[{_S}]+\\((?:Reuters|AP)\\)[{_S}]*-[{_S}]*', '') AS q0 FROM w),
+o AS (SELECT *, len({_words_sql('q')}) AS n, len({_words_sql('q0')}) AS n0 FROM d),
+k AS (SELECT *, NOT (n < 4 OR n < 40 AND regexp_matches(q, '{_NOTICE}')) AS good, NOT (n0 < 4 OR n0 < 40 AND regexp_matches(q0, '{_NOTICE}')) AS good0 FROM o),
+b AS (SELECT aligned_id, coalesce(min(i) FILTER (good0), 1000000000) AS first FROM k GROUP BY 1),
+g AS (SELECT aligned_id, i, CASE WHEN i <= first THEN q0 ELSE q END AS q FROM k JOIN b USING (aligned_id) WHERE i = first OR i > first AND good),
+f AS (SELECT aligned_id, q, min(i) AS i FROM g GROUP BY 1, 2)
 """
 
 
 @query(f"WITH {_PARAGRAPHS} SELECT aligned_id, coalesce(string_agg(q, chr(10) ORDER BY i), '') AS body FROM p LEFT JOIN f USING (aligned_id) GROUP BY 1")
-def clean_paragraphs(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
-    """Paragraphs without short ones, notices and repeats."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.clean_paragraphs(text("body_clean")).alias("body"))
+def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs without short ones, notices, repeats and a dateline."""
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.clean_paragraphs(F.col("body_clean")).alias("body"))
+
+
+def _bow_sql(text: str) -> str:
+    plain = f"regexp_replace(replace(replace(lower({text}), 'can''t', 'cannot'), 'won''t', 'will not'), 'n''t([^{_W}]|$)', ' not\\1', 'g')"
+    return f"replace(regexp_replace({plain}, '''s([^{_W}]|$)', '\\1', 'g'), '''', '')"
 
 
-_BOWSQL = "replace(regexp_replace(regexp_replace(replace(replace(lower({}), 'can''t', 'cannot'), 'won''t', 'will not'), 'n''t\\b', ' not', 'g'), '''s\\b', '', 'g'), '''', '')"
 _KEEP = {"no", "not", "nor", "never", "none", "cannot", "without", "us"}
-_BOW = f"list_filter(regexp_extract_all({_BOWSQL.format(_BODY)}, '[a-z]{{2,}}', 0), lambda w: NOT list_contains({_list([w for w in t.STOPWORDS if w not in _KEEP])}, w))"
+_BOW = f"list_filter(regexp_extract_all({_bow_sql('body_clean')}, '[a-z]{{2,}}', 0), lambda w: NOT list_contains({_list([w for w in t.STOPWORDS if w not in _KEEP])}, w))"
 
 
 @query(f"SELECT aligned_id, array_to_string({_BOW}, ' ') AS bow FROM articles_aligned")
-def bow_tokens(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def bow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies as bags of words."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.bag_of_words(text("body_clean")).alias("bow"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.bag_of_words(F.col("body_clean")).alias("bow"))
 
 
 _LEMMA = """list_transform({}, lambda w: CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y'
 WHEN w LIKE '%es' AND length(w) > 3 AND NOT (w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is') THEN left(w, length(w) - 2)
 WHEN w LIKE '%s' AND length(w) > 2 AND NOT (w LIKE '%ss' OR w LIKE '%us' OR w LIKE '%is') THEN left(w, length(w) - 1) ELSE w END)"""
-_TOKENS = "list_transform(regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z]+)?', 0), lambda w: regexp_replace(w, '''s$', ''))"
-_CLASSICAL = f"list_filter({_LEMMA.format(_TOKENS.format(_TITLE))}, lambda w: NOT list_contains({_list([w for w in t.STOPWORDS if w not in t.NEGATIONS])}, w) AND (length(w) >= 3 OR list_contains({_list(t.NEGATIONS)}, w)))"
 
 
-@query(f"SELECT aligned_id, array_to_string({_LEMMA.format(_TOKENS.format(_TITLE))}, ' ') AS lemmas FROM articles_aligned")
-def lemma_rules(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def _tokens_sql(text: str) -> str:
+    found = f"list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+''[a-z]+|[{_W}]+', 0), lambda w: regexp_full_match(w, '[a-z0-9]+(?:''[a-z]+)?'))"
+    return f"list_transform({found}, lambda w: regexp_replace(w, '''s$', ''))"
+
+
+
+
+
+def _classical_sql(text: str) -> str:
+    return f"list_filter({_LEMMA.format(_tokens_sql(text))}, lambda w: NOT list_contains({_list([w for w in t.STOPWORDS if w not in t.NEGATIONS])}, w) AND (length(w) >= 3 OR list_contains({_list(t.NEGATIONS)}, w)))"
+
+
+_CLASSICAL = _classical_sql("title_clean")
+
+
+@query(f"SELECT aligned_id, array_to_string({_LEMMA.format(_tokens_sql('title_clean'))}, ' ') AS lemmas FROM articles_aligned")
+def lemma_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with plural endings removed by rule."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(F.transform(t.word_tokens(text("title_clean")), t.lemma), " ").alias("lemmas"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(F.transform(t.word_tokens(F.col("title_clean")), t.lemma), " ").alias("lemmas"))
 
 
 @query(f"WITH c AS (SELECT aligned_id, {_CLASSICAL} AS ws FROM articles_aligned) SELECT aligned_id, array_to_string(ws, ' ') AS unigrams, array_to_string(list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1]), ' ') AS bigrams FROM c")
-def classical_clean(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def classical_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as lemmas without stop words but with negations, and their bigrams."""
-    df = table(spark, sf_dir, "articles_aligned").select("aligned_id", t.classical_tokens(text("title_clean")).alias("ws"))
+    df = table(spark, sf_dir, "articles_aligned").select("aligned_id", t.classical_tokens(F.col("title_clean")).alias("ws"))
     return df.select("aligned_id", F.array_join("ws", " ").alias("unigrams"), F.array_join(t.bigrams(F.col("ws")), " ").alias("bigrams"))
 
 
-@query(f"SELECT aligned_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_TITLE}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b', 0))), '|') AS entities, array_to_string(list_sort(list_distinct(regexp_extract_all({_BODY}, '\\b\\d+(?:[.,]\\d+)*\\b', 0))), '|') AS numbers FROM articles_aligned")
-def preserved_entities(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+_ENTITIES = f"list_transform(regexp_extract_all({_doubled_sql('title_clean')}, '[^{_W}]([A-Z][a-z]+(?:[{_S}]+[A-Z][a-z]+)*)[^{_W}]', 1), lambda e: regexp_replace(e, '([{_S}])[{_S}]', '\\1', 'g'))"
+_FIGURES = f"list_transform(regexp_extract_all({_doubled_sql('body_clean')}, '[^{_W}](\\p{{Nd}}+(?:(?:,,|\\.\\.)\\p{{Nd}}+)*)[^{_W}]', 1), lambda e: replace(replace(e, ',,', ','), '..', '.'))"
+
+
+@query(f"SELECT aligned_id, array_to_string(list_sort(list_distinct({_ENTITIES})), '|') AS entities, array_to_string(list_sort(list_distinct({_FIGURES})), '|') AS numbers FROM articles_aligned")
+def preserved_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised runs and numbers, distinct and sorted."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(t.entities(text("title_clean")), "|").alias("entities"), F.array_join(t.numbers(text("body_clean")), "|").alias("numbers"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(t.entities(F.col("title_clean")), "|").alias("entities"), F.array_join(t.numbers(F.col("body_clean")), "|").alias("numbers"))
 
 
 def _hits_sql(terms, column: str) -> str:
-    # Doubled gaps let neighbouring terms both match between borders.
+    """Distinct terms in first-seen order. Gaps and hyphens are doubled like the text's."""
     ordered = sorted(set(terms), key=lambda x: (-len(x), x))
-    pattern = "|".join(x.replace("-", " ").replace(" ", "  ") for x in ordered if "-" not in x)
-    return f"list_distinct(regexp_extract_all(' ' || regexp_replace(lower({column}), '[^a-z0-9_]+', '  ', 'g') || ' ', ' ({pattern}) ', 1))"
+    pattern = "|".join(x.replace("-", "--").replace(" ", "  ") for x in ordered)
+    found = f"regexp_extract_all({_doubled_sql(f'lower({column})')}, '[^{_W}]({pattern})[^{_W}]', 1)"
+    return f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
 
 
-def _spaced(column: str) -> Column:
-    return F.regexp_replace(F.lower(F.col(column)), "[^a-z0-9_]+", " ")
-
-
-_PLAIN_GEO = tuple(x for x in t.GEO_TERMS if "-" not in x)
-
-
-@query(f"SELECT aligned_id, array_to_string(list_sort(list_transform({_hits_sql(t.keyword_terms(), 'body_clean')}, lambda x: replace(x, '  ', ' '))), '|') AS hits FROM articles_aligned")
+@query(f"SELECT aligned_id, replace(array_to_string({_hits_sql(t.keyword_terms(), 'body_clean')}, '|'), '  ', ' ') AS hits FROM articles_aligned")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct keywords of each body."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(F.array_sort(t.term_hits(_spaced("body_clean"), t.keyword_terms())), "|").alias("hits"))
+    """Distinct keywords of each body in first-seen order."""
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(t.term_hits(F.col("body_clean"), t.keyword_terms()), "|").alias("hits"))
 
 
-@query(f"""WITH h AS (SELECT aligned_id, len({_hits_sql(_PLAIN_GEO, 'title_clean')}) AS th, len({_hits_sql(_PLAIN_GEO, "title_clean || ' ' || body_clean")}) AS n FROM articles_aligned)
+@query(f"""WITH h AS (SELECT aligned_id, len({_hits_sql(t.GEO_TERMS, 'title_clean')}) AS th, len({_hits_sql(t.GEO_TERMS, "(title_clean || ' ' || body_clean)")}) AS n FROM articles_aligned)
 SELECT aligned_id, n AS geo_hits FROM h WHERE th >= 1 OR n >= 2""")
 def geo_hits_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with a geopolitical term in the title or two different ones at all."""
     df = table(spark, sf_dir, "articles_aligned").withColumn("both", F.concat_ws(" ", "title_clean", "body_clean"))
-    # The text has blanks for hyphens, so the terms have too.
-    terms = tuple(x.replace("-", " ") for x in t.GEO_TERMS)
-    df = df.select("aligned_id", F.size(t.term_hits(_spaced("title_clean"), terms)).alias("th"), F.size(t.term_hits(_spaced("both"), terms)).cast("bigint").alias("geo_hits"))
+    df = df.select("aligned_id", F.size(t.term_hits(F.col("title_clean"), t.GEO_TERMS)).alias("th"), F.size(t.term_hits(F.col("both"), t.GEO_TERMS)).cast("bigint").alias("geo_hits"))
     return df.filter("th >= 1 or geo_hits >= 2").select("aligned_id", "geo_hits")
 
 
@@ -282,11 +312,15 @@ def resume_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return todo.groupBy("rss_link").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("SELECT article_id, coalesce(d.title, a.title) AS title FROM scrape_article a LEFT JOIN (SELECT rss_link, min(title_rss) AS title FROM cnbc_discovered GROUP BY 1) d USING (rss_link)")
+_FEED = "SELECT rss_link, min(title_rss) AS title, min(published_rss) AS date_published, min(source) AS author, min(source_url) AS url FROM cnbc_discovered GROUP BY 1"
+
+
+@query("SELECT article_id, " + ", ".join(f"coalesce(d.{c}, a.{c}) AS {c}" for c in ("title", "date_published", "author", "url")) + f" FROM scrape_article a LEFT JOIN ({_FEED}) d USING (rss_link)")
 def combine_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed's title where there is one, else the page's."""
-    feed = table(spark, sf_dir, "cnbc_discovered").groupBy("rss_link").agg(F.min("title_rss").alias("title"))
-    return joins.fill_from(table(spark, sf_dir, "scrape_article").select("article_id", "rss_link", "title"), feed, "rss_link", ["title"]).select("article_id", "title")
+    """Four fields of the feed where there are any, else the page's."""
+    names = {"title": "title_rss", "date_published": "published_rss", "author": "source", "url": "source_url"}
+    feed = table(spark, sf_dir, "cnbc_discovered").groupBy("rss_link").agg(*[F.min(c).alias(n) for n, c in names.items()])
+    return joins.fill_from(table(spark, sf_dir, "scrape_article").select("article_id", "rss_link", *names), feed, "rss_link", list(names)).select("article_id", *names)
 
 
 _SHINGLES = """list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)"""
@@ -301,23 +335,60 @@ def shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("article_id", F.round(t.jaccard(t.shingles(F.col("title")), t.shingles(F.col("discovery_title"))), 6).alias("jaccard"))
 
 
-@query()
+def _kept_sql(source: str) -> str:
+    """Greedy choice of paragraphs, one a step, from ``source (id, text)``."""
+    one = "list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)"
+    trimmed = f"regexp_replace(regexp_replace(x, '^[{_S}]+', ''), '[{_S}]+$', '')"
+    return f"""src AS ({source}),
+par AS (SELECT id, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: {trimmed}), lambda x: x <> '') AS ps FROM src),
+ws AS (SELECT id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM par),
+tok AS (SELECT id, i, p, lower({_squeezed_sql('p')}) AS k, regexp_extract_all(lower(p), '[a-z0-9]+', 0) AS ws FROM ws),
+shi AS (SELECT id, i, p, k, {one} AS s FROM tok),
+rec AS (SELECT id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(p VARCHAR, k VARCHAR, s VARCHAR[])[]) AS kept, 0 AS n_exact, 0 AS n_near FROM src WHERE text IS NOT NULL
+ UNION ALL
+ SELECT id, i, CASE WHEN same OR near THEN kept ELSE list_append(kept, {{'p': p, 'k': k, 's': s}}) END, n_exact + CAST(same AS INT), n_near + CAST(NOT same AND near AS INT)
+ FROM (SELECT r.id, h.i, r.kept, r.n_exact, r.n_near, h.p, h.k, h.s, len(list_filter(r.kept, lambda q: q.k = h.k)) > 0 AS same,
+   len(list_filter(r.kept, lambda q: CASE WHEN len(q.s) > 0 AND len(h.s) > 0 THEN len(list_intersect(q.s, h.s)) / (len(q.s) + len(h.s) - len(list_intersect(q.s, h.s)))::DOUBLE >= 0.8 ELSE q.p = h.p END)) > 0 AS near
+  FROM rec r JOIN shi h ON h.id = r.id AND h.i = r.i + 1)),
+fin AS (SELECT id, arg_max(list_transform(kept, lambda q: q.p), i) AS kept, max(n_exact) AS n_exact, max(n_near) AS n_near, max(i) AS n FROM rec GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {_kept_sql('SELECT aligned_id AS id, body_clean AS text FROM articles_aligned')} SELECT id AS aligned_id, array_to_string(kept, chr(10)) AS body, CAST(n_exact AS INT) AS n_exact, CAST(n_near AS INT) AS n_near FROM fin")
 def unique_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies without paragraphs that repeat an earlier one almost."""
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.array_join(t.unique_paragraphs(F.col("body_clean")), "\n").alias("body"))
+    """Bodies without paragraphs that repeat an earlier one almost, with how many went."""
+    df = table(spark, sf_dir, "articles_aligned").filter("body_clean is not null").select("aligned_id", t.deduplicated(F.col("body_clean")).alias("d"))
+    return df.select("aligned_id", F.array_join("d.kept", "\n").alias("body"), "d.n_exact", "d.n_near")
 
 
-@query("SELECT doc_id, array_to_string(list_transform(string_split('<' || lang || '> mail ' || source || '@desk.example see https://' || source || '.example/x now', ' '), lambda w: CASE WHEN w LIKE '%@%' THEN 'EMAIL' WHEN w LIKE 'https://%' THEN 'URL' WHEN w LIKE '<%' THEN '' ELSE w END), ' ') AS masked FROM documents WHERE lang IS NOT NULL")
-def mask_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags stripped, addresses masked, on composed lines, as the SQL can follow; ``mask_entities_whole`` takes the texts."""
-    line = F.concat(F.lit("<"), "lang", F.lit("> mail "), F.regexp_replace("source", "_", "_"), F.lit("@desk.example see https://"), "source", F.lit(".example/x now"))
-    return table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", F.concat(F.lit(" "), t.light_clean(line)).alias("masked"))
+def _masked_sql(text: str) -> str:
+    plain = f"nfc_normalize(coalesce({text}, ''))"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = f"replace({plain}, '{name}', '{sign}')"
+    plain = f"regexp_replace(regexp_replace({plain}, '<[^>]+>', ' ', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', ' ', 'g')"
+    plain = f"regexp_replace({plain}, '(^|[^{_W}.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '\\1EMAIL', 'g')"
+    return f"regexp_replace({plain}, '(?i)https?://[^{_S}]+|www\\.[^{_S}]+|(?:[a-zA-Z0-9-]+\\.)+(?:com|org|net|gov|edu|io|id|co)\\b[^{_S}]*', 'URL', 'g')"
+
+
+def _visible_sql(text: str) -> str:
+    return _squeezed_sql(f"replace({text}, chr(8203), '')")
 
 
-@query()
-def mask_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT doc_id, {_visible_sql(_masked_sql('text'))} AS masked FROM documents")
+def mask_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without tags and control characters, addresses masked."""
-    return table(spark, sf_dir, "documents").select("doc_id", t.light_clean(F.col("text")).alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.light_clean(F.col("text"), deduplicate=False).alias("masked"))
+
+
+def light_sql(source: str) -> str:
+    """``light (id, light)`` of ``source (id, body)``."""
+    return f"""src0 AS ({source}), {_kept_sql(f"SELECT id, {_masked_sql('body')} AS text FROM src0")},
+light AS (SELECT id, {_visible_sql("CASE WHEN n > 1 THEN array_to_string(kept, ' ') ELSE text END")} AS light FROM fin JOIN src USING (id))"""
+
+
+@query(f"WITH RECURSIVE {light_sql('SELECT aligned_id AS id, body_clean AS body FROM articles_aligned')} SELECT id AS aligned_id, light FROM light")
+def light_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies composed, unescaped, without tags, masked, without repeated paragraphs, squeezed."""
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", t.light_clean(F.col("body_clean")).alias("light"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events")
@@ -332,31 +403,29 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "scrape_article").select("article_id", F.substring(F.coalesce("body", F.lit("")), 1, 500).alias("preview"), F.substring(F.coalesce("title", F.lit("")), 1, 40).alias("label"))
 
 
-@query(f"SELECT aligned_id, len(list_filter(string_split_regex(regexp_replace({_BODY}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: len(regexp_extract_all(s, '[A-Za-z0-9]+', 0)) >= 3)) AS sentences FROM articles_aligned")
-def sentences(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+@query(f"SELECT aligned_id, len(list_filter(string_split_regex(regexp_replace(body_clean, '([.!?])[{_S}]+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: len({_words_sql('s')}) >= 3)) AS sentences FROM articles_aligned")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of at least three words."""
-    parts = F.split(text("body_clean"), r"(?U)(?<=[.!?])\s+|\n+")
-    words = t.word_count if text is _stored else lambda s: F.size(t.matches(s, "[A-Za-z0-9]+"))
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.size(F.filter(parts, lambda s: words(s) >= 3)).cast("bigint").alias("sentences"))
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", F.size(t.sentences(F.col("body_clean"))).cast("bigint").alias("sentences"))
 
 
 _TERMS = f"tok AS (SELECT aligned_id, split, news_date_wib AS day, unnest({_BOW}) AS term FROM articles_aligned), cnt AS (SELECT aligned_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
 
 
-def _bags(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
-    return table(spark, sf_dir, "articles_aligned").select("aligned_id", "split", F.col("news_date_wib").alias("day"), F.col("n_words").cast("bigint").alias("n_words"), F.filter(F.split(t.bag_of_words(text("body_clean")), " "), lambda w: w != "").alias("tokens"))
+def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles_aligned").select("aligned_id", "split", F.col("news_date_wib").alias("day"), F.col("n_words").cast("bigint").alias("n_words"), F.filter(F.split(t.bag_of_words(F.col("body_clean")), " "), lambda w: w != "").alias("tokens"))
 
 
 @query(f"WITH {_TERMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM cnt GROUP BY 1")
-def doc_freq(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and term frequencies."""
-    return features.document_frequency(features.term_counts(_bags(spark, sf_dir, text), "aligned_id", "tokens"))
+    return features.document_frequency(features.term_counts(_bags(spark, sf_dir), "aligned_id", "tokens"))
 
 
 @query(f"WITH {_TERMS}, n AS (SELECT count(*) AS n FROM articles_aligned), v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM cnt GROUP BY 1) SELECT term, df, total FROM v, n WHERE df >= 5 AND df <= 0.8::DOUBLE * n ORDER BY total DESC, term LIMIT 200")
-def vocab_topk(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 most frequent terms within bounds of document frequency."""
-    bags = _bags(spark, sf_dir, text)
+    bags = _bags(spark, sf_dir)
     return features.vocabulary(features.term_counts(bags, "aligned_id", "tokens"), bags.agg(F.count(F.lit(1)).alias("n")), 5, 0.8, 200)
 
 
@@ -367,24 +436,24 @@ raw AS (SELECT day, split, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE)
 unit AS (SELECT day, split, term, w / sqrt(sum(w * w) OVER (PARTITION BY day, split)) AS w FROM raw)"""
 
 
-def _weights(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
-    bags = _bags(spark, sf_dir, text).withColumn("key", F.struct("day", "split"))
-    counts = features.term_counts(bags, "key", "tokens")
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bags = _bags(spark, sf_dir).withColumn("key", F.struct("day", "split"))
+    counts = cut(features.term_counts(bags, "key", "tokens"), "counts")
     train = counts.filter("key.split = 'train'")
     n = bags.filter("split = 'train' and size(tokens) > 0").agg(F.count_distinct("day").alias("n"))
     return features.tfidf(counts, features.vocabulary(train, n, 5, 0.8, 300), n, "key").select("key.day", "key.split", "term", "w")
 
 
 @query(f"WITH {_TFIDF} SELECT day, split, term, round(w, 6) AS w FROM unit")
-def tfidf_day(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def tfidf_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit weights of the terms of each day; vocabulary and frequencies from train alone."""
-    return _weights(spark, sf_dir, text).withColumn("w", F.round("w", 6))
+    return _weights(spark, sf_dir).withColumn("w", F.round("w", 6))
 
 
 @query(f"WITH {_TFIDF}, d AS (SELECT count(DISTINCT day) AS d FROM unit WHERE split = 'train') SELECT term, round(sum(w) / d, 6) AS mean_weight FROM unit, d WHERE split = 'train' GROUP BY term, d ORDER BY mean_weight DESC, term LIMIT 20")
-def top_terms(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 terms of the largest mean weight on train."""
-    w = _weights(spark, sf_dir, text).filter("split = 'train'")
+    w = _weights(spark, sf_dir).filter("split = 'train'")
     n = w.agg(F.count_distinct("day").alias("n"))
     return w.groupBy("term").agg(F.sum("w").alias("s")).crossJoin(F.broadcast(n)).select("term", F.round(F.col("s") / F.col("n"), 6).alias("mean_weight")).orderBy(F.desc("mean_weight"), "term").limit(20)
 
@@ -399,33 +468,33 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 @query(f"""WITH {_LEX}, {_TERMS}, h AS (SELECT aligned_id, category, count(*) AS n FROM tok JOIN lex ON term = word GROUP BY 1, 2)
-SELECT a.aligned_id, {", ".join(f"round(coalesce(sum(n) FILTER (category = '{c}'), 0) / greatest(n_words, 1)::DOUBLE, 8) AS {c}" for c in LEXICON)} FROM articles_aligned a LEFT JOIN h USING (aligned_id) GROUP BY a.aligned_id, n_words""")
-def lexicon_scores(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
-    """Shares of words in each category of a lexicon."""
-    out = features.lexicon_scores(_bags(spark, sf_dir, text), F.broadcast(_lexicon(spark)), "aligned_id", "tokens", "n_words", tuple(LEXICON))
-    return out.select("aligned_id", *[F.round(c, 8).alias(c) for c in LEXICON])
+SELECT a.aligned_id, {", ".join(f"round(coalesce(sum(n) FILTER (category = '{c}'), 0) / greatest(n_words, 1)::DOUBLE, 8) AS {c}" for c in LEXICON)}, round((coalesce(sum(n) FILTER (category = 'positive'), 0) - coalesce(sum(n) FILTER (category = 'negative'), 0)) / greatest(n_words, 1)::DOUBLE, 8) AS net FROM articles_aligned a LEFT JOIN h USING (aligned_id) GROUP BY a.aligned_id, n_words""")
+def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of words in each category of a lexicon, and positive less negative."""
+    out = features.lexicon_scores(_bags(spark, sf_dir), F.broadcast(_lexicon(spark)), "aligned_id", "tokens", "n_words", tuple(LEXICON))
+    return out.select("aligned_id", *[F.round(c, 8).alias(c) for c in LEXICON], F.round(F.col("positive") - F.col("negative"), 8).alias("net"))
 
 
 @query(f"""WITH {_LEX}, v AS (SELECT word, CASE category WHEN 'negative' THEN -2.0 WHEN 'positive' THEN 2.0 ELSE -0.5 END AS x FROM lex), {_TERMS}, s AS (SELECT aligned_id, CAST(sum(x) AS DOUBLE) AS s FROM tok JOIN v ON term = word GROUP BY 1)
 SELECT a.aligned_id, round(coalesce(s / sqrt(s * s + 15), 0), 6) AS compound FROM articles_aligned a LEFT JOIN s USING (aligned_id)""")
-def valence(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def valence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squashed sums of word valences."""
     lexicon = _lexicon(spark).select("word", F.when(F.col("category") == "negative", -2.0).when(F.col("category") == "positive", 2.0).otherwise(-0.5).alias("valence"))
-    return features.valence(_bags(spark, sf_dir, text), F.broadcast(lexicon), "aligned_id", "tokens").withColumn("compound", F.round("compound", 6))
+    return features.valence(_bags(spark, sf_dir), F.broadcast(lexicon), "aligned_id", "tokens").withColumn("compound", F.round("compound", 6))
 
 
 @query(f"WITH {_TERMS}, v AS (SELECT DISTINCT term FROM tok WHERE split = 'train') SELECT split, count(*) AS tokens, count(v.term) AS known, round(count(v.term) / count(*)::DOUBLE, 6) AS coverage FROM tok LEFT JOIN v USING (term) GROUP BY 1")
-def token_coverage(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of tokens that occur in train."""
-    bags = _bags(spark, sf_dir, text)
+    bags = _bags(spark, sf_dir)
     known = bags.filter("split = 'train'").select(F.explode("tokens").alias("term")).distinct()
     return features.token_coverage(bags, known, "split", "tokens").withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"WITH {_TERMS}, a AS (SELECT DISTINCT term FROM tok WHERE split = 'train'), b AS (SELECT DISTINCT term FROM tok WHERE split = 'val'), c AS (SELECT DISTINCT term FROM tok WHERE split = 'test') SELECT (SELECT count(*) FROM (SELECT term FROM a INTERSECT SELECT term FROM b INTERSECT SELECT term FROM c)) AS in_all, (SELECT count(*) FROM (SELECT term FROM c EXCEPT SELECT term FROM a)) AS only_test, (SELECT count(*) FROM (SELECT term FROM a UNION SELECT term FROM b UNION SELECT term FROM c)) AS in_any")
-def vocabulary_sets(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def vocabulary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection, difference and union of the splits' vocabularies."""
-    terms = _bags(spark, sf_dir, text).select("split", F.explode("tokens").alias("term")).distinct()
+    terms = _bags(spark, sf_dir).select("split", F.explode("tokens").alias("term")).distinct()
     a, b, c = (terms.filter(F.col("split") == s).select("term") for s in ("train", "val", "test"))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(a.intersect(b).intersect(c), "in_all").crossJoin(n(c.subtract(a), "only_test")).crossJoin(n(a.union(b).union(c).distinct(), "in_any"))
@@ -443,27 +512,29 @@ def vector_pool_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pooled(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("x", F.round("x", 6))
 
 
-@query(f"""WITH {_TERMS}, t AS (SELECT DISTINCT term FROM tok), v AS (SELECT term, vec_id FROM (SELECT term, row_number() OVER (ORDER BY term) AS r FROM t) JOIN embeddings ON vec_id = r),
-e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)
-SELECT split, CAST(i AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM tok JOIN v USING (term) JOIN e USING (vec_id) GROUP BY 1, 2""")
-def vector_pool_token(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
-    """Mean over all known tokens of a split; unknown tokens don't count."""
-    from pyspark.sql import Window
+_NUMBER = "1 + (length(term) * 131 + ascii(term)) % 400"
 
-    bags = _bags(spark, sf_dir, text)
-    terms = bags.select(F.explode("tokens").alias("term")).distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("term")).cast("bigint"))
+
+@query(f"""WITH {_TERMS}, known AS (SELECT day, {_NUMBER} AS vec_id, count(*) AS n FROM tok WHERE length(term) >= 6 GROUP BY 1, 2), days AS (SELECT DISTINCT news_date_wib AS day FROM articles_aligned), places AS (SELECT day, CAST(i AS INT) AS i FROM days, range(64) t(i)),
+e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings), p AS (SELECT day, CAST(i AS INT) AS i, sum(n * CAST(x AS DOUBLE)) / sum(n) AS x FROM known JOIN e USING (vec_id) GROUP BY 1, 2)
+SELECT day, i, round(coalesce(x, 0), 6) + 0.0::DOUBLE AS x FROM places LEFT JOIN p USING (day, i)""")
+def vector_pool_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector per day over all known tokens; words of six letters are known, a day without any has zeros."""
+    bags = _bags(spark, sf_dir)
+    terms = bags.select(F.explode("tokens").alias("term")).filter("length(term) >= 6").distinct().withColumn("vec_id", F.expr(_NUMBER).cast("bigint"))
     vectors = table(spark, sf_dir, "embeddings").join(terms, "vec_id").select("term", F.posexplode("embedding").alias("i", "x"))
-    return features.pooled_by_token(bags, vectors.withColumn("x", F.col("x").cast("double")), "split", "tokens").withColumn("x", F.round("x", 6))
+    long = features.pooled_by_token(bags, vectors.withColumn("x", F.col("x").cast("double")), "day", "tokens")
+    return features.zero_filled(long, bags, "day", 64).withColumn("x", F.round("x", 6) + F.lit(0.0))
 
 
 @query(f"""WITH {_TERMS}, tp(topic, rank, term) AS (VALUES (1, 1, 'rupiah'), (1, 2, 'trillion'), (1, 3, 'bonds'), (2, 1, 'percent'), (2, 2, 'trade'), (2, 3, 'early')),
 p AS (SELECT a.topic, a.term AS l, b.term AS e FROM tp a JOIN tp b ON a.topic = b.topic AND a.rank > b.rank),
 s AS (SELECT topic, ln(((SELECT count(*) FROM cnt x JOIN cnt y USING (aligned_id) WHERE x.term = l AND y.term = e) + 1) / greatest((SELECT count(*) FROM cnt x WHERE x.term = l), 1)::DOUBLE) AS v FROM p)
 SELECT round(avg(m), 6) AS coherence FROM (SELECT avg(v) AS m FROM s GROUP BY topic)""")
-def umass_coherence(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
+def umass_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coherence of two given topics."""
     topics = spark.createDataFrame([(1, 1, "rupiah"), (1, 2, "trillion"), (1, 3, "bonds"), (2, 1, "percent"), (2, 2, "trade"), (2, 3, "early")], "topic int, rank int, term string")
-    doc_terms = _bags(spark, sf_dir, text).select(F.col("aligned_id").alias("id"), F.explode("tokens").alias("term")).distinct()
+    doc_terms = _bags(spark, sf_dir).select(F.col("aligned_id").alias("id"), F.explode("tokens").alias("term")).distinct()
     return features.coherence(doc_terms, topics).withColumn("coherence", F.round("coherence", 6))
 
 
@@ -482,6 +553,13 @@ def character_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", F.size(t.character_grams(F.col("source"))).cast("bigint").alias("grams"))
 
 
+@query(f"SELECT source, array_to_string(list_sort(list_distinct(list_transform(g, lambda x: CAST({_FNV.format('x')} % 50000 AS BIGINT)))), ' ') AS buckets FROM (SELECT source, list(DISTINCT g) AS g FROM (SELECT source, substr(m, CAST(i AS INT), CAST(n AS INT)) AS g FROM (SELECT DISTINCT source, '<' || source || '>' AS m FROM documents), range(3, 7) a(n), range(1, 60) b(i) WHERE i <= length(m) - n + 1) GROUP BY 1)")
+def gram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash buckets of the border-marked substrings of names."""
+    names = table(spark, sf_dir, "documents").select("source").distinct()
+    return names.select("source", F.array_join(F.array_sort(F.array_distinct(F.transform(t.character_grams(F.col("source")), lambda g: t.fnv1a(g, 50000)))), " ").alias("buckets"))
+
+
 @query("SELECT lang, doc_id, n_chars FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE lang IS NOT NULL) WHERE k <= 3")
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three longest documents of each language."""
@@ -491,18 +569,30 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang is not null").withColumn("k", k).filter("k <= 3").select("lang", "doc_id", "n_chars")
 
 
-_COS = f"""{_TERMS.replace('tok AS (', 'tok0 AS (').replace('FROM tok ', 'FROM tok0 ')}, n AS (SELECT count(*) AS n FROM articles_aligned), df AS (SELECT term, count(*) AS df FROM cnt GROUP BY 1),
-w AS (SELECT aligned_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM cnt JOIN df USING (term), n), u AS (SELECT aligned_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY aligned_id)) AS w FROM w)"""
+_COS = f"""{_TERMS.replace('tok AS (', 'tok0 AS (').replace('FROM tok ', 'FROM tok0 ')}, n AS (SELECT count(*) AS n FROM articles_aligned), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM cnt GROUP BY 1 ORDER BY total DESC, term LIMIT 50000),
+w AS (SELECT aligned_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM cnt JOIN df USING (term), n), u AS (SELECT aligned_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY aligned_id)) AS w FROM w),
+near AS (SELECT a.aligned_id AS a, b.aligned_id AS b FROM u a JOIN u b ON a.term = b.term AND a.aligned_id < b.aligned_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9)"""
 
 
-@query(f"WITH {_COS} SELECT a.aligned_id AS a, b.aligned_id AS b FROM u a JOIN u b ON a.term = b.term AND a.aligned_id < b.aligned_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9")
-def near_dup_cosine(spark: SparkSession, sf_dir: str, text=_ascii) -> DataFrame:
-    """Pairs of articles of a cosine of 0.9 or more, exact by prefix filtering."""
-    bags = _bags(spark, sf_dir, text)
-    counts = features.term_counts(bags, "aligned_id", "tokens")
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bags = _bags(spark, sf_dir)
+    # Tokens are made once; frequencies, weights and vectors are all taken from the counts.
+    counts = cut(features.term_counts(bags, "aligned_id", "tokens"), "counts")
     n = bags.agg(F.count(F.lit(1)).alias("n"))
-    weights = features.tfidf(counts, features.document_frequency(counts), n, "aligned_id").withColumnRenamed("aligned_id", "id")
-    return joins.similar_earlier(weights).select("a", "b")
+    weights = features.tfidf(counts, features.vocabulary(counts, n, size=50_000), n, "aligned_id").withColumnRenamed("aligned_id", "id")
+    return joins.similar_earlier(cut(weights, "weights"))
+
+
+@query(f"WITH {_COS} SELECT a, b FROM near")
+def near_dup_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles of a cosine of 0.9 or more over the 50,000 most frequent terms, exact by prefix filtering."""
+    return _near(spark, sf_dir).select("a", "b")
+
+
+@query(f"WITH {_COS} SELECT aligned_id FROM articles_aligned WHERE aligned_id NOT IN (SELECT b FROM near)")
+def near_dup_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that resemble no earlier one."""
+    return joins.without_similar(table(spark, sf_dir, "articles_aligned").select("aligned_id"), _near(spark, sf_dir), "aligned_id")
 
 
 @query("SELECT coalesce(source, 'all') AS source, coalesce(lang, 'all') AS lang, n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY GROUPING SETS ((source, lang), (source), ()))")
@@ -510,27 +600,3 @@ def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per source and language with totals."""
     out = table(spark, sf_dir, "documents").filter("lang is not null").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "n")
-
-
-#: Queries that read ASCII alone for their SQL; each is registered over the stored text too.
-ASCII_QUERIES = (
-    word_count,
-    clean_paragraphs,
-    bow_tokens,
-    lemma_rules,
-    classical_clean,
-    preserved_entities,
-    sentences,
-    doc_freq,
-    vocab_topk,
-    tfidf_day,
-    top_terms,
-    lexicon_scores,
-    valence,
-    token_coverage,
-    vocabulary_sets,
-    vector_pool_token,
-    umass_coherence,
-    near_dup_cosine,
-)
-QUERIES |= {f"{fn.__name__}_whole": partial(fn, text=_stored) for fn in ASCII_QUERIES}
