@@ -173,17 +173,109 @@ def test_sources(spark, tmp_path):
 
 
 def test_page_fields():
-    page = '<title>T &amp; U</title><time datetime="2024-01-01"></time><a class="Author-authorName">N</a><nav><p>menu</p></nav><article><p>One</p><p>Two</p><p>One</p></article><p>Out</p><script type="application/ld+json">{"a": 1}</script>'
-    assert files.page_fields(page) == ("T & U", "2024-01-01", "N", "One\nTwo", '{"a": 1}')
-    assert files.page_fields(None) == files.page_fields(" ") == (None,) * 5
+    page = '<title>T &amp; U</title><time datetime="2024-01-01"></time><a class="Author-authorName">N</a><a class="Author-authorName">M</a><nav><p>menu</p></nav><article><p>One</p><p>Two</p><p>One</p></article><p>Out</p><script type="application/ld+json">{"a": 1}</script>'
+    assert files.page_fields(page) == ("T & U", "2024-01-01", "N", "One\nTwo\nOne", ['{"a": 1}'], None, "One\nTwo")
+    assert files.page_fields(None) == files.page_fields(" ") == (None,) * 7
+    assert files.page_fields("<title>&amp;lt;b</title>")[0] == "&lt;b"
+
+
+def test_inner_elements_close_nothing_but_themselves():
+    main = '<div class="ArticleBody-main"><p>one</p><div><p>two</p></div><p>three</p></div><div><p>side</p></div>'
+    assert files.page_fields(main)[3] == "one\ntwo\nthree" and files.page_fields(main)[6] == "one\ntwo\nthree"
+    assert files.page_fields('<div class="ArticleBody-main"><div><p>two</p></div><p>three</p></div><aside><p>side</p></aside>')[3] == "two\nthree"
+    assert files.page_fields("<p>one<p>two <b>bold</b><br>more")[3] == "one\ntwo bold more"
+
+
+def test_article_text_takes_the_most_specific_place_of_three():
+    page = "<div class='article-content x'><p>a</p><p>b</p></div><article><p>c</p><p>d</p><p>c</p></article>"
+    assert files.page_fields(page)[6] == "c\nd"
+    assert files.page_fields("<article><p>c</p><p>d</p></article>")[6] is None
 
 
 def test_linked_articles(spark):
-    rows = [(1, '{"@type": "NewsArticle", "headline": "H", "datePublished": "D", "author": {"name": "A"}}'), (2, '[{"@type": ["Article"], "headline": "I", "author": [{"name": "A"}, {"name": "B"}]}]'), (3, "{broken"), (4, '{"@type": "Thing"}')]
-    got = {r["id"]: (r["headline"], r["authors"]) for r in files.linked_articles(spark.createDataFrame(rows, "id int, s string"), "s").collect()}
-    assert got == {1: ("H", "A"), 2: ("I", "A, B")}
+    rows = [
+        (1, ['{"@type": "NewsArticle", "headline": "H", "datePublished": "D", "author": {"name": "A"}}'], "x"), (2, ['[{"@type": ["Article"], "headline": "I", "author": [{"name": "A"}, {"name": "B"}]}]'], "x"),
+        (3, ["{broken"], "heading"), (4, ['{"@type": "Thing"}'], None), (5, ['{"@type": "WebPage"}', "{broken", '{"@type": "NewsArticle", "headline": "J"}'], "x"),
+        (6, ['[{"@type": "WebPage"}, {"@type": "NewsArticle", "headline": "K", "articleBody": " body "}]'], "x"), (7, [], None), (8, None, None),
+    ]
+    out = files.linked_articles(spark.createDataFrame(rows, "id int, s array<string>, h string"), "s", "h").collect()
+    got = {r["id"]: (r["headline"], r["authors"]) for r in out}
+    assert got == {1: ("H", "A"), 2: ("I", "A, B"), 3: ("heading", None), 4: (None, None), 5: ("J", None), 6: ("K", None), 7: (None, None), 8: (None, None)}
+    assert next(r for r in out if r["id"] == 6)["article_body"] == "body"
 
 
 def test_columns_in_numeric_order(spark):
     df = spark.createDataFrame([(1, 2, 3)], "x_10 int, x_2 int, x_a int")
     assert models.columns_of(df, "x_") == ["x_2", "x_10"]
+
+
+def test_keep_first_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "id int, k string")
+    assert sorted(r[0] for r in joins.keep_first(df, ["k"], ["id"]).collect()) == [1, 3, 4, 5]
+    plan = joins.keep_first(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_small_relational_operators(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "b", "y")], "id int, v string, w string")
+    other = spark.createDataFrame([(1, "a", 7), (3, "c", 8)], "id int, v string, extra int")
+    assert sorted(map(tuple, joins.repaired(df, other, ["id"]).select("id", "v", "w", "extra").collect())) == [(1, "a", "x", 7), (2, "b", "y", None)]
+    numbered = joins.numbered_features(df.select("id"), other.select("id", F.lit(5).alias("some"), "extra"), "id")
+    assert numbered.columns == ["id", "emb_1", "emb_2"] and sorted(map(tuple, numbered.collect())) == [(1, 5.0, 7.0), (2, 0.0, 0.0)]
+    union = joins.tagged_union({"p": df.select("id"), "q": other.select("extra")})
+    assert union.count() == 4 and union.filter("id is null").count() == 2
+    assert [r["w"] for r in joins.in_order(df, "w", ("y", "x")).collect()] == ["y", "x"]
+    assert joins.seeded_sample(df, "id", 1).collect() == joins.seeded_sample(df, "id", 1).collect()
+
+
+def test_feature_groups(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "lm_net_mean double, tfidf_svd_10 double, tfidf_svd_2 double, emb_1 double")
+    assert models.feature_group(df, "basic", ("r",)) == ["r", "lm_net_mean", "tfidf_svd_2", "tfidf_svd_10"]
+    assert models.feature_group(df, "both", ())[-1] == "emb_1" and models.feature_group(df, "none", ("r",)) == ["r"]
+    with pytest.raises(ValueError):
+        models.feature_group(df.drop("emb_1"), "embedding")
+
+
+def test_packed_vectors(spark, tmp_path):
+    import zipfile
+
+    raw = files.binary_vectors([("x", [1.0, 2.0]), ("naïve", [3.0, -4.5])])
+    (tmp_path / "v.bin").write_bytes(raw)
+    with zipfile.ZipFile(tmp_path / "v.zip", "w") as z:
+        z.writestr("inner.txt", "2 2\nx 1 2\ny 3 4\n")
+    assert {r[0]: list(r[1]) for r in files.read_packed_vectors(spark, str(tmp_path / "v.bin"), 2).collect()} == {"x": [1.0, 2.0], "naïve": [3.0, -4.5]}
+    cache = str(tmp_path / "cache")
+    needed = spark.createDataFrame([("y",)], "term string")
+    assert [r[0] for r in files.read_packed_vectors(spark, str(tmp_path / "v.zip"), 2, needed, cache=cache).collect()] == ["y"]
+    assert files.read_packed_vectors(spark, "nowhere", 2, cache=cache).count() == 2
+    with pytest.raises(Exception, match="numbers"):
+        files.read_packed_vectors(spark, str(tmp_path / "v.bin"), 3).collect()
+    (tmp_path / "t.txt").write_text("x 1 2\ny 1\n")
+    with pytest.raises(contracts.ContractError):
+        files.read_vectors(spark, str(tmp_path / "t.txt"), 2, strict=True)
+
+
+def test_clean_outputs_deletes_what_is_listed(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+    assert files.clean_outputs(spark, str(tmp_path), ("a", "c")) == ["a"]
+    assert not (tmp_path / "a").exists() and (tmp_path / "b").exists()
+    for bad in ("../x", "/etc", ""):
+        with pytest.raises(contracts.ContractError):
+            files.clean_outputs(spark, str(tmp_path), (bad,))
+
+
+def test_feeds_and_pages_never_raise(spark, tmp_path):
+    from tidewire.sources import web
+
+    (tmp_path / "f.xml").write_text('<rss><channel><item><title>T</title><link>L</link><source url="u">S</source></item></channel></rss>')
+    (tmp_path / "bad.xml").write_text("<rss>")
+    found = web.read_feeds(spark, [f"file://{tmp_path}/{n}" for n in ("f.xml", "bad.xml", "none.xml")]).collect()
+    assert [tuple(r)[:5] for r in found] == [("T", "L", None, "S", "u")]
+    assert web.read_feeds(spark, []).count() == 0
+    (tmp_path / "p.html").write_text("<h1>Head</h1><article>" + "<p>" + "</p><p>".join(f"paragraph {i} " + "word " * 30 for i in range(4)) + "</p></article>")
+    (tmp_path / "s.html").write_text("<p>short</p>")
+    rows = {r["url"].rsplit("/", 1)[1]: r for r in web.read_pages(spark, [f"file://{tmp_path}/{n}" for n in ("p.html", "s.html", "none.html")]).collect()}
+    assert rows["p.html"]["status"] == "success" and rows["p.html"]["title"] == "Head" and rows["p.html"]["error"] is None
+    assert rows["s.html"]["status"] == "failed" and "short" in rows["s.html"]["error"]
+    assert rows["none.html"]["status"] == "failed" and rows["none.html"]["body"] is None

@@ -30,9 +30,9 @@ def topics(docs: DataFrame, key: str, tokens: str, k: int = 8, iterations: int =
     return out, terms
 
 
-def word_vectors(docs: DataFrame, tokens: str, dims: int = 100, window: int = 5, least: int = 2, seed: int = 42):
-    """A skip-gram model; the vectors of its words are a table."""
-    return Word2Vec(vectorSize=dims, windowSize=window, minCount=least, maxIter=1, numPartitions=1, seed=seed, inputCol=tokens, outputCol="vector").fit(docs)
+def word_vectors(docs: DataFrame, tokens: str, dims: int = 100, window: int = 5, least: int = 2, seed: int = 42, iterations: int = 5, partitions: int = 1):
+    """A skip-gram model; the vectors of its words are a table. With more ``partitions`` parts of the texts are trained by themselves and averaged after each iteration."""
+    return Word2Vec(vectorSize=dims, windowSize=window, minCount=least, maxIter=iterations, numPartitions=partitions, seed=seed, inputCol=tokens, outputCol="vector").fit(docs)
 
 
 def reduced(df: DataFrame, vector: str, k: int, fit_on: str = "true") -> DataFrame:
@@ -72,8 +72,8 @@ def boosted_probabilities(df: DataFrame, features: list[str], label: str, labels
     columns = []
     for i, name in enumerate(labels):
         fit = rows.filter(F.col(split).isin("train", "val")).withColumn("_y", (F.col(label) == name).cast("double")).withColumn("_val", F.col(split) == "val")
-        model = GBTClassifier(featuresCol="_x", labelCol="_y", validationIndicatorCol="_val", maxIter=rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed, rawPredictionCol="_r", probabilityCol="_p", predictionCol="_q").fit(fit)
-        rows = model.transform(rows).withColumn(f"_c{i}", vector_to_array("_p")[1]).drop("_r", "_p", "_q")
+        model = GBTClassifier(featuresCol="_x", labelCol="_y", validationIndicatorCol="_val", maxIter=rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(fit)
+        rows = model.transform(rows).withColumn(f"_c{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         columns.append(f"_c{i}")
     total = sum((F.col(c) for c in columns), F.lit(0.0))
     return rows.withColumn("probabilities", F.array(*[F.col(c) / total for c in columns])).drop("_x", *columns)
@@ -91,3 +91,116 @@ def columns_of(df: DataFrame, prefix: str) -> list[str]:
     """Columns of a prefix with a numeric suffix, in order of the number."""
     found = [c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
     return sorted(found, key=lambda c: int(c[len(prefix) :]))
+
+
+def choose_topics(docs: DataFrame, key: str, tokens: str, candidates: tuple[int, ...] = (8, 10, 12, 15), fit_on: str = "true", top: int = 10, **options) -> tuple[int, DataFrame]:
+    """The number of topics with the highest UMass coherence, the smallest of equal ones, and ``k, coherence`` of every candidate."""
+    from tidewire.operators.features import coherence
+
+    doc_terms = docs.filter(fit_on).select(F.col(key).alias("id"), F.explode(tokens).alias("term")).distinct()
+    out = None
+    for k in candidates:
+        _, terms = topics(docs, key, tokens, k=k, fit_on=fit_on, **options)
+        one = coherence(doc_terms, terms.filter(F.col("rank") < top)).select(F.lit(k).alias("k"), "coherence")
+        out = one if out is None else out.unionByName(one)
+    scored = docs.sparkSession.createDataFrame(out.collect(), out.schema)
+    best = scored.orderBy(F.desc_nulls_last("coherence"), "k").first()
+    return best["k"], scored
+
+
+def truncated_svd(weights: DataFrame, key: str, k: int = 50, fit_on: str = "true") -> tuple[DataFrame, DataFrame]:
+    """``(documents, values)`` of the uncentred decomposition of ``weights (key, term, w)``.
+
+    ``documents (key, svd)`` has the first ``min(k, terms - 1)`` coordinates of
+    each key that has a term, ``values (i, value)`` the singular values; both
+    are fitted on the rows of ``fit_on``. The vocabulary is bounded by the caller.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.sql import Window
+
+    spark = weights.sparkSession
+    terms = weights.filter(fit_on).select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)
+    size = terms.count()
+    k = min(k, size - 1)
+    if k < 1:
+        return weights.select(key, F.array().cast("array<double>").alias("svd")).limit(0), spark.createDataFrame([], "i int, value double")
+    placed = weights.join(terms, "term")
+    rows = placed.filter(fit_on).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("v")).select("v").rdd.map(lambda r: Vectors.sparse(size, [(x["i"], x["w"]) for x in r["v"]]))
+    found = RowMatrix(rows, numCols=size).computeSVD(k)
+    axes = found.V.toArray()
+    # Axes have no sign of their own: the largest coordinate is made positive.
+    axes = axes * [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in axes.T]
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(axes)], "i int, axis array<double>")
+    each = placed.join(F.broadcast(table), "i").select(key, "w", F.posexplode("axis").alias("j", "x")).groupBy(key, "j").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    out = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("svd"))
+    return out, spark.createDataFrame([(i, float(x)) for i, x in enumerate(found.s)], "i int, value double")
+
+
+def widened(df: DataFrame, vector: str, prefix: str, dims: int, first: int = 1) -> DataFrame:
+    """An array column as numbered columns; zeros for null."""
+    return df.select(*[c for c in df.columns if c != vector], *[F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)).cast("double").alias(f"{prefix}{i + first}") for i in range(dims)])
+
+
+#: Columns of the series and of the lexicon scores that models use.
+SERIES_FEATURES = ("log_return", "ret_lag1", "ret_lag2", "ret_std5")
+
+
+def feature_group(df: DataFrame, group: str, series: tuple[str, ...] = SERIES_FEATURES) -> list[str]:
+    """Columns of a feature group: ``none, basic, embedding, both``; an error if it needs columns that the table lacks."""
+    lexicon = [c for c in df.columns if c.startswith(("valence_", "lm_")) or c in ("n_articles", "no_news")]
+    basic, embedded = lexicon + columns_of(df, "tfidf_svd_"), columns_of(df, "emb_")
+    if group not in ("none", "basic", "embedding", "both"):
+        raise ValueError("group is none, basic, embedding or both")
+    if group in ("embedding", "both") and not embedded:
+        raise ValueError("the table has no emb_ columns")
+    return [*series, *({"none": [], "basic": basic, "embedding": embedded, "both": basic + embedded}[group])]
+
+
+def early_fusion(df: DataFrame, group: str, label: str, labels: tuple[str, ...], delta: str, today: str, rounds: int = 20, boosted: bool = False) -> DataFrame:
+    """``y_pred_clf, y_pred_reg`` of one model of each task over the series and a group of text columns, fitted on train."""
+    columns = feature_group(df, group)
+    rows = df.dropna(subset=[*columns, label, delta])
+    if boosted:
+        best = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position("probabilities", F.array_max("probabilities")).cast("int"))
+        clf = boosted_probabilities(rows, columns, label, labels, rounds=rounds).withColumn("y_pred", best)
+    else:
+        clf = three_class(rows, columns, label, labels)
+    reg, _ = boosted_delta(clf.withColumnRenamed("y_pred", "y_pred_clf"), columns, delta, today, rounds=rounds)
+    return reg.withColumnRenamed("y_pred", "y_pred_reg")
+
+
+def ablation(df: DataFrame, variants: dict[str, list[str]], label: str, labels: tuple[str, ...], split: str = "split") -> DataFrame:
+    """``variant, split, features, accuracy, macro_f1`` of the same forest over several lists of columns."""
+    from tidewire.operators.metrics import classification, confusion
+
+    out = None
+    for name, columns in variants.items():
+        rows = three_class(df.dropna(subset=columns), columns, label, labels, split).filter(F.col(split) != "train")
+        scores = classification(confusion(rows, label, "y_pred", labels, (split,)), (split,)).select(F.lit(name).alias("variant"), split, F.lit(len(columns)).alias("features"), "accuracy", "macro_f1")
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+def categories(df: DataFrame, first: str, second: str, least_first: float = 0.15, least_second: float = 0.15) -> DataFrame:
+    """Adds ``category``: 1 if both scores reach their thresholds, 2 the first alone, 3 the second alone, 4 neither."""
+    a, b = F.col(first) >= least_first, F.col(second) >= least_second
+    return df.withColumn("category", F.when(a & b, 1).when(a, 2).when(b, 3).otherwise(4))
+
+
+def encoded(df: DataFrame, text: str, make_predict, dims: int, batch: int = 8) -> DataFrame:
+    """Adds ``embedding`` by a model that is loaded once per worker and given batches of texts.
+
+    ``make_predict()`` returns a function from an array of texts to a
+    two-dimensional array; any encoder fits.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    return df.withColumn("embedding", predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch)(F.coalesce(text, F.lit(""))))
+
+
+def masked_mean(states, mask):
+    """Mean of token states where the mask is set; a text without tokens has zeros."""
+    weights = mask[..., None].astype(states.dtype)
+    return (states * weights).sum(axis=1) / weights.sum(axis=1).clip(min=1e-9)
