@@ -101,3 +101,10 @@ def test_empty_and_clashing_columns(spark):
     assert TimestampDictionary(spark).normalise(with_site_clock(df, clocks, "id", "url", "raw"), "id").count() == 0
     one = spark.createDataFrame([(1, "HTTPS://WWW.A.example/x", "2024-01-05", "x", "y")], df.schema)
     assert TimestampDictionary(spark).normalise(with_site_clock(one, clocks, "id", "url", "raw"), "id").count() == 1
+
+
+def test_long_strings_are_parsed_like_short_ones(spark):
+    raw = [" " * 500 + "2024-01-05T10:00:00Z" + "\t" * 200, "2024-01-05T10:00:00." + "1" * 300 + "Z", "word " * 100_000, "9" * 50_000]
+    entries = spark.createDataFrame([(r, "UTC", False) for r in raw], "raw string, zone_name string, day_first boolean")
+    got = {r["raw"]: r["instant_us"] for r in parse_dictionary(entries).collect()}
+    assert got[raw[0]] == 1704448800000000 and got[raw[1]] == 1704448800111111 and got[raw[2]] is None and got[raw[3]] is None

@@ -51,8 +51,6 @@ STYLES = (
     ("slashes", r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK + "$", (3, 2, 1, 4, 5, 6, 7, 8, 9)),
     ("slashes, year first", r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK + "$", (1, 2, 3, 4, 5, 6, 7, 8, 9)),
 )
-#: No style is longer; a longer string is no time and isn't matched.
-LONGEST = 120
 _COUNT = r"^[+-]?\d{9,20}(?:\.\d+)?$"
 _DAY_US = 86_400_000_000
 
@@ -105,7 +103,7 @@ def parse_dictionary(entries: DataFrame) -> DataFrame:
     of the instant if the string has a zone or is a count). A local time that
     occurs twice is its first occurrence; a skipped one moves forward.
     """
-    step = _once(entries, _s=F.lower(squeeze(F.when(F.length(F.trim("raw")) <= LONGEST, F.col("raw")))))
+    step = _once(entries, _s=F.lower(squeeze(F.col("raw"))))
     step = _once(step, _p=_parts(F.col("_s"), F.coalesce("day_first", F.lit(False))))
     month = F.coalesce(F.col("_p.mo").try_cast("int"), _lookup(MONTHS, F.substring("_p.mo", 1, 3)))
     hour = F.coalesce(F.col("_p.h").try_cast("int"), F.lit(0))
