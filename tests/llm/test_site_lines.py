@@ -39,3 +39,13 @@ def test_bodies_without_lines(spark):
 
 def test_empty_table(spark):
     assert site_lines.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_documents_in_one_range(spark, monkeypatch):
+    """Containers of offsets and of bits stand side by side and count alike."""
+    rows = [(i, "https://a.example/", "Share this\n" + ("share  THIS" if i % 3 else f"own {i % 40}"), "", "") for i in range(300)] + [(40_000 + i, "https://a.example/", "share this", "", "") for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for sparse in (2048, 50, 0):
+        monkeypatch.setattr(site_lines, "SPARSE", sparse)
+        for least in (3, 100, 304, 305):
+            assert {tuple(r) for r in site_lines.repeated_lines(df, least=least).collect()} == brute(rows, least), (sparse, least)

@@ -1,9 +1,11 @@
 """Lines that one site repeats across its documents (problem 3).
 
-Every distinct spelling of a line keeps its documents as bitmaps, one bitmap
-of 32,768 bits per range of document keys. The bitmaps of spellings that differ
-only in case or white space are united, cardinalities are counted exactly, and
-a line of a document goes if its bit is set in a bitmap above the threshold.
+Every distinct spelling of a line keeps its documents as compressed bitmaps:
+one container per range of 32,768 document keys, which holds sorted offsets
+while they are few and plain bits beyond. The containers of spellings that
+differ only in case or white space are united, cardinalities are counted
+exactly, and a line of a document goes if its bit is set in a bitmap above the
+threshold.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from tidewire.runtime import cut
 
 #: Bits of one bitmap; fixed by bitmap_construct_agg.
 CHUNK = 32768
+#: Occurrences of a line in one range up to which its container holds offsets.
+SPARSE = 2048
 KEY = ("site", "k1", "k2")
 
 
@@ -35,9 +39,18 @@ def _bit(key: Column) -> Column:
 
 
 def line_bitmaps(occurrences: DataFrame) -> DataFrame:
-    """``site, k1, k2, chunk, bits``: the united bitmaps of all spellings of each line."""
-    by_variant = occurrences.groupBy(*KEY, "variant", _chunk(F.col("doc_key")).alias("chunk")).agg(F.expr(f"bitmap_construct_agg(pmod(doc_key, {CHUNK}))").alias("bits"))
-    return by_variant.groupBy(*KEY, "chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+    """``site, k1, k2, chunk, offsets, bits`` of ``occurrences`` with a column ``n``, how many there are in the range: the united bitmaps of all spellings of each line."""
+    offset = F.pmod("doc_key", F.lit(CHUNK)).cast("int")
+    few = occurrences.filter(F.col("n") <= SPARSE).groupBy(*KEY, "variant", "chunk").agg(F.collect_set(offset).alias("o"))
+    few = few.groupBy(*KEY, "chunk").agg(F.array_distinct(F.flatten(F.collect_list("o"))).alias("o")).select(*KEY, "chunk", F.array_sort("o").alias("offsets"), F.lit(None).cast("binary").alias("bits"))
+    many = occurrences.filter(F.col("n") > SPARSE).groupBy(*KEY, "variant", "chunk").agg(F.expr(f"bitmap_construct_agg(pmod(doc_key, {CHUNK}))").alias("bits"))
+    many = many.groupBy(*KEY, "chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).select(*KEY, "chunk", F.lit(None).cast("array<int>").alias("offsets"), "bits")
+    return few.unionByName(many)
+
+
+def cardinality() -> Column:
+    """Documents of a container."""
+    return F.when(F.col("bits").isNull(), F.size("offsets").cast("bigint")).otherwise(F.expr("bitmap_count(bits)"))
 
 
 def repeated_lines(df: DataFrame, doc: str = "article_id", url: str = "url", body: str = "body", least: int = 10) -> DataFrame:
@@ -47,17 +60,19 @@ def repeated_lines(df: DataFrame, doc: str = "article_id", url: str = "url", bod
     here; an empty table gives an empty result; other columns of ``df`` are
     ignored, whatever their names. The same key twice counts as one document.
     """
-    occurrences = lines_of(df, doc, url, body)
+    # Bodies are taken apart once.
+    occurrences = cut(lines_of(df, doc, url, body).withColumn("chunk", _chunk(F.col("doc_key"))), "occurrences")
     # A line with fewer occurrences than the threshold can't have enough documents.
     frequent = cut(occurrences.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(*KEY), "frequent")
     kept = cut(occurrences.join(frequent, list(KEY), "left_semi"), "repeated")
-    bitmaps = cut(line_bitmaps(kept), "bitmaps")
-    enough = bitmaps.groupBy(*KEY).agg(F.sum(F.expr("bitmap_count(bits)")).alias("docs")).filter(F.col("docs") >= least)
-    found = bitmaps.join(enough.select(*KEY), list(KEY), "left_semi")
     # The chunk is part of the key: a line in a third of all documents is spread over all chunks.
-    looked_up = kept.withColumn("chunk", _chunk(F.col("doc_key"))).join(found, [*KEY, "chunk"])
+    sizes = cut(kept.groupBy(*KEY, "chunk").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    bitmaps = cut(line_bitmaps(kept.join(sizes, [*KEY, "chunk"])), "bitmaps")
+    enough = bitmaps.groupBy(*KEY).agg(F.sum(cardinality()).alias("docs")).filter(F.col("docs") >= least)
+    found = bitmaps.join(enough.select(*KEY), list(KEY), "left_semi")
+    looked_up = kept.join(found, [*KEY, "chunk"])
     byte = F.conv(F.hex(F.substring("bits", (_bit(F.col("doc_key")) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    is_set = F.getbit(byte, (_bit(F.col("doc_key")) % 8).cast("int")) == 1
+    is_set = F.when(F.col("bits").isNull(), F.array_contains("offsets", _bit(F.col("doc_key")).cast("int"))).otherwise(F.getbit(byte, (_bit(F.col("doc_key")) % 8).cast("int")) == 1)
     return looked_up.filter(is_set).select("doc_key", "line_no").distinct()
 
 
