@@ -98,7 +98,7 @@ class _Words(dict):
 
     def __init__(self, site: str):
         super().__init__()
-        name = site.split(".")[0]
+        self.site, name = site, site.split(".")[0]
         self.stem = name if len(name) >= 4 else ""
 
     def __missing__(self, word: str) -> int:
@@ -170,11 +170,11 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 4000):
             part = batch.iloc[at : at + 4000]
-            places = list(zip(part["site"], part["salt"], strict=True))
+            places = list(zip(part["host"].tolist(), part["salt"].tolist(), strict=True))
             names = {p: i for i, p in enumerate(dict.fromkeys(places))}
             place_no, mark, gram, title, around = [], [], [], [], []
-            for place, key, head, body in zip(places, part["key"], part["title"], part["body"], strict=True):
-                words = hosts[place[0]]
+            for place, site, key, head, body in zip(places, part["site"], part["key"], part["title"], part["body"], strict=True):
+                words = hosts[site]
                 for flag, found in ((0, _of_body(body, words)), (1, dict.fromkeys(pairs_of([clean(head)], words)[0].tolist(), 0) if head else {})):
                     gram.append(np.fromiter(found, np.int64, len(found)))
                     around.append(np.fromiter(found.values(), np.uint64, len(found)).view(np.int64))
@@ -189,15 +189,15 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gram, place_no, mark, title, around = gram[order], place_no[order], mark[order], title[order], around[order]
             first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (place_no[1:] != place_no[:-1])]))
             titles = np.add.reduceat(title, first)
-            known = list(names)
+            known = np.array(list(names), np.int64)[place_no[first]]
             yield pd.DataFrame({
-                "site": [known[i][0] for i in place_no[first]], "salt": [known[i][1] for i in place_no[first]], "gram": gram[first],
+                "host": known[:, 0], "salt": known[:, 1].astype(np.int32), "gram": gram[first],
                 "n": np.diff(np.append(first, len(gram))) - titles, "titles": titles,
                 "fp": np.bitwise_xor.reduceat(mark, first), "around": np.bitwise_or.reduceat(around, first),
             })
 
 
-_TOKENS = "site string, salt int, gram bigint, n bigint, titles bigint, fp bigint, around bigint"
+_TOKENS = "host bigint, salt int, gram bigint, n bigint, titles bigint, fp bigint, around bigint"
 
 
 def _pages(df: DataFrame, key: str, url: str, title: str, body: str) -> DataFrame:
@@ -205,23 +205,24 @@ def _pages(df: DataFrame, key: str, url: str, title: str, body: str) -> DataFram
     pages = df.select(F.col(key).alias("key"), site_of(F.col(url)).alias("site"), F.col(title).alias("title"), F.col(body).alias("body")).filter("site is not null and body is not null")
     # As a table its size is known, so that few hosts are broadcast and many shuffled.
     sizes = cut(pages.groupBy("site").agg(F.ceil(F.sum(F.length("body")) / PART).cast("int").alias("salts")), "sites")
-    return pages.join(sizes, "site").select("key", "site", F.pmod(F.xxhash64("key"), F.greatest("salts", F.lit(1))).cast("int").alias("salt"), "title", "body")
+    # Tables of tokens name a host by a hash of 64 bits.
+    return pages.join(sizes, "site").select("key", "site", F.xxhash64("site").alias("host"), F.pmod(F.xxhash64("key"), F.greatest("salts", F.lit(1))).cast("int").alias("salt"), "title", "body")
 
 
 def occurrence_classes(pages: DataFrame) -> DataFrame:
-    """``site, salt, gram, n, titles, seen, class, size`` of every token that recurs on its host.
+    """``host, salt, gram, n, titles, seen, class, size`` of every token that recurs on its host.
 
     ``n`` and ``titles`` count pages and titles of the whole host, ``seen`` the
     different surroundings of a whole line, ``class`` names the equivalence
     class and ``size`` its tokens.
     """
     sums = (F.sum("n").alias("n"), F.sum("titles").alias("titles"), F.expr("bit_xor(fp)").alias("fp"), F.expr("bit_or(around)").alias("around"))
-    parts = cut(pages.mapInPandas(_occurrences, _TOKENS).groupBy("site", "salt", "gram").agg(*sums), "grams")
-    hosts = parts.groupBy("site", "gram").agg(*sums).filter((F.col("n") > 1) | (F.col("titles") >= SUPPORT))
+    parts = cut(pages.mapInPandas(_occurrences, _TOKENS).groupBy("host", "salt", "gram").agg(*sums), "grams")
+    hosts = parts.groupBy("host", "gram").agg(*sums).filter((F.col("n") > 1) | (F.col("titles") >= SUPPORT))
     hosts = cut(hosts.withColumn("class", F.xxhash64("n", "titles", "fp")), "hosts")
-    sizes = hosts.filter(F.col("n") >= SUPPORT).groupBy("site", "class").agg(F.count(F.lit(1)).alias("size"))
-    known = hosts.join(sizes, ["site", "class"], "left").select("site", "gram", "n", "titles", F.bit_count("around").alias("seen"), "class", F.coalesce("size", F.lit(1)).alias("size"))
-    return parts.select("site", "salt", "gram").join(known, ["site", "gram"])
+    sizes = hosts.filter(F.col("n") >= SUPPORT).groupBy("host", "class").agg(F.count(F.lit(1)).alias("size"))
+    known = hosts.join(sizes, ["host", "class"], "left").select("host", "gram", "n", "titles", F.bit_count("around").alias("seen"), "class", F.coalesce("size", F.lit(1)).alias("size"))
+    return parts.select("host", "salt", "gram").join(known, ["host", "gram"])
 
 
 _NONE = (0, 0, 0, 0, 0)
@@ -230,8 +231,8 @@ _NONE = (0, 0, 0, 0, 0)
 class _Examiner:
     """Marks the lines of pages and checks the classes on them, by the tokens ``gram: (n, titles, seen, class, size)`` of one part of a host."""
 
-    def __init__(self, site: str):
-        self.words, self.known = _Words(site), {}
+    def __init__(self):
+        self.words, self.known = _Words(""), {}
         self.classes: dict[tuple[int, int, int], list[int]] = {}
 
     def lines(self, body: str) -> list[tuple[int, int | None, int | None, bool, int]]:
@@ -291,7 +292,7 @@ class _Examiner:
         return out
 
 
-_EXAMINED = "site string, key string, line_no int, frame bigint, class bigint, whole boolean, marks int, word_order bigint, parent bigint, n bigint, crossed bigint"
+_EXAMINED = "host bigint, key string, line_no int, frame bigint, class bigint, whole boolean, marks int, word_order bigint, parent bigint, n bigint, crossed bigint"
 
 
 def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,23 +301,25 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         lines, classes = [], []
 
-        def drain(site: str, examiner: _Examiner, classes: list = classes) -> None:
-            classes += [(site, c, order, parent, n, crossed) for (c, order, parent), (n, crossed) in examiner.drain().items()]
+        def drain(host: int, examiner: _Examiner, classes: list = classes) -> None:
+            classes += [(host, c, order, parent, n, crossed) for (c, order, parent), (n, crossed) in examiner.drain().items()]
 
-        columns = ("site", "salt", "key", "body", "gram", "n", "titles", "seen", "class", "size")
-        for site, salt, key, body, gram, n, titles, seen, cls, size in zip(*(batch[c].tolist() for c in columns), strict=True):
-            if (site, salt) != place:
+        columns = ("host", "salt", "site", "key", "body", "gram", "n", "titles", "seen", "class", "size")
+        for host, salt, site, key, body, gram, n, titles, seen, cls, size in zip(*(batch[c].tolist() for c in columns), strict=True):
+            if (host, salt) != place:
                 if at:
                     drain(place[0], at)
-                place, at = (site, salt), _Examiner(site)
+                place, at = (host, salt), _Examiner()
+            if site is not None and site != at.words.site:
+                at.words = _Words(site)
             if body is None:
                 at.known[int(gram)] = (int(n), int(titles), int(seen), int(cls), int(size))
             else:
-                lines += [(site, key, *row) for row in at.lines(body)]
+                lines += [(host, key, *row) for row in at.lines(body)]
         if at:
             drain(place[0], at)
         yield pd.DataFrame({
-            "site": [x[0] for x in lines] + [x[0] for x in classes],
+            "host": [x[0] for x in lines] + [x[0] for x in classes],
             "key": pd.Series([x[1] for x in lines] + [None] * len(classes), dtype=object),
             "line_no": pd.array([x[2] for x in lines] + [None] * len(classes), "Int32"),
             "frame": pd.array([x[3] for x in lines] + [None] * len(classes), "Int64"),
@@ -336,30 +339,30 @@ def examined(pages: DataFrame) -> DataFrame:
     columns = ("n", "titles", "seen", "class", "size")
     # No number is null, since pandas would make floats of them; a row without a body is a token.
     none = F.lit(None).cast("string")
-    tokens_first = known.select("site", "salt", F.lit(0).alias("turn"), none.alias("key"), none.alias("body"), "gram", *[F.col(c).cast("bigint").alias(c) for c in columns])
-    pages_then = pages.select("site", "salt", F.lit(1).alias("turn"), F.col("key").cast("string").alias("key"), "body", *[F.lit(0).cast("bigint").alias(c) for c in ("gram", *columns)])
-    stream = tokens_first.unionByName(pages_then).repartition("site", "salt").sortWithinPartitions("site", "salt", "turn")
+    tokens_first = known.select("host", "salt", F.lit(0).alias("turn"), none.alias("site"), none.alias("key"), none.alias("body"), "gram", *[F.col(c).cast("bigint").alias(c) for c in columns])
+    pages_then = pages.select("host", "salt", F.lit(1).alias("turn"), "site", F.col("key").cast("string").alias("key"), "body", *[F.lit(0).cast("bigint").alias(c) for c in ("gram", *columns)])
+    stream = tokens_first.unionByName(pages_then).repartition("host", "salt").sortWithinPartitions("host", "salt", "turn")
     rows = stream.mapInPandas(_examine, _EXAMINED)
     return cut(rows.withColumn("key", F.col("key").cast(pages.schema["key"].dataType)), "lines")
 
 
 def class_table(rows: DataFrame) -> DataFrame:
-    """``site, class, pages, ordered, nested, parent``: shares of pages on which a class keeps its order and is not crossed, and the class that most often encloses it (0 for the page itself)."""
+    """``host, class, pages, ordered, nested, parent``: shares of pages on which a class keeps its order and is not crossed, and the class that most often encloses it (0 for the page itself)."""
     checks = rows.filter("n is not null")
-    orders = checks.groupBy("site", "class", "word_order").agg(F.sum("n").alias("n"), F.sum("crossed").alias("crossed"))
-    totals = orders.groupBy("site", "class").agg(F.sum("n").alias("pages"), F.max("n").alias("first"), F.sum("crossed").alias("crossed"))
-    around = checks.groupBy("site", "class", "parent").agg(F.sum("n").alias("n"))
-    parents = around.groupBy("site", "class").agg(F.max_by("parent", F.struct("n", "parent")).alias("parent"))
-    return totals.join(parents, ["site", "class"]).select("site", "class", "pages", (F.col("first") / F.col("pages")).alias("ordered"), (1 - F.col("crossed") / F.col("pages")).alias("nested"), "parent")
+    orders = checks.groupBy("host", "class", "word_order").agg(F.sum("n").alias("n"), F.sum("crossed").alias("crossed"))
+    totals = orders.groupBy("host", "class").agg(F.sum("n").alias("pages"), F.max("n").alias("first"), F.sum("crossed").alias("crossed"))
+    around = checks.groupBy("host", "class", "parent").agg(F.sum("n").alias("n"))
+    parents = around.groupBy("host", "class").agg(F.max_by("parent", F.struct("n", "parent")).alias("parent"))
+    return totals.join(parents, ["host", "class"]).select("host", "class", "pages", (F.col("first") / F.col("pages")).alias("ordered"), (1 - F.col("crossed") / F.col("pages")).alias("nested"), "parent")
 
 
 def frame_table(rows: DataFrame) -> DataFrame:
-    """``site, frame, class, lines, constant, outside, headline, numbers, marked, pooled, score, furniture``: what the lines of each frame of a valid class show."""
+    """``host, frame, class, lines, constant, outside, headline, numbers, marked, pooled, score, furniture``: what the lines of each frame of a valid class show."""
     lines = rows.filter("line_no is not null and not whole and frame is not null")
-    invalid = class_table(rows).filter((F.col("ordered") < VALID) | (F.col("nested") < VALID)).select("site", "class")
-    lines = lines.join(invalid, ["site", "class"], "left_anti")
+    invalid = class_table(rows).filter((F.col("ordered") < VALID) | (F.col("nested") < VALID)).select("host", "class")
+    lines = lines.join(invalid, ["host", "class"], "left_anti")
     has = lambda bit, name: F.count_if(F.col("marks").bitwiseAND(F.lit(bit)) != 0).alias(name)
-    hosts = lines.groupBy("site", "frame", "class").agg(
+    hosts = lines.groupBy("host", "frame", "class").agg(
         F.count(F.lit(1)).alias("lines"), has(CONSTANT, "constant"), has(OUTSIDE, "outside"), has(HEADLINE, "headline"), has(NUMBERS, "numbers"), has(15, "marked")
     )
     hosts = cut(hosts, "frames")
@@ -377,8 +380,8 @@ def furniture(df: DataFrame, key: str = "article_id", url: str = "url", title: s
     has hardly any classes; its lines go by their own marks.
     """
     rows = examined(_pages(df, key, url, title, body))
-    verdicts = frame_table(rows).select("site", "frame", "furniture")
-    lines = rows.filter("line_no is not null").join(verdicts, ["site", "frame"], "left")
+    verdicts = frame_table(rows).select("host", "frame", "furniture")
+    lines = rows.filter("line_no is not null").join(verdicts, ["host", "frame"], "left")
     # A line without a frame of a valid class goes by its own marks.
     gone = F.col("whole") | F.coalesce("furniture", F.col("marks") != 0)
     return lines.filter(gone).select("key", F.col("line_no").cast("bigint").alias("line_no"))

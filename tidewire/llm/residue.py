@@ -75,8 +75,9 @@ _LOWER = np.arange(sys.maxunicode + 1, dtype=np.uint32)
 _LOWER[65:91] += 32
 
 
-_BLANKS = np.array([0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], np.uint32)
-_INVISIBLE = np.array([0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF], np.uint32)
+_BLANKS, _INVISIBLE = np.zeros(sys.maxunicode + 1, bool), np.zeros(sys.maxunicode + 1, bool)
+_BLANKS[[0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]] = True
+_INVISIBLE[[0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]] = True
 
 
 def _codes(text: str) -> np.ndarray:
@@ -84,7 +85,7 @@ def _codes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) and codes.max() >= 0xA0:
         codes = np.where((codes > 0xFF00) & (codes < 0xFF5F), codes - 0xFEE0, codes)
-        codes = np.where(np.isin(codes, _BLANKS), 32, codes)[~np.isin(codes, _INVISIBLE)]
+        codes = np.where(_BLANKS[codes], 32, codes)[~_INVISIBLE[codes]]
     return codes.astype(np.uint32)
 
 
