@@ -279,3 +279,36 @@ def test_feeds_and_pages_never_raise(spark, tmp_path):
     assert rows["p.html"]["status"] == "success" and rows["p.html"]["title"] == "Head" and rows["p.html"]["error"] is None
     assert rows["s.html"]["status"] == "failed" and "short" in rows["s.html"]["error"]
     assert rows["none.html"]["status"] == "failed" and rows["none.html"]["body"] is None
+
+
+def test_cuts_are_deleted_at_the_end(spark):
+    import os
+
+    from tidewire import runtime
+
+    with runtime.temporary_cuts(spark):
+        runtime.cut(spark.range(3), "some")
+        path = runtime._CUTS[-1].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    from tidewire.streaming import news
+
+    def put(rows):
+        spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp_ntz("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = news.stream_table(spark, str(tmp_path / "in"), "k string, ts timestamp_ntz")
+        news.run_to_table(news.first_seen(stream, "k", "ts", "2 days").select("k"), str(tmp_path / "out"), str(tmp_path / "state"))
+        return sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 01:00:00"), ("a", "2024-01-01 02:00:00")])
+    assert run() == ["a", "b"]
+    put([("a", "2024-01-01 03:00:00"), ("c", "2024-01-10 00:00:00")])
+    assert run() == ["a", "b", "c"]
+    # Behind the watermark: late, and dropped; beyond the state's time: seen anew.
+    put([("d", "2024-01-02 00:00:00"), ("b", "2024-01-11 00:00:00")])
+    assert run() == ["a", "b", "b", "c"]
+    assert run() == ["a", "b", "b", "c"]

@@ -17,7 +17,7 @@ from tidewire import contracts
 from tidewire.functions import text as t
 from tidewire.operators import articles, calendar, embeddings, features, joins, metrics, models, series
 from tidewire.operators.series import LABELS
-from tidewire.runtime import cut
+from tidewire.runtime import cut, temporary_cuts
 from tidewire.sources import files
 
 Tables = dict[str, DataFrame]
@@ -243,7 +243,11 @@ def run_pipeline(spark: SparkSession, inputs: Tables, folder: str, clean: bool =
             raise contracts.ContractError(f"missing input: {name}")
     if clean:
         files.clean_outputs(spark, folder, OUTPUTS)
+    with temporary_cuts(spark):
+        return _run(spark, inputs, folder, rounds, first, last)
 
+
+def _run(spark: SparkSession, inputs: Tables, folder: str, rounds: int, first: str | None, last: str | None) -> Tables:
     def stage(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")

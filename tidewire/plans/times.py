@@ -40,4 +40,14 @@ def p1_in_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(resumed(_pages(spark, sf_dir), "article_id"), resumed(_days(spark, sf_dir), "aligned_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_in_two": p1_in_two}
+def best_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's own time, else the feed's, in any style, as one UTC instant."""
+    articles = table(spark, sf_dir, "scrape_article")
+    feed = articles.select("article_id", F.col("discovery_published").alias("raw"), F.lit("UTC").alias("zone_name"), F.lit(False).alias("day_first"))
+    own = TimestampDictionary(spark).normalise(_pages(spark, sf_dir), "article_id").filter("instant_us is not null").select("article_id", F.col("instant_us").alias("own"))
+    found = TimestampDictionary(spark).normalise(feed, "article_id").filter("instant_us is not null").select("article_id", F.col("instant_us").alias("feed"))
+    both = own.join(found, "article_id", "full")
+    return both.select("article_id", utc_text(F.coalesce("own", "feed")).alias("published"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_in_two": p1_in_two, "best_time": best_time}

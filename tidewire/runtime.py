@@ -14,12 +14,14 @@ import os
 import shutil
 import tempfile
 import uuid
-import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_CUTS: list[str] = []
 
 
 @atexit.register
@@ -80,13 +82,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = new_folder(df.sparkSession, name)
+    _CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(df: DataFrame) -> int:
-    """The optimizer's size estimate; exact to the file level for a cut."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+@contextmanager
+def temporary_cuts(spark: SparkSession) -> Iterator[None]:
+    """Deletes the cuts that were made within, at its end.
+
+    A frame that still reads one of them can't be used afterwards, so results
+    are written or counted within.
+    """
+    known = len(_CUTS)
+    try:
+        yield
+    finally:
+        while len(_CUTS) > known:
+            _drop_folder(spark, _CUTS.pop())
 
 
 def small(df: DataFrame, most_rows: int, row_bytes: int = 64) -> DataFrame:
