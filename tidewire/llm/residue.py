@@ -37,6 +37,7 @@ Please wait while we verify your request. Please wait... Loading... Loading… R
 Your session has expired. Please sign in again to continue. Your session for some-page-title has expired, log in again to go on (4f3e2d1c0b9a).
 An unexpected error occurred (code 8a7b6c5d4e3f). Something went wrong. Our team has been told; please try again later. Oops! An error has occurred
 Fatal error: Uncaught exception in /var/www/html/index.php on line 42, stack trace 3c2b1a0f9e8d. Warning: undefined variable. Notice: undefined index in /srv/www/page-name.php on line 7
+Untitled document. Untitled page. Untitled document 1. New document. No title
 undefined undefined null null undefined NaN undefined null [object Object] null undefined
 Halaman tidak ditemukan. Halaman yang Anda cari tidak ditemukan. Silakan kembali ke beranda, kode 6e5d4c3b2a1f
 Aktifkan JavaScript untuk melihat halaman ini. Aktifkan JavaScript untuk membaca some-page-title. Peramban Anda tidak mendukung skrip. Peramban tanpa JavaScript tidak didukung [2b3c4d5e6f7a]
