@@ -153,7 +153,7 @@ def fasttext_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_features("fasttext", docs, "day", "tokens", dims=32, buckets=20_000, rounds=2)
 
 
-@query("SELECT vec_id, round(avg(CAST(x AS DOUBLE)), 5) AS mean FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1")
+@query("SELECT vec_id, round(avg(CAST(x AS DOUBLE)), 5) + 0.0::DOUBLE AS mean FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1")
 def encoder_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch encoder with a stand-in that reads vectors from text and takes a masked mean."""
 
@@ -321,7 +321,7 @@ def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_dictionary(spark, path, ["Negative", "Positive"])
 
 
-@query("SELECT 'v' || vec_id AS term, CAST(i AS INT) AS i, round(CAST(x AS DOUBLE), 5) AS x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings WHERE label < 5)")
+@query("SELECT 'v' || vec_id AS term, CAST(i AS INT) AS i, round(CAST(x AS DOUBLE), 5) + 0.0::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings WHERE label < 5)")
 def vectors_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written as text and read for the words that are needed."""
     path = new_folder(spark, "vectors")

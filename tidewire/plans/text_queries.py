@@ -506,7 +506,7 @@ def day_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.day_documents(table(spark, sf_dir, "articles_aligned").withColumnRenamed("news_date_wib", "day"), "day", "aligned_id", "title_clean")
 
 
-@query("WITH e AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) SELECT label, CAST(i AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM e GROUP BY 1, 2")
+@query("WITH e AS (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) SELECT label, CAST(i AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) + 0.0::DOUBLE AS x FROM e GROUP BY 1, 2")
 def vector_pool_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector of each group."""
     return features.pooled(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("x", F.round("x", 6))
