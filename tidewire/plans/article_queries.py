@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire import contracts
 from tidewire.functions import text as t
 from tidewire.operators import articles, features, joins, metrics, series
-from tidewire.plans.series_queries import _CELLS, _CLASSES, _PERSIST, _SPLIT, LABELS, _days, _persistence, _rates, _RATES, _split
+from tidewire.plans.series_queries import _CLASSES, _PERSIST, _SPLIT, LABELS, _days, _persistence, _rates, _RATES, _split
 from tidewire.plans.text_queries import _BOW, _LEX, _S, _TERMS, LEXICON, _bags, _classical_sql, _hits_sql, _lexicon, light_sql
 from tidewire.runtime import table
 

@@ -10,7 +10,6 @@ and one with a large cut a shuffle join, without a hint.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
