@@ -126,3 +126,23 @@ def test_charts(spark, inputs):
     events = spark.createDataFrame([("2023-01-03", "a"), ("1990-01-01", "b")], "d string, name string").select(F.to_date("d").alias("day"), "name")
     charts = pipeline.rate_charts(rates, events)
     assert charts["events"].count() == 1 and charts["yearly"].count() == 1
+
+
+def test_models_are_stored_and_loaded(spark, tmp_path):
+    from tidewire.operators.models import TopicModel
+
+    docs = spark.createDataFrame([(i, ["rupiah", "dollar", "rate"] if i % 2 else ["war", "troops", "border"]) for i in range(40)] + [(99, ["unknown"])], "id int, tokens array<string>")
+    model = TopicModel(k=2, iterations=5, min_df=2, max_df=0.95).fit(docs, "tokens")
+    model.save(str(tmp_path / "topics"))
+    same = lambda m: {r["id"]: [round(x, 6) for x in r["shares"]] for r in m.transform(docs, "id").collect()}
+    assert same(TopicModel.load(str(tmp_path / "topics"))) == same(model) and same(model)[99] == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        TopicModel(k=1)
+    with pytest.raises(ValueError):
+        TopicModel().transform(docs, "id")
+    for name, options in (("word2vec", {"dims": 3, "iterations": 1, "least": 1}), ("fasttext", {"dims": 3, "buckets": 50, "rounds": 1, "least": 1})):
+        fitted = embeddings.make_embedding(name, **options).fit(docs, "tokens")
+        fitted.save(str(tmp_path / name))
+        loaded = embeddings.make_embedding(name, **options).load(spark, str(tmp_path / name))
+        rounded = lambda m: {r["id"]: [round(x, 6) for x in r["vector"]] for r in m.transform(docs, "id", "tokens").collect()}
+        assert rounded(loaded) == rounded(fitted)

@@ -32,6 +32,17 @@ class _Pooled:
     dims: int = 100
     vectors: DataFrame | None = field(default=None, repr=False)
 
+    def save(self, folder: str) -> None:
+        """Store the vectors as a table."""
+        if self.vectors is None:
+            raise ValueError("not fitted")
+        self.vectors.write.mode("overwrite").parquet(folder)
+
+    def load(self, spark: SparkSession, folder: str):
+        """Take stored vectors instead of fitting."""
+        self.vectors = spark.read.parquet(folder)
+        return self
+
     def vocabulary(self, docs: DataFrame, tokens: str) -> DataFrame:
         """``term, vector`` of the distinct tokens that have a vector."""
         if self.vectors is None:
@@ -53,7 +64,7 @@ class Word2Vec(_Pooled):
     least: int = 2
     iterations: int = 5
     seed: int = 42
-    partitions: int = 1
+    partitions: int = 4
 
     def fit(self, docs: DataFrame, tokens: str) -> Word2Vec:
         model = models.word_vectors(docs, tokens, self.dims, self.window, self.least, self.seed, self.iterations, self.partitions)
@@ -129,7 +140,6 @@ class FastText(_Pooled):
         return terms.withColumn("grams", grams)
 
     def fit(self, docs: DataFrame, tokens: str) -> FastText:
-        spark = docs.sparkSession
         counts = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.least)
         chosen = cut(self._grams(counts.orderBy(F.desc("n"), "term").limit(self.most)), "terms")
         # At most ``most`` words.
@@ -150,13 +160,27 @@ class FastText(_Pooled):
             for r in means.toLocalIterator():
                 (inner if r["kind"] == "inner" else outer)[r["row"]] = r["v"]
         self.table = inner
-        self._spark: SparkSession = spark
         return self
 
+    def save(self, folder: str) -> None:
+        """Store the vectors of the buckets as a table."""
+        if self.table is None:
+            raise ValueError("not fitted")
+        self._rows(SparkSession.active()).write.mode("overwrite").parquet(folder)
+
+    def load(self, spark: SparkSession, folder: str) -> FastText:
+        """Take stored buckets, at most ``buckets`` rows, instead of training."""
+        rows = spark.read.parquet(folder).orderBy("b").collect()
+        self.table, self.buckets, self.dims = np.array([r["v"] for r in rows]), len(rows), len(rows[0]["v"])
+        return self
+
+    def _rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(i, v) for i, v in enumerate(self.table.tolist())], "b bigint, v array<double>")
+
     def vocabulary(self, docs: DataFrame, tokens: str) -> DataFrame:
         if self.table is None:
             raise ValueError("not fitted")
-        rows = docs.sparkSession.createDataFrame([(i, v) for i, v in enumerate(self.table.tolist())], "b bigint, v array<double>")
+        rows = self._rows(docs.sparkSession)
         terms = self._grams(docs.select(F.explode(tokens).alias("term")).distinct())
         each = terms.select("term", F.explode("grams").alias("b")).join(rows, "b").select("term", F.posexplode("v").alias("i", "x"))
         return features.as_vectors(each.groupBy("term", "i").agg(F.avg("x").alias("x")), "term")

@@ -2,35 +2,82 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.clustering import LDA, KMeans, LDAModel, LocalLDAModel
+from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass
+class TopicModel:
+    """Topics of token lists; fitted, applied, stored and loaded like any estimator."""
+
+    k: int = 8
+    iterations: int = 20
+    seed: int = 42
+    min_df: float = 3
+    max_df: float = 0.85
+    size: int = 5000
+    counter: CountVectorizerModel | None = field(default=None, repr=False)
+    model: LDAModel | None = field(default=None, repr=False)
+
+    def __post_init__(self):
+        if self.k < 2 or self.iterations < 1 or self.size < 1 or self.min_df <= 0 or self.max_df <= 0:
+            raise ValueError("topics from two on, and positive iterations, sizes and frequencies")
+
+    def fit(self, docs: DataFrame, tokens: str) -> TopicModel:
+        self.counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=self.size, minDF=self.min_df, maxDF=self.max_df).fit(docs)
+        counted = self.counter.transform(docs)
+        self.model = LDA(k=self.k, maxIter=self.iterations, seed=self.seed, optimizer="online", featuresCol="features", topicDistributionCol="topic").fit(counted)
+        return self
+
+    def _fitted(self) -> tuple[CountVectorizerModel, LDAModel]:
+        if self.counter is None or self.model is None:
+            raise ValueError("not fitted")
+        return self.counter, self.model
+
+    def transform(self, docs: DataFrame, key: str) -> DataFrame:
+        """``key, shares, dominant_topic, confidence``; a document without a known word has no topic (-1)."""
+        counter, model = self._fitted()
+        counted = counter.transform(docs)
+        empty = F.size(F.filter(vector_to_array("features"), lambda x: x > 0)) == 0
+        share = F.when(empty, F.array_repeat(F.lit(0.0), self.k)).otherwise(vector_to_array("topic"))
+        out, best = model.transform(counted).select(key, share.alias("shares")), F.array_max("shares")
+        return out.select(key, "shares", F.when(best > 0, F.array_position("shares", best).cast("int")).otherwise(-1).alias("dominant_topic"), best.alias("confidence"))
+
+    def terms(self, n: int = 10) -> DataFrame:
+        """``topic, rank, term`` of the top terms of each topic."""
+        counter, model = self._fitted()
+        words = F.array(*[F.lit(w) for w in counter.vocabulary])
+        return model.describeTopics(n).select("topic", F.posexplode("termIndices").alias("rank", "i")).select("topic", "rank", F.element_at(words, F.col("i") + 1).alias("term"))
+
+    def save(self, folder: str) -> None:
+        counter, model = self._fitted()
+        counter.write().overwrite().save(f"{folder}/counter")
+        model.write().overwrite().save(f"{folder}/topics")
+
+    @classmethod
+    def load(cls, folder: str) -> TopicModel:
+        counter, model = CountVectorizerModel.load(f"{folder}/counter"), LocalLDAModel.load(f"{folder}/topics")
+        return cls(k=model.getK(), counter=counter, model=model)
+
+
 def topics(docs: DataFrame, key: str, tokens: str, k: int = 8, iterations: int = 20, seed: int = 42, min_df: float = 3, max_df: float = 0.85, size: int = 5000, fit_on: str = "true") -> tuple[DataFrame, DataFrame]:
     """``(documents, terms)``: topic shares with the dominant one, and the top terms of each topic.
 
     Vocabulary and topics come from the rows of ``fit_on``; a document without a
     known word has no topic (-1).
     """
-    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=size, minDF=min_df, maxDF=max_df).fit(docs.filter(fit_on))
-    counted = counter.transform(docs)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="features", topicDistributionCol="topic").fit(counted.filter(fit_on))
-    empty = F.size(F.filter(vector_to_array("features"), lambda x: x > 0)) == 0
-    share = F.when(empty, F.array_repeat(F.lit(0.0), k)).otherwise(vector_to_array("topic"))
-    out = model.transform(counted).select(key, share.alias("shares"))
-    best = F.array_max("shares")
-    out = out.select(key, "shares", F.when(best > 0, F.array_position("shares", best).cast("int")).otherwise(-1).alias("dominant_topic"), best.alias("confidence"))
-    words = F.array(*[F.lit(w) for w in counter.vocabulary])
-    terms = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i")).select("topic", "rank", F.element_at(words, F.col("i") + 1).alias("term"))
-    return out, terms
-
-
-def word_vectors(docs: DataFrame, tokens: str, dims: int = 100, window: int = 5, least: int = 2, seed: int = 42, iterations: int = 5, partitions: int = 1):
+    model = TopicModel(k, iterations, seed, min_df, max_df, size).fit(docs.filter(fit_on), tokens)
+    return model.transform(docs, key), model.terms()
+
+
+def word_vectors(docs: DataFrame, tokens: str, dims: int = 100, window: int = 5, least: int = 2, seed: int = 42, iterations: int = 5, partitions: int = 4):
     """A skip-gram model; the vectors of its words are a table. With more ``partitions`` parts of the texts are trained by themselves and averaged after each iteration."""
     return Word2Vec(vectorSize=dims, windowSize=window, minCount=least, maxIter=iterations, numPartitions=partitions, seed=seed, inputCol=tokens, outputCol="vector").fit(docs)
 
