@@ -276,7 +276,9 @@ def deduplicated(text: Column, similar: float = 0.8) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         same = F.exists(acc["kept"], lambda q: q["k"] == p["k"])
-        alike = lambda q: F.when((F.size(q["s"]) > 0) & (F.size(p["s"]) > 0), jaccard(q["s"], p["s"]) >= similar).otherwise(q["p"] == p["p"])
+        # Sets of too different sizes can't share enough; only the others are compared.
+        close = lambda q: F.least(F.size(q["s"]), F.size(p["s"])) >= similar * F.greatest(F.size(q["s"]), F.size(p["s"])) - 1e-9
+        alike = lambda q: F.when((F.size(q["s"]) > 0) & (F.size(p["s"]) > 0), close(q) & (jaccard(q["s"], p["s"]) >= similar)).otherwise(q["p"] == p["p"])
         near = ~same & F.exists(acc["kept"], alike)
         kept = F.when(same | near, acc["kept"]).otherwise(F.array_append(acc["kept"], p))
         return F.struct(kept.alias("kept"), (acc["n_exact"] + same.cast("int")).alias("n_exact"), (acc["n_near"] + near.cast("int")).alias("n_near"))
@@ -294,9 +296,8 @@ def light_clean(text: Column, deduplicate: bool = True, similar: float = 0.8, ke
     """Composed and unescaped, without tags and control characters, addresses masked, paragraphs deduplicated, blanks squeezed; empty for null."""
     plain = masked(F.regexp_replace(F.regexp_replace(composed(F.coalesce(text, F.lit(""))), TAG, " "), CONTROL, " "))
     if deduplicate:
-        kept = unique_paragraphs(plain, similar)
-        several = F.size(F.filter(F.split(plain, "\n+"), lambda p: F.regexp_replace(p, SPACE, "") != "")) > 1
-        plain = F.when(several, F.array_join(kept, "\n\n" if keep_lines else " ")).otherwise(plain)
+        # A single paragraph comes out as it is, but for the blanks around it, which go anyway.
+        plain = F.array_join(unique_paragraphs(plain, similar), "\n\n" if keep_lines else " ")
     plain = F.replace(plain, F.lit("\u200b"), F.lit(""))
     if not keep_lines:
         return squeeze(plain)
