@@ -69,3 +69,36 @@ def test_a_key_with_two_texts_keeps_the_links_of_both(spark):
     rows = [(1, one, "train"), (5, one, "train"), (5, other, "train"), (9, other + " end", "test"), (9, one, "val")]
     df = spark.createDataFrame([(k, t, s, None, "k", "t") for k, t, s in rows], SCHEMA)
     assert {tuple(r) for r in split_overlap.pairs_of_rows(*split_overlap.overlaps(df)).collect()} == {(5, 9), (1, 9)}
+
+
+def _templated(n: int, seed: int = 3):
+    """Texts of stock sentences with names and numbers, each name in ever more texts as there are more of them."""
+    rng = random.Random(seed)
+    stock = [[f"s{i}w{j}" for j in range(6)] for i in range(12)]
+    rows = []
+    for i in range(n):
+        text = [w for s in rng.choices(stock, k=8) for w in (*s[:3], f"n{rng.randrange(40)}", *s[3:], str(rng.randrange(10**6)))]
+        rows.append((i, " ".join(text), "test" if i % 3 == 0 else "train"))
+        if i % 10 == 0:
+            # A copy that lacks a fifth of the text, or has as much more.
+            rows.append((n + i, " ".join(text[:50] if i % 20 else text + [f"x{i}y{j}" for j in range(15)]), "train" if i % 3 == 0 else "val"))
+    return [(k, t, s, None, "k", "t") for k, t, s in rows]
+
+
+def test_stock_sentences_are_not_matched_with_each_other(spark, monkeypatch):
+    occurrences = []
+    for n in (150, 600):
+        rows = _templated(n)
+        df = spark.createDataFrame(rows, SCHEMA)
+        expected = brute(rows)
+        assert len(expected) >= n // 10
+        for shard, part in ((250_000, 32_000_000), (40, 20_000)):
+            monkeypatch.setattr(split_overlap, "SHARD", shard)
+            monkeypatch.setattr(split_overlap, "PART", part)
+            assert {tuple(r) for r in split_overlap.pairs_of_rows(*split_overlap.overlaps(df)).collect()} == expected
+        texts = df.selectExpr("aligned_id as key", "split = 'train' as is_train", "body_clean as text")
+        passages = split_overlap.rare_passages(texts, 0.6).collect()
+        held = [(s == "train", set(split_overlap.passages_of(t))) for _, t, s, *_ in rows]
+        occurrences.append(sum(r["passage"] in own for r in passages for side, own in held if side != r["is_train"]))
+    # Four times the texts: sixteen times the matches if every text's rarest passages are looked for.
+    assert occurrences[1] < 7 * occurrences[0]
