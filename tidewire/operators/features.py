@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,50 @@ def tfidf(counts: DataFrame, terms: DataFrame, n_docs: DataFrame, key: str) -> D
     return raw.select(key, "term", (F.col("w") / norm).alias("w"))
 
 
+def _term_counts(bags: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of bags of words; and the bag, the place among the distinct words and the count of each word of each bag."""
+    lists = pc.split_pattern(bags, " ")
+    words, of = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    codes, size = words.indices.to_numpy(zero_copy_only=False), max(len(words.dictionary), 1)
+    keys, tf = np.unique(of.astype(np.int64) * size + codes, return_counts=True)
+    full = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[keys % size] if len(keys) else np.zeros(0, bool)
+    return words.dictionary, (keys // size)[full], (keys % size)[full], tf[full]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, _, code, tf = _term_counts(batch["bag"])
+        df, total = np.bincount(code, minlength=len(words)), np.bincount(code, tf, len(words)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([words.filter(pa.array(df > 0)), pa.array(df[df > 0]), pa.array(total[df > 0])], ["term", "df", "total"])
+
+
+def bag_frequency(bags: DataFrame) -> DataFrame:
+    """``term, df, total`` of ``bags (id, bag)``, words with blanks between them; one bag for each key."""
+    parts = bags.select("bag").mapInArrow(_frequencies, "term string, df bigint, total bigint")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def bag_vectors(bags: DataFrame, terms: list[tuple[str, int]], n_docs: int) -> DataFrame:
+    """``id, t, w`` of ``bags (id, bag)``: the vectors of :func:`tfidf` with terms by their place in ``terms (term, df)``, ascending."""
+    names, idf = [term for term, _ in terms], np.array([np.log((1 + n_docs) / (1 + df)) + 1 for _, df in terms])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            words, of, code, tf = _term_counts(batch["bag"])
+            places = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = places[code] >= 0
+            of, t, tf = of[found], places[code[found]], tf[found]
+            order = np.lexsort((t, of))
+            of, t, tf = of[order], t[order], tf[order]
+            w = (1 + np.log(tf)) * idf[t]
+            w = w / np.sqrt(np.bincount(of, w * w, batch.num_rows))[of]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(offsets, pa.array(t)), pa.ListArray.from_arrays(offsets, pa.array(w))], ["id", "t", "w"])
+
+    return bags.select("id", "bag").mapInArrow(run, f"id {bags.schema['id'].dataType.simpleString()}, t array<bigint>, w array<double>")
+
+
 def lexicon_scores(docs: DataFrame, lexicon: DataFrame, key: str, tokens: str, words: str, categories: tuple[str, ...]) -> DataFrame:
     """Share of words in each category of ``lexicon (word, category)``, over at least one word."""
     found = docs.select(key, F.explode(tokens).alias("word")).join(lexicon, "word").groupBy(key).pivot("category", list(categories)).count()

@@ -575,12 +575,15 @@ near AS (SELECT a.aligned_id AS a, b.aligned_id AS b FROM u a JOIN u b ON a.term
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bags = _bags(spark, sf_dir)
-    # Tokens are made once; frequencies, weights and vectors are all taken from the counts.
-    counts = cut(features.term_counts(bags, "aligned_id", "tokens"), "counts")
-    n = bags.agg(F.count(F.lit(1)).alias("n"))
-    weights = features.tfidf(counts, features.vocabulary(counts, n, size=50_000), n, "aligned_id").withColumnRenamed("aligned_id", "id")
-    return joins.similar_earlier(cut(weights, "weights"))
+    articles = table(spark, sf_dir, "articles_aligned")
+    # Tokens are made once; frequencies and vectors are both taken from the bags, one for each key.
+    bags = articles.select(F.col("aligned_id").alias("id"), t.bag_of_words(F.col("body_clean")).alias("bag")).groupBy("id")
+    bags = cut(bags.agg(F.concat_ws(" ", F.collect_list("bag")).alias("bag")), "bags")
+    terms = cut(features.bag_frequency(bags).orderBy(F.desc("total"), "term").limit(50_000), "terms")
+    # At most 50,000 rows, the rarest first.
+    listed = [(r["term"], r["df"]) for r in terms.orderBy("df", "term").collect()]
+    vectors = features.bag_vectors(bags.filter("id is not null"), listed, articles.count())
+    return joins.similar_vectors(cut(vectors, "vectors"))
 
 
 @query(f"WITH {_COS} SELECT a, b FROM near")
